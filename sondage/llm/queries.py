@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, minhash, packing
 from .shared import tables
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,5 +21,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(tables(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_packing": op3_packing, "op9_bpe": op9_bpe}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(tables(spark, sf_dir, "documents"), k=3, similarity=0.85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_packing": op3_packing, "op9_bpe": op9_bpe, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 ORACLES: dict[str, str] = {}
