@@ -6,17 +6,30 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing
+from . import bpe, minhash, near_vectors, packing, pivot_search
 from .shared import tables
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(tables(spark, sf_dir, "embeddings"), similarity=0.95)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_layout(tables(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables(spark, sf_dir, "embeddings")
+    # a vector with a component that is null or not finite is null, as floor() would make a number of it
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    scaled = rows.select("vec_id", F.when(~bad, F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double"))).alias("v"))
+    return pivot_search.top_k(scaled, F.col("vec_id") % 20 == 0, k=20, id_col="vec_id", vector_col="v")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(tables(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -25,5 +38,43 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(tables(spark, sf_dir, "documents"), k=3, similarity=0.85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_packing": op3_packing, "op9_bpe": op9_bpe, "op10_minhash_near_dedup": op10_minhash_near_dedup}
-ORACLES: dict[str, str] = {}
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), usable AS (
+  SELECT vec_id, e FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b
+), n AS (SELECT a, count(*) AS n FROM link GROUP BY a), c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.c AS component_id, c.c = v.vec_id AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.a = v.vec_id
+"""
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup,
+        op3_packing,
+        op8_exact_top_k,
+        op9_bpe,
+        op10_minhash_near_dedup,
+    )
+}
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op8_exact_top_k": OP8_SQL}
