@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, near_vectors, packing, pivot_search
+from . import bpe, language, licences, minhash, near_vectors, packing, pivot_search
 from .shared import tables
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_layout(tables(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = language.fit(docs, ~held_out)
+    out = language.identify(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(tables(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables(spark, sf_dir, "embeddings")
     # a vector with a component that is null or not finite is null, as floor() would make a number of it
@@ -72,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_embedding_near_dedup,
         op3_packing,
+        op4_language_id,
+        op6_license_scans,
         op8_exact_top_k,
         op9_bpe,
         op10_minhash_near_dedup,
