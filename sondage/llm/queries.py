@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licences, minhash, near_vectors, packing, pivot_search
+from . import bpe, language, licences, minhash, near_vectors, packing, pivot_search, toxicity
 from .shared import tables
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,6 +34,12 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(tables(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    out = toxicity.fit_and_score(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "neighbours")
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables(spark, sf_dir, "embeddings")
     # a vector with a component that is null or not finite is null, as floor() would make a number of it
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_packing,
         op4_language_id,
         op6_license_scans,
+        op7_toxicity,
         op8_exact_top_k,
         op9_bpe,
         op10_minhash_near_dedup,
