@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licences, minhash, near_vectors, packing, pivot_search, toxicity
+from . import bpe, language, licences, minhash, near_vectors, packing, pivot_search, quality, toxicity
 from .shared import tables
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,6 +30,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    out = quality.score(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "p_text", "p_meta", "score", "keep")
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(tables(spark, sf_dir, "documents")).drop("spans")
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_embedding_near_dedup,
         op3_packing,
         op4_language_id,
+        op5_quality_classifier,
         op6_license_scans,
         op7_toxicity,
         op8_exact_top_k,
