@@ -9,8 +9,8 @@ deviations above the mean distance of a pair at the similarity threshold.
 
 Equal sets are one representative from the start, so copies make no pairs. Then links are looked for in two steps, both
 confirmed on the full sets: each representative against the smallest one that it shares a key with; then, in the buckets
-that still hold several components, all pairs within r of different components, in blocks of bounded size. Buckets of
-one component can add nothing, however large.
+that still hold several components, pairs within r of different components, in blocks of bounded size: each member's
+nearest partner, twice, and at last all that are left. Buckets of one component can add nothing, however large.
 """
 
 from __future__ import annotations
@@ -30,10 +30,13 @@ from .shared import Scratch
 
 SLOTS, CHUNKS = 64, 16
 WIDTH = SLOTS // CHUNKS
-BLOCK = 256
+BLOCK = 1024
+#: Minima that pairs in a block are compared by besides; a pair at the similarity has a distance under 3.5 deviations over the mean.
+LONG = 512
+NEAREST_ROUNDS = 2
 #: Ids that a join may broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
-_ODD = np.random.default_rng(7).integers(0, 2**63, SLOTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD, _MORE = np.split(np.random.default_rng(7).integers(0, 2**63, SLOTS + LONG, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1), [SLOTS])
 
 
 def distance_threshold(similarity: float) -> int:
@@ -42,6 +45,11 @@ def distance_threshold(similarity: float) -> int:
     return min(SLOTS - 1, math.ceil(SLOTS * miss + 3.3 * math.sqrt(SLOTS * miss * similarity)))
 
 
+def _long_threshold(similarity: float) -> int:
+    miss = 1 - similarity
+    return math.ceil(LONG * miss + 3.5 * math.sqrt(LONG * miss * similarity))
+
+
 def chunk_keys(signature: np.ndarray, r: int) -> np.ndarray:
     """The keys (int64) of each signature, by row; signatures within distance r share at least one."""
     e, a = divmod(r, CHUNKS)
@@ -103,11 +111,29 @@ def _sets(docs: DataFrame, k: int, table: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "id long, items binary")
 
 
+def _sketches(docs: DataFrame, k: int, table: np.ndarray) -> DataFrame:
+    """Of (id, text): id and LONG more minima, a byte each, as binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, h, cut in texts_shingles(batch.column(1), table, k):
+                some = np.flatnonzero(np.diff(cut))
+                out = np.zeros((last - first, LONG), np.uint8)
+                for j in range(LONG if len(some) else 0):
+                    out[some, j] = mix(np.minimum.reduceat(h * _MORE[j], cut[:-1][some])).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), binary_list(out.ravel(), np.arange(last - first + 1) * LONG)], names=["rep", "sketch"])
+
+    return docs.mapInArrow(run, "rep long, sketch binary")
+
+
+def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
+
+
 def confirm(scratch: Scratch, pairs: DataFrame, docs: DataFrame, k: int, percent: int, table: np.ndarray = NOT_SPACE) -> DataFrame:
     """Those (a, b) of pairs with 100 * intersection >= percent * union of their full sets."""
     ids = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    small = ids.count() <= BROADCAST_ROWS
-    sets = scratch.write(_sets(docs.join(F.broadcast(ids) if small else ids, "id", "left_semi"), k, table))
+    sets = scratch.write(_sets(_of_ids(docs, ids), k, table))
     one, two = (sets.select(F.col("id").alias(x), F.col("items").alias(f"s{x}")) for x in "ab")
     both = join_hot(join_hot(pairs, two, "b", "a"), one, "a", "b")
 
@@ -128,35 +154,53 @@ def confirm(scratch: Scratch, pairs: DataFrame, docs: DataFrame, k: int, percent
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _within_blocks(rows: DataFrame, r: int, percent: int) -> DataFrame:
-    """Pairs (a < b) of different components within distance r in the same bucket. rows: key, members, rep, comp, n, sig.
+def _within_blocks(rows: DataFrame, r: int, most: int, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a < b) of different components within distance r in the same bucket. rows: key, members, rep, comp, n, sig, sketch.
 
-    A bucket of m members is cut into g = ceil(m / BLOCK) blocks, and each pair of blocks is a group of its own.
+    A bucket of m members is cut into g = ceil(m / BLOCK) blocks, and each pair of blocks is a group of its own. A pair
+    comes from the first key that it shares only. ``nearest``: of each member's partners in a group the nearest alone.
     """
     g = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     rows = rows.withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "sig")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "sig", "sketch")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        i, j, own, rep, comp, n = (table[x].to_numpy() for x in ("i", "j", "own", "rep", "comp", "n"))
+        key, i, j, own, rep, comp, n = (table[x].to_numpy() for x in ("key", "i", "j", "own", "rep", "comp", "n"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SLOTS)
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, LONG)
+        keys = chunk_keys(sig, r)
         out = [np.zeros((0, 2), np.int64)]
         for s, e in zip(starts, starts[1:]):
-            if e - s < 2:
+            if e - s < 2 or (comp[s:e] == comp[s]).all():
                 continue
             left = s + np.flatnonzero(own[s:e] == i[s])
             right = left if i[s] == j[s] else s + np.flatnonzero(own[s:e] == j[s])
+            found = []
             for at in range(0, len(left), 64):
                 x = left[at : at + 64]
                 ok = comp[x][:, None] != comp[right][None]
                 ok &= 100 * np.minimum.outer(n[x], n[right]) >= percent * np.maximum.outer(n[x], n[right])
                 p, q = np.nonzero(ok)
                 p, q = x[p], right[q]
-                near = np.concatenate([(sig[p[c : c + 50_000]] != sig[q[c : c + 50_000]]).sum(1) <= r for c in range(0, len(p), 50_000)] or [np.zeros(0, bool)])
-                p, q = rep[p[near]], rep[q[near]]
-                out.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0))
+                for c in range(0, len(p), 50_000):
+                    u, v = p[c : c + 50_000], q[c : c + 50_000]
+                    far = (sig[u] != sig[v]).sum(1)
+                    u, v = u[far <= r], v[far <= r]
+                    far = np.concatenate([(sketch[u[d : d + 10_000]] != sketch[v[d : d + 10_000]]).sum(1) for d in range(0, len(u), 10_000)] or [far[:0]])
+                    u, v, far = u[far <= most], v[far <= most], far[far <= most]
+                    first = (keys[u] == keys[v]).argmax(1)
+                    mine = keys[u, first] == key[s]
+                    found.append(np.stack([u[mine], v[mine], far[mine]], 1))
+            p, q, far = np.concatenate(found).T if found else np.zeros((3, 0), np.int64)
+            if nearest and len(p):
+                both, with_, far = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([far, far])
+                order = np.lexsort((with_, far, both))
+                one = order[np.append(True, both[order][1:] != both[order][:-1])]
+                p, q = both[one], with_[one]
+            p, q = rep[p], rep[q]
+            out.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0))
         found = np.concatenate(out)
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
@@ -186,13 +230,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = first.groupBy("rep").agg((-F.max(F.struct("count", (-F.col("leader")).alias("l")))["l"]).alias("leader"))
     links = scratch.write(confirm(scratch, first.select(F.col("leader").alias("a"), F.col("rep").alias("b")), texts, k, percent, table))
     labels = components(scratch, links)
-    # what the first step left apart
-    named = scratch.write(shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "members", "rep", F.coalesce("component", "rep").alias("comp")))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
-    mixed = scratch.write(join_hot(named, mixed, "key", "rep").join(reps.select("rep", "n", "sig"), "rep"))
-    more = scratch.write(_within_blocks(mixed, r, percent))
-    linked = confirm(scratch, more, texts, k, percent, table)
-    labels = components(scratch, links.unionByName(linked))
+    # what is still apart in a bucket: the nearest partners first, as their links join most of it; then every pair left
+    sketches = None
+    for nearest in (*[True] * NEAREST_ROUNDS, False):
+        named = scratch.write(shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "members", "rep", F.coalesce("component", "rep").alias("comp")))
+        mixed = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
+        mixed = join_hot(named, mixed, "key", "rep")
+        if sketches is None:  # the buckets of later rounds are among those of the first
+            mixed = scratch.write(mixed)
+            ids = scratch.write(mixed.select(F.col("rep").alias("id")).distinct())
+            sketches = scratch.write(_sketches(_of_ids(texts, ids), k, table))
+        mixed = mixed.join(reps.select("rep", "n", "sig").join(sketches, "rep"), "rep")
+        more = scratch.write(_within_blocks(mixed, r, _long_threshold(similarity), percent, nearest))
+        linked = scratch.write(confirm(scratch, more, texts, k, percent, table))
+        scratch.drop(named)
+        links = links.unionByName(linked)
+        labels = components(scratch, links)
     of_set = reps.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     of_set = of_set.select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("id", "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2").join(of_set, ["f1", "f2"], "left")
