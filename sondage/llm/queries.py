@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licences, minhash, near_vectors, packing, pivot_search, quality, toxicity
+from . import bpe, language, licences, lines, minhash, near_vectors, packing, pivot_search, quality, toxicity
 from .shared import tables
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(tables(spark, sf_dir, "embeddings"), similarity=0.95)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_repeated_lines(tables(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_layout(tables(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup,
+        op2_line_dedup,
         op3_packing,
         op4_language_id,
         op5_quality_classifier,
