@@ -82,17 +82,19 @@ def _pieces(held: DataFrame, docs: DataFrame, id_col: str, length: int, with_ids
                 seq = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + (first // length)[doc]
                 begin = np.maximum(seq * length, first[doc])
                 stop = np.minimum((seq + 1) * length, (first + n)[doc])
-                ids, own, crc, lists = rows.column(3), -1, np.zeros(len(doc), np.int64), []
+                ids, own, crc, whole = rows.column(3), -1, np.zeros(len(doc), np.int64), []
                 for i, (d, s, e) in enumerate(zip(doc.tolist(), (begin - first[doc]).tolist(), (stop - first[doc]).tolist())):
                     if d != own:
                         own, raw = d, ids[d].as_py()
                         x = np.frombuffer(raw, "<u4" if len(raw) == 4 * n[d] else "<u2").astype("<u4")
+                        whole.append(x)
                     crc[i] = zlib.crc32(x[s:e])
-                    if with_ids:
-                        lists.append(x[s:e].astype(np.int32))
                 columns = [rows.column(0).take(pa.array(doc)), *map(pa.array, (begin - first[doc], stop - begin, crc, n[doc], seq, begin - seq * length))]
+                # the pieces of the rows follow each other, as their ids do
+                ends = np.concatenate([[0], np.cumsum(stop - begin)]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(whole).astype(np.int32)))] if with_ids else []
                 names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(lists, pa.list_(pa.int32()))] * with_ids, names=names + ["ids"] * with_ids)
+                yield pa.RecordBatch.from_arrays(columns + lists, names=names + ["ids"] * with_ids)
 
     longs = [T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *longs, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids])

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -52,3 +53,9 @@ class Scratch:
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of docs whose id is not in ``gone`` (one column); null ids stay. The ids are broadcast if they are few."""
+    gone = Scratch(docs.sparkSession, "gone").write(gone.where(gone[id_col].isNotNull()).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, id_col, "left_anti").select(docs.columns)
