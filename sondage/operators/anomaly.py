@@ -31,22 +31,22 @@ def _iqr(_: Thresholds, n: Column) -> Column:
 
 def _z(_: Thresholds, n: Column) -> Column:
     far = F.greatest(F.abs(_c("mean") - _number("min")), F.abs(_number("max") - _c("mean")))
-    return (_c("stddev") != 0) & (far / _c("stddev") > 3)
+    return (_c("stddev") != 0) & (F.try_divide(far, _c("stddev")) > 3)
 
 
 def _mad(_: Thresholds, n: Column) -> Column:
     far = F.greatest(F.abs(_number("min") - _c("median")), F.abs(_number("max") - _c("median")))
-    return (_c("mad") > 0) & (0.6745 * far / _c("mad") > 3.5)
+    return (_c("mad") > 0) & (F.try_divide(0.6745 * far, _c("mad")) > 3.5)
 
 
 #: Name and predicate; null counts as not met. n is the number of profiled rows.
 RULES: dict[str, Rule] = {
     "high_null_rate": lambda t, n: _c("null_rate") > t.high_null_rate,
     "single_value": lambda t, n: _c("distinct_values") == 1,
-    "all_unique": lambda t, n: (n > 1) & (_c("distinct_values") / n > t.all_unique_ratio) & (_c("distinct_values") <= t.all_unique_hll_guard * n),
+    "all_unique": lambda t, n: (n > 1) & (F.try_divide(_c("distinct_values"), n) > t.all_unique_ratio) & (_c("distinct_values") <= t.all_unique_hll_guard * n),
     "empty_string_dominant": lambda t, n: _is("string") & (_c("max_length") == 0),
     "zero_variance": lambda t, n: _is("integer", "float") & (_c("stddev") == 0) & (_c("distinct_values") > 1),
-    "near_constant": lambda t, n: (n > 1) & (_c("top_frequency") / n > t.near_constant_rate),
+    "near_constant": lambda t, n: (n > 1) & (F.try_divide(_c("top_frequency"), n) > t.near_constant_rate),
     "high_cardinality": lambda t, n: _is("string") & (_c("distinct_values") > t.high_cardinality_distinct),
     "has_negatives": lambda t, n: _c("negative_count") > 0,
     "future_dates": lambda t, n: _is("date", "datetime") & (F.substring("max", 1, 10).try_cast("date") > _c("as_of")),
@@ -54,7 +54,7 @@ RULES: dict[str, Rule] = {
     "iqr_outliers": _iqr,
     "zscore_outliers": _z,
     "high_skewness": lambda t, n: F.abs("skewness") > t.skewness,
-    "boolean_imbalance": lambda t, n: _is("boolean") & (n > 0) & ((_c("true_count") / n < 0.01) | (_c("true_count") / n > 0.99)),
+    "boolean_imbalance": lambda t, n: _is("boolean") & (n > 0) & ((F.try_divide(_c("true_count"), n) < 0.01) | (F.try_divide(_c("true_count"), n) > 0.99)),
     "stale_data": lambda t, n: _c("freshness_days") > 90,
     "mad_outliers": _mad,
     "suspicious_uniform_length": lambda t, n: _is("string") & (n > 1) & (_c("min_length") == _c("max_length")) & (_c("min_length") > 0),
@@ -87,7 +87,7 @@ def quality(columns: DataFrame, duplicate_rate: Column | float = 0.0) -> DataFra
     rate = duplicate_rate if isinstance(duplicate_rate, Column) else F.lit(duplicate_rate)
     found, nulls = F.sum(F.size("anomalies")), F.avg("null_rate")
     score = 100 - F.least(F.lit(30.0), 3.0 * found) - F.least(F.lit(20.0), 40 * nulls) - F.least(F.lit(15.0), 100 * F.max(rate))
-    return columns.agg(F.coalesce(F.round(F.greatest(F.lit(0.0), score), 1), F.lit(100.0)).alias("quality_score"))
+    return columns.agg(F.when(F.count(F.lit(1)) == 0, F.lit(100.0)).otherwise(F.round(F.greatest(F.lit(0.0), score), 1)).alias("quality_score"))
 
 
 def _ident(name: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations, permutations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MOST_EXPRESSIONS, bucket, col, union
@@ -16,12 +16,18 @@ def _pairs(columns: list[str], most: int) -> list[tuple[str, str]]:
     return list(combinations(columns[:most], 2))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's coefficient over rows with both values; null where it is undefined, in any ANSI mode."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def pearson(df: DataFrame, columns: list[str] | None = None, most: int = 20) -> DataFrame:
     """col1, col2, pearson (4 decimals) of every pair of the first ``most`` numeric columns; null if undefined."""
     pairs, parts = _pairs(columns_of(df.schema, *NUMERIC) if columns is None else columns, most), []
     for i in range(0, len(pairs), MOST_EXPRESSIONS // 2):
         some = pairs[i : i + MOST_EXPRESSIONS // 2]
-        row = df.agg(*[F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{n}") for n, (a, b) in enumerate(some)])
+        row = df.agg(*[correlation(col(a).cast("double"), col(b).cast("double")).alias(f"r{n}") for n, (a, b) in enumerate(some)])
         parts.append(row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.round(F.nanvl(F.col(f"r{n}"), F.lit(None)), 4).alias("pearson")) for n, (a, b) in enumerate(some)]))))
     return union(parts) if parts else df.sparkSession.createDataFrame([], "col1 string, col2 string, pearson double")
 
@@ -52,7 +58,7 @@ def spearman(df: DataFrame, columns: list[str] | None = None, most: int = 20, di
             ranked = rows.join(_min_ranks(rows, "x"), "x").join(_min_ranks(rows, "y"), "y").select(F.col("rank_x").alias("x"), F.col("rank_y").alias("y"))
         else:
             ranked = rows.select(F.rank().over(Window.orderBy("x")).alias("x"), F.rank().over(Window.orderBy("y")).alias("y"))
-        r = F.corr(F.col("x").cast("double"), F.col("y").cast("double"))
+        r = correlation(F.col("x").cast("double"), F.col("y").cast("double"))
         parts.append(ranked.agg(F.round(F.nanvl(r, F.lit(None)), 4).alias("spearman")).select(F.lit(a).alias("col1"), F.lit(b).alias("col2"), "spearman"))
     return union(parts) if parts else df.sparkSession.createDataFrame([], "col1 string, col2 string, spearman double")
 
@@ -84,7 +90,7 @@ def nmi(df: DataFrame, columns: list[str] | None = None, most: int = 20, bins: i
         (-F.sum(F.col("a") / t * F.log(F.col("a") / t) / F.col("ni"))).alias("hx"),
         (-F.sum(F.col("b") / t * F.log(F.col("b") / t) / F.col("nj"))).alias("hy"),
     )
-    value = F.when((F.col("hx") < 1e-12) | (F.col("hy") < 1e-12), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("mi") / F.sqrt(F.col("hx") * F.col("hy")))), 4))
+    value = F.when((F.col("hx") < 1e-12) | (F.col("hy") < 1e-12), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("mi"), F.sqrt(F.col("hx") * F.col("hy"))))), 4))
     names = F.array(*[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2")) for a, b in pairs])
     return sums_.select(names[F.col("pair")]["col1"].alias("col1"), names[F.col("pair")]["col2"].alias("col2"), value.alias("nmi"))
 
@@ -109,7 +115,7 @@ def cramers_v(df: DataFrame, columns: list[str] | None = None, most: int = 5, fu
         row = cells.agg(F.sum(F.pow(F.col("n") - e, 2) / e).alias("chi2"), F.sum(e).alias("seen"), F.max("all").alias("all"), F.count_distinct("a").alias("k1"), F.count_distinct("b").alias("k2"))
         chi2 = F.col("chi2") + ((F.col("all") - F.col("seen")) if full_chi2 else F.lit(0.0))
         k = F.least("k1", "k2") - 1
-        parts.append(row.select(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.when((k > 0) & (F.col("all") > 0), F.round(F.sqrt(chi2 / (F.col("all") * k)), 4)).otherwise(0.0).alias("cramers_v")))
+        parts.append(row.select(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.when((k > 0) & (F.col("all") > 0), F.round(F.sqrt(F.try_divide(chi2, F.col("all") * k)), 4)).otherwise(0.0).alias("cramers_v")))
     return union(parts) if parts else df.sparkSession.createDataFrame([], "col1 string, col2 string, cramers_v double")
 
 

@@ -34,7 +34,7 @@ def counts(df: DataFrame, columns: list[str] | None = None, batch: int | None =
     columns = df.columns if columns is None else columns
     out = long_form(df, columns, {"total_rows": lambda c: F.count(F.lit(1)), "non_null": lambda c: F.count(col(c))}, batch)
     nulls = F.col("total_rows") - F.col("non_null")
-    return out.select("*", nulls.alias("null_count"), F.when(F.col("total_rows") > 0, nulls / F.col("total_rows")).otherwise(0.0).alias("null_rate"))
+    return out.select("*", nulls.alias("null_count"), F.coalesce(F.try_divide(nulls, F.col("total_rows")), F.lit(0.0)).alias("null_rate"))
 
 
 def extremes(df: DataFrame, columns: list[str] | None = None, batch: int | None = None) -> DataFrame:
@@ -59,8 +59,8 @@ def moments(df: DataFrame, columns: list[str] | None = None, bias_corrected: boo
     if bias_corrected:
         n, g1, g2 = F.col("n"), F.col("skewness"), F.col("kurtosis")
         out = out.withColumns({
-            "skewness": F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * g1),
-            "kurtosis": F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)),
+            "skewness": F.when(n > 2, F.try_divide(F.sqrt(n * (n - 1)), n - 2) * g1),
+            "kurtosis": F.when(n > 3, F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6)),
         })
     return out.drop("n")
 
@@ -84,7 +84,7 @@ def spread(profile: DataFrame) -> DataFrame:
         "*",
         F.round(iqr, 6).alias("iqr"),
         F.round(F.col("max") - F.col("min"), 6).alias("range"),
-        F.when(F.col("mean") != 0, F.round(F.abs(F.col("stddev") / F.col("mean")), 6)).alias("cv"),
+        F.when(F.col("mean") != 0, F.round(F.abs(F.try_divide(F.col("stddev"), F.col("mean"))), 6)).alias("cv"),
         F.round(F.col("p25") - 1.5 * iqr, 6).alias("lower_fence"),
         F.round(F.col("p75") + 1.5 * iqr, 6).alias("upper_fence"),
     )
@@ -101,8 +101,8 @@ def booleans(df: DataFrame, columns: list[str] | None = None, batch: int | None
     out = long_form(df, columns, {"non_null": lambda c: F.count(col(c))} | REGISTRY["boolean"], batch)
     t, n = F.coalesce("true_count", F.lit(0)), F.col("non_null")
     f = n - t
-    rate = lambda x: F.when(n > 0, F.round(x / n, 6))
-    return out.select("column_name", t.alias("true_count"), f.alias("false_count"), rate(t).alias("true_rate"), rate(f).alias("false_rate"), F.when((t > 0) & (f > 0), F.round(F.greatest(t, f) / F.least(t, f), 4)).alias("imbalance_ratio"))
+    rate = lambda x: F.round(F.try_divide(x, n), 6)
+    return out.select("column_name", t.alias("true_count"), f.alias("false_count"), rate(t).alias("true_rate"), rate(f).alias("false_rate"), F.when((t > 0) & (f > 0), F.round(F.try_divide(F.greatest(t, f), F.least(t, f)), 4)).alias("imbalance_ratio"))
 
 
 def dates(df: DataFrame, as_of: str | Column, columns: list[str] | None = None, batch: int | None = None) -> DataFrame:
@@ -116,7 +116,7 @@ def dates(df: DataFrame, as_of: str | Column, columns: list[str] | None = None,
 
 def granularity(days: Column, distinct: Column) -> Column:
     """daily, weekly, monthly or yearly, by the number of values that such a series would have."""
-    near = lambda every, low, high: (distinct / (days / every)).between(low, high)
+    near = lambda every, low, high: F.try_divide(distinct, days / every).between(low, high)
     return (
         F.when((days >= 7) & near(1, 0.7, 1.3), "daily")
         .when((days >= 28) & near(7, 0.7, 1.3), "weekly")

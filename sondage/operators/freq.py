@@ -26,7 +26,7 @@ def exact_distinct(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         table(df, c).agg(F.count("*").alias("distinct_values"), F.count_if(F.col("freq") == 1).alias("unique_count"), F.max("freq").alias("top_frequency")).select(F.lit(c).alias("column_name"), "*")
         for c in columns
     ]
-    ratio = F.when(F.col("distinct_values") > 0, F.round(F.col("unique_count") / F.col("distinct_values"), 6))
+    ratio = F.when(F.col("distinct_values") > 0, F.round(F.try_divide("unique_count", "distinct_values"), 6))
     return union(parts).select("column_name", "distinct_values", "unique_count", ratio.alias("uniqueness_ratio"), "top_frequency")
 
 
@@ -37,7 +37,7 @@ def keys(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     for c in columns:
         groups = df.groupBy(col(c).alias("v")).agg(F.count("*").alias("n"))
         parts.append(groups.agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct_values")).select(F.lit(c).alias("column_name"), "*"))
-    ratio = F.when(F.col("rows") > 0, F.round(F.col("distinct_values") / F.col("rows"), 6)).otherwise(0.0)
+    ratio = F.when(F.col("rows") > 0, F.round(F.try_divide("distinct_values", "rows"), 6)).otherwise(0.0)
     pk = (F.coalesce("rows", F.lit(0)) > 0) & (F.col("nulls") == 0) & (F.col("distinct_values") >= 0.99 * F.col("rows"))
     return union(parts).select("column_name", "distinct_values", ratio.alias("distinct_ratio"), F.coalesce(pk, F.lit(False)).alias("pk_candidate"))
 

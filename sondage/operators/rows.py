@@ -21,4 +21,4 @@ def duplicates(df: DataFrame, most_columns: int = 50) -> DataFrame:
     keys = [F.to_json(col(c)).alias(f"k{i}") if f.dataType.simpleString().startswith(("map", "variant")) else col(c).alias(f"k{i}") for i, (c, f) in enumerate(zip(df.columns, df.schema.fields))]
     groups = df.groupBy(*keys).agg(F.count("*").alias("n"))
     extra, rows = F.coalesce(F.sum(F.col("n") - 1), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
-    return groups.agg(extra.alias("duplicate_row_count"), F.when(rows > 0, extra / rows).otherwise(0.0).alias("duplicate_rate"))
+    return groups.agg(extra.alias("duplicate_row_count"), F.coalesce(F.try_divide(extra, rows), F.lit(0.0)).alias("duplicate_rate"))

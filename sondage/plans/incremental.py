@@ -115,7 +115,7 @@ def partials(df: DataFrame, columns: list[str], *keys: str) -> DataFrame:
 
 def merge_partials(parts: DataFrame, *keys: str) -> DataFrame:
     """One row per keys and column_name over all partial rows, by the parallel form of Welford's sums."""
-    n, mean = F.sum("non_null"), F.sum(F.col("mean") * F.col("non_null")) / F.sum("non_null")
+    n, mean = F.sum("non_null"), F.try_divide(F.sum(F.col("mean") * F.col("non_null")), F.sum("non_null"))
     # m2 of the whole: the parts' own plus what their means differ from the common one
     m2 = F.sum("m2") + F.sum(F.col("non_null") * F.pow("mean", F.lit(2))) - n * F.pow(mean, F.lit(2))
     return parts.groupBy(*keys, "column_name").agg(F.sum("rows").alias("rows"), n.alias("non_null"), mean.alias("mean"), F.greatest(m2, F.lit(0.0)).alias("m2"), F.min("least").alias("least"), F.max("largest").alias("largest"), F.hll_union_agg("sketch").alias("sketch"))

@@ -32,7 +32,7 @@ def overlap(left: DataFrame, left_columns: list[str], right: DataFrame, right_co
     flags = a.withColumn("l", F.lit(1)).unionByName(b.withColumn("l", F.lit(2))).groupBy(*keys).agg(F.sum("l").alias("s"))
     counts = flags.agg(F.count_if(F.col("s") == 3).alias("overlap_count"), F.count_if(F.col("s") != 2).alias("left_distinct"), F.count_if(F.col("s") != 1).alias("right_distinct"))
     raw = F.least(F.lit(1.0), F.col("overlap_count") / F.lit((limit or 10_000) // 10))
-    share = lambda n: F.when(F.col(n) > 0, F.round(F.col("overlap_count") / F.col(n), 6)).otherwise(0.0)
+    share = lambda n: F.coalesce(F.round(F.try_divide("overlap_count", n), 6), F.lit(0.0))
     return counts.select("*", share("left_distinct").alias("left_contained"), share("right_distinct").alias("right_contained"), F.when(raw > 0.1, F.least(F.lit(1.0), 0.5 + 0.5 * raw)).otherwise(raw).alias("confidence"))
 
 
