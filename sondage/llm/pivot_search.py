@@ -78,29 +78,44 @@ def _search(k: int):
             # doubles hold the products exactly below 2^53; larger ones are summed as integers
             exact = float(np.abs(x).max()) ** 2 * x.shape[1] < 2**53
             whole = None if exact else cand.astype(np.int64)
-            step = max(1, (1 << 22) // max(1, cand_d.size))
-            for a in range(0, len(at), step):
-                block = at[a : a + step]
-                low = np.abs(d[block][:, None] - cand_d[None]).max(2)
-                top = (norm[s:e][block][:, None] + cand_n[None] - low * low) / 2
-                top += 1e-9 * (norm[s:e][block][:, None] + cand_n[None] + 1)
-                for row, q in zip(top, block.tolist()):
-                    least, me = floor[s + q], ids[s + q]
+            asked, columns = d.astype(np.float32), np.ascontiguousarray(cand_d.T, np.float32)
+            for a in range(0, len(at), 128):
+                block = at[a : a + 128]
+                low = np.zeros((len(block), len(of)), np.float32)
+                for p, column in enumerate(columns):
+                    np.maximum(low, np.abs(asked[block, p][:, None] - column), out=low)
+                # single precision makes the bounds up to 1e-6 of the norms too low; the slack is more
+                both = norm[s:e][block][:, None] + cand_n[None] + 1
+                top = (both - low * low.astype(np.float64)) / 2 + 1e-4 * both
+                least, me = floor[s:e][block], ids[s:e][block]
+                alive = top >= least[:, None]
+                if alive.mean() > 0.05:  # so many remain that one product is less work than going in order
+                    score = (x[block] @ cand.T).astype(np.int64) if exact else x[block].astype(np.int64) @ whole.T
+                    alive &= cand_id[None] != me[:, None]
+                    alive &= score >= np.where(np.isfinite(least), least, -(2.0**63))[:, None]
+                    p, c = np.nonzero(alive)
+                    order = np.lexsort((cand_id[c], -score[p, c], p))
+                    p, c = p[order], c[order]
+                    best = np.arange(len(p)) - np.searchsorted(p, p) < k
+                    out.append((me[p[best]], cand_id[c[best]], score[p[best], c[best]]))
+                    continue
+                for row, q, least, me in zip(top, block.tolist(), least.tolist(), me.tolist()):
                     order = np.flatnonzero(row >= least)
                     order = order[np.argsort(-row[order], kind="stable")]
-                    got_s, got_i, size = np.zeros(0), np.zeros(0, np.int64), 4 * k
+                    got_s, got_i, size = np.zeros(0, np.int64), np.zeros(0, np.int64), 4 * k
                     while len(order) and row[order[0]] >= least:
                         now, order = order[:size], order[size:]
                         now = now[cand_id[now] != me]
-                        score = cand[now] @ x[q] if exact else (whole[now] @ x[q].astype(np.int64))
-                        got_s, got_i = np.concatenate([got_s, score]) if exact else np.concatenate([got_s.astype(np.int64), score]), np.concatenate([got_i, cand_id[now]])
+                        score = (cand[now] @ x[q]).astype(np.int64) if exact else whole[now] @ x[q].astype(np.int64)
+                        got_s, got_i = np.concatenate([got_s, score]), np.concatenate([got_i, cand_id[now]])
                         best = np.lexsort((got_i, -got_s))[:k]
                         got_s, got_i = got_s[best], got_i[best]
                         if len(got_s) == k:
                             least = max(least, float(got_s[-1]))
                         size *= 4
-                    if len(got_s):
-                        out.append((np.full(len(got_s), me), got_i, got_s.astype(np.int64)))
+                    some = got_s >= floor[s + q]
+                    if some.any():
+                        out.append((np.full(int(some.sum()), me), got_i[some], got_s[some]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "id", "score"])
 
