@@ -64,12 +64,14 @@ def _verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFr
     some = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
     found = some.select("id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     found = found.join(F.broadcast(places) if places.count() <= BROADCAST_ROWS else places, ["id", "place"])
-    sets = scratch.write(found.select("node", shingle_hashes(F.col("line"), k).alias("s")).dropDuplicates(["node"]))
-    one, two = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = join_hot(join_hot(pairs, two, "b", "a"), one, "a", "b")
-    least, most = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    both = both.where(100 * least >= percent * most).withColumn("same", F.size(F.array_intersect("sa", "sb")))
-    return both.where(100 * F.col("same") >= percent * (F.size("sa") + F.size("sb") - F.col("same"))).select("a", "b")
+    spelled = scratch.write(found.select("node", "line"))
+    one, two = (spelled.select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+    # lines are shipped, not sets, which are eight times as large; a hot line is split by adaptive execution
+    both = pairs.join(two, "b").join(one, "a")
+    # inline() keeps the optimizer from making the sets once for each use
+    sets = both.select("a", "b", F.inline(F.array(F.struct(shingle_hashes(F.col("la"), k).alias("sa"), shingle_hashes(F.col("lb"), k).alias("sb")))))
+    sets = sets.select("a", "b", F.inline(F.array(F.struct(F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("same")))))
+    return sets.where(100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b").distinct()
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
