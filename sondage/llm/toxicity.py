@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 from .arrow_text import ALNUM, LOWER, buffers, chunks, span_hashes, word_bounds
 from .shared import Scratch
 
-FIT_ROWS, VOCABULARY, LEAST_RATIO, K, BLOCK = 12_000, 1024, 12.0, 15, 64
+FIT_ROWS, VOCABULARY, K, BLOCK = 12_000, 1024, 15, 64
+#: A word of the vocabulary has so high a likelihood ratio, and its texts are so many times as often toxic as others.
+LEAST_RATIO, LIFT = 12.0, 3.0
+#: Answers that a worker keeps.
+MOST_KEPT = 50_000
 
 
 def _text_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -61,31 +65,49 @@ class Model:
                 self.top[t, n // BLOCK] = max(self.top[t, n // BLOCK], w)
         self.postings = {key: (np.array([a for a, _ in v]), np.array([b for _, b in v])) for key, v in lists.items()}
         self.curve = np.array([0.0, 1.0])
+        self.kept: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         self._calibrate([vectors[i] for i in some], len(vectors) - len(some), float(labels.sum() - self.labels.sum()))
+        self.kept.clear()
 
     def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms]
         return terms, w / max(np.sqrt((w * w).sum()), 1e-12)
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with a cosine over 0; ties go to the smaller number."""
+    def nearest(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines (9 decimals) of the k + 1 nearest examples with a cosine over 0; ties go to the smaller number.
+
+        Texts of the same direction have the same neighbours, so each worker keeps the answers that it has found.
+        """
         terms, w = self.weigh(terms, counts)
-        bound = w @ self.top[terms] * (1 + 1e-12)
-        got_n, got_c = np.zeros(0, np.int64), np.zeros(0)
+        key = terms.tobytes() + np.round(w, 9).tobytes()
+        if key in self.kept:
+            return self.kept[key]
+        bound = np.ceil((w @ self.top[terms]) * 1e9 - 1e-3) / 1e9
+        got_n, got_c, k = np.zeros(0, np.int64), np.zeros(0), self.k + 1
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(got_c) == self.k and bound[b] < got_c[-1]:
+            if bound[b] <= 0 or len(got_c) == k and bound[b] < got_c[-1]:
                 break
+            if len(got_c) == k and bound[b] == got_c[-1] and b * BLOCK > got_n[-1]:
+                continue  # at best a tie, with larger numbers
             cosine = np.zeros(BLOCK)
             for t, x in zip(terms.tolist(), w.tolist()):
                 if (found := self.postings.get((b, t))) is not None:
                     cosine[found[0]] += x * found[1]
+            cosine = np.round(cosine, 9)
             at = np.flatnonzero(cosine > 0)
-            at = at[at + b * BLOCK != skip]
-            n, c = np.concatenate([got_n, at + b * BLOCK]), np.round(np.concatenate([got_c, cosine[at]]), 12)
-            best = np.lexsort((n, -c))[: self.k]
+            n, c = np.concatenate([got_n, at + b * BLOCK]), np.concatenate([got_c, cosine[at]])
+            best = np.lexsort((n, -c))[:k]
             got_n, got_c = n[best], c[best]
+        if len(self.kept) >= MOST_KEPT:
+            self.kept.clear()
+        self.kept[key] = got_n, got_c
         return got_n, got_c
 
+    def others(self, i: int, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples of the i-th, which is not its own neighbour."""
+        n, c = self.nearest(terms, counts)
+        return n[n != i][: self.k], c[n != i][: self.k]
+
     def vote(self, n: np.ndarray, c: np.ndarray) -> float:
         """Share of toxic neighbours, weighted by distance, with one neighbour's weight of the prior."""
         w = c * c / (1.05 - np.minimum(c, 1))
@@ -94,7 +116,7 @@ class Model:
     def _calibrate(self, vectors: list, rest: int, rest_toxic: float) -> None:
         if not vectors:
             return
-        votes = np.array([self.vote(*self.nearest(*v, skip=i)) for i, v in enumerate(vectors)] + [self.prior] * (rest > 0))
+        votes = np.array([self.vote(*self.others(i, *v)) for i, v in enumerate(vectors)] + [self.prior] * (rest > 0))
         weight = np.append(np.ones(len(vectors)), [rest] * (rest > 0))
         y = np.append(self.labels, [rest_toxic / rest] if rest else [])
         x = np.stack([np.ones(len(votes)), _logit(votes)], 1)
@@ -163,7 +185,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     share = F.lit(n1 / max(n0 + n1, 1))
     a, b, m = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     g2 = 2 * (part(a, m * share) + part(b, m * (1 - share)) + part(F.lit(n1) - a, (F.lit(n0 + n1) - m) * share) + part(F.lit(n0) - b, (F.lit(n0 + n1) - m) * (1 - share)))
-    chosen = seen.where((a > m * share) & (a >= 3)).withColumn("g2", g2).where(F.col("g2") >= LEAST_RATIO).orderBy(F.desc("g2"), "word").limit(vocabulary).select("word").toArrow()
+    chosen = seen.where((a >= LIFT * m * share) & (a >= 3)).withColumn("g2", g2).where(F.col("g2") >= LEAST_RATIO).orderBy(F.desc("g2"), "word").limit(vocabulary).select("word").toArrow()
     words = np.sort(chosen["word"].to_numpy().view(np.uint64)) if n0 and n1 else np.zeros(0, np.uint64)
     held = scratch.write(texts.mapInArrow(_known(words), f"id {kind}, terms array<long>, counts array<long>"))
     df = {r["t"]: r["n"] for r in held.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most ``vocabulary`` rows
@@ -181,9 +203,11 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
             ends, flat, many = terms.offsets.to_numpy(), terms.values.to_numpy(), counts.values.to_numpy().astype(np.float64)
             votes, near = np.full(batch.num_rows, m.prior), [[] for _ in range(batch.num_rows)]
             for i in np.flatnonzero(np.diff(ends)).tolist():
-                found = m.nearest(flat[ends[i] : ends[i + 1]], many[ends[i] : ends[i + 1]])
+                found = [x[: m.k] for x in m.nearest(flat[ends[i] : ends[i + 1]], many[ends[i] : ends[i + 1]])]
                 votes[i], near[i] = m.vote(*found), m.ids[found[0]].tolist()
             score = m.score(votes) if len(m.words) else votes
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(near, pa.list_(pa.int64())), pa.array(np.diff(ends).astype(np.int32))], names=["id", "score", "predicted", "neighbours", "words"])
 
-    return held.mapInArrow(run, f"id {kind}, score double, predicted int, neighbours array<long>, words int").withColumnRenamed("id", id_col)
+    # few bytes a text, but work for each: dealt out by number of tasks, not by size
+    dealt = held.repartition(4 * spark.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, f"id {kind}, score double, predicted int, neighbours array<long>, words int").withColumnRenamed("id", id_col)
