@@ -25,37 +25,45 @@ _CLASS[65:91] = np.arange(97, 123)
 _CLASS[128:] = np.arange(128, 256)
 
 
-def trigrams(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray]]:
-    """For runs of texts: first, last + 1, and the counts of the DIMS trigram buckets by text (float32)."""
+def trigrams(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of texts: first, last + 1, the counts of the DIMS trigram buckets by text (float32), and whether it has
+    an ASCII letter. A text counts as if it stood between spaces."""
     data, offsets = buffers(column)
     for first, last, part, cut in chunks(data, offsets, size):
         out = np.zeros((last - first, DIMS), np.float32)
-        for a, b, text in _pieces(part, cut):
+        plain = np.zeros(last - first, bool)
+        for a, b, text, ends in _pieces(part, cut):
             x = _CLASS[text]
             x[1:] += 32 * ((text[:-1] == 0xC3) & (text[1:] >= 0x80) & (text[1:] <= 0x9E)).astype(np.uint8)  # capitals of Latin-1
-            doc = np.repeat(np.arange(a, b), np.diff(np.clip(cut[a : b + 1], cut[a], cut[a] + len(x)))) if b - a > 1 else np.full(len(x), a)
-            if len(x) < 3:
-                continue
+            doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            plain[a + doc[(x >= 97) & (x <= 122)]] = True
             h = (x[:-2].astype(np.uint32) * 0x9E3779B1 + x[1:-1].astype(np.uint32) * 0x85EBCA6B + x[2:].astype(np.uint32) * 0xC2B2AE35).astype(np.uint32)
             h = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(20)
             ok = (doc[:-2] == doc[2:]) & ((x[:-2] != 32) | (x[1:-1] != 32)) & ((x[1:-1] != 32) | (x[2:] != 32))
-            n = np.bincount((doc[:-2][ok] - a) * DIMS + h[ok], minlength=(b - a) * DIMS)
+            n = np.bincount(doc[:-2][ok] * DIMS + h[ok], minlength=(b - a) * DIMS)
             out[a:b] += n.reshape(b - a, DIMS).astype(np.float32)
-        yield first, last, out
+        yield first, last, out, plain
 
 
-def _pieces(part: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Up to 256 texts at a time; a long text alone in parts that overlap by two bytes."""
+def _pieces(part: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First and last + 1 text, their bytes with a space at both ends of each, and offsets: up to 256 texts at a time.
+
+    A long text comes alone, in parts that overlap by two bytes.
+    """
     n, a, most = len(cut) - 1, 0, 1 << 20
     while a < n:
         b = min(n, a + 256)
         if cut[b] - cut[a] > 2 * most and b - a > 1:
             b = max(a + 1, int(np.searchsorted(cut, cut[a] + most, "right")) - 1)
+        size = np.diff(cut[a : b + 1])
+        ends = np.concatenate([[0], np.cumsum(size + 2)])
+        text = np.full(ends[-1], 32, np.uint8)
+        text[np.arange(size.sum()) + 2 * np.repeat(np.arange(b - a), size) + 1] = part[cut[a] : cut[b]]
         if b - a == 1:
-            for s in range(int(cut[a]), int(cut[b]), most):
-                yield a, b, part[s : min(s + most + 2, int(cut[b]))]
+            for s in range(0, max(1, len(text) - 2), most):
+                yield a, b, text[s : s + most + 2], np.array([0, min(most + 2, len(text) - s)])
         else:
-            yield a, b, part[cut[a] : cut[b]]
+            yield a, b, text, ends
         a = b
 
 
@@ -103,7 +111,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         n, df = 0, np.zeros(DIMS, np.int64)
         for batch in batches:
             n += batch.num_rows
-            for _, _, c in trigrams(batch.column(0)):
+            for _, _, c, _ in trigrams(batch.column(0)):
                 df += (c > 0).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(DIMS), -1)), pa.array(np.append(df, n))], names=["gram", "n"])
 
@@ -115,7 +123,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, c in trigrams(batch.column(1)):
+            for first, last, c, _ in trigrams(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([np.minimum(r, 65535).astype(np.uint16).tobytes() for r in c], pa.binary())], names=["lang", "counts"])
 
     sample = labelled.join(F.broadcast(keys.select("id").distinct()), "id", "left_semi").select("lang", "text").mapInArrow(vectors, "lang string, counts binary").toArrow()
@@ -144,16 +152,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         model = spec.value
         names = np.array([*model.names, "und"], object)
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            ascii_letters = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))])
-            plain = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
-            for first, last, c in trigrams(batch.column(1)):
+            for first, last, c, plain in trigrams(batch.column(1)):
                 if model.names:
                     number, score, far = model.predict(c)
                 else:
                     number, score, far = np.zeros(last - first, np.int64), np.zeros(last - first), np.ones(last - first, bool)
                 none = np.zeros(last - first, bool) | (not model.names)
-                for i in np.flatnonzero(~plain[first:last]).tolist():
+                for i in np.flatnonzero(~plain).tolist():
                     text = batch.column(1)[first + i].as_py()
                     none[i] = none[i] or not any(ch.isalpha() for ch in text or "")
                 number, score, far = np.where(none, len(model.names), number), np.where(none, 0.0, score), far | none

@@ -144,7 +144,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors of the same length are linked when their cosine is at least ``similarity``; a component is what links
     reach, named by its smallest id, which is kept. Null, empty and zero vectors and those with null or non-finite
-    components are linked with nothing and kept. Equal vectors are linked. Ids are integers and unique.
+    components are linked with nothing and kept. Equal vectors are linked. Ids are integers;
+    rows that repeat an id count as vectors of their own and get the same result.
     """
     scratch = Scratch(vectors.sparkSession, "near-vectors")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -164,6 +165,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     of_group = groups.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     of_group = of_group.select("f1", "f2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     of_id = made.select("id", "f1", "f2").join(of_group, ["f1", "f2"])
-    out = rows.select("id").join(of_id.select("id", "n_links", "component_id"), "id", "left")
+    out = rows.select("id").join(of_id.select("id", "n_links", "component_id").dropDuplicates(["id"]), "id", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
