@@ -32,25 +32,34 @@ def pearson(df: DataFrame, columns: list[str] | None = None, most: int = 20) ->
     return union(parts) if parts else df.sparkSession.createDataFrame([], "col1 string, col2 string, pearson double")
 
 
-def _min_ranks(rows: DataFrame, c: str) -> DataFrame:
-    """value -> rank (1 + the number of smaller values), from the value frequencies, in sorted ranges of values.
+def _min_ranks(rows: DataFrame, c: str, ranges: int = 64) -> DataFrame:
+    """value -> rank (1 + the number of smaller values), from the value frequencies, in ranges of values.
 
     Running sums are taken inside each range and shifted by the totals of the ranges before, so that no single task
-    sees all values.
+    sees all values. The ranges' bounds are approximate quantiles of the distinct values.
     """
     freq = rows.groupBy(col(c).alias("v")).agg(F.count("*").alias("n"))
-    dealt = freq.repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    bounds = freq.agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], F.lit(1000))).first()[0] or []
+    below = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col("v"))) if bounds else F.lit(0)
+    dealt = freq.withColumn("part", below)
     own = dealt.withColumn("before", F.sum("n").over(Window.partitionBy("part").orderBy("v")) - F.col("n"))
     totals = dealt.groupBy("part").agg(F.sum("n").alias("t"))
     shift = totals.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("shift"))  # one row a range
     return own.join(F.broadcast(shift), "part").select(F.col("v").alias(c), (F.col("before") + F.col("shift") + 1).alias(f"rank_{c}"))
 
 
-def spearman(df: DataFrame, columns: list[str] | None = None, most: int = 20, distributed: bool = False) -> DataFrame:
+#: Rows that one task may sort for ranks.
+SORTED_ROWS = 2_000_000
+
+
+def spearman(df: DataFrame, columns: list[str] | None = None, most: int = 20, distributed: bool | None = None) -> DataFrame:
     """col1, col2, spearman (4 decimals): correlation of minimum ranks over the rows where both have a value.
 
-    ``distributed`` ranks by value frequencies in sorted ranges; otherwise by one sorted window a column.
+    ``distributed`` ranks by value frequencies in ranges of values; otherwise by one sorted window a column. By default
+    tables of more than SORTED_ROWS rows are ranked in ranges.
     """
+    if distributed is None:
+        distributed = df.limit(SORTED_ROWS + 1).count() > SORTED_ROWS
     pairs, parts = _pairs(columns_of(df.schema, *NUMERIC) if columns is None else columns, most), []
     for a, b in pairs:
         rows = df.select(col(a).cast("double").alias("x"), col(b).cast("double").alias("y")).where("x is not null and y is not null")

@@ -15,10 +15,15 @@ def completeness(df: DataFrame) -> DataFrame:
 
 
 def duplicates(df: DataFrame, most_columns: int = 50) -> DataFrame:
-    """duplicate_row_count (rows beyond the first of their kind) and duplicate_rate; 0 for wider tables."""
+    """duplicate_row_count (rows beyond the first of their kind) and duplicate_rate; 0 for wider tables.
+
+    Rows are grouped by 128 bits of hashes, so that the shuffle holds no values.
+    """
     if len(df.columns) > most_columns or not df.columns:
         return df.limit(0).agg(F.lit(0).cast("long").alias("duplicate_row_count"), F.lit(0.0).alias("duplicate_rate"))
-    keys = [F.to_json(col(c)).alias(f"k{i}") if f.dataType.simpleString().startswith(("map", "variant")) else col(c).alias(f"k{i}") for i, (c, f) in enumerate(zip(df.columns, df.schema.fields))]
-    groups = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    values = [F.to_json(col(c)) if f.dataType.simpleString().startswith(("map", "variant")) else col(c) for c, f in zip(df.columns, df.schema.fields)]
+    # hashing passes over nulls, so their places are hashed as well
+    nulls = [sum((F.when(col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(df.columns[at : at + 60])), F.lit(0).cast("long")) for at in range(0, len(df.columns), 60)]
+    groups = df.groupBy(F.xxhash64(*nulls, *values).alias("h1"), F.xxhash64(F.lit(1), *nulls, *values).alias("h2")).agg(F.count("*").alias("n"))
     extra, rows = F.coalesce(F.sum(F.col("n") - 1), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
     return groups.agg(extra.alias("duplicate_row_count"), F.coalesce(F.try_divide(extra, rows), F.lit(0.0)).alias("duplicate_rate"))
