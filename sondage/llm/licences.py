@@ -1,10 +1,10 @@
 """Licence scans with a positional rare-token index.
 
 The index holds the words of the licence templates with their places. Over all documents the document frequency of every
-licence word is counted first. Then each file's RARE highest-IDF licence words are looked up; every occurrence at word p
-whose posting says place o of template t votes for t beginning at p - o. Places with the votes of two different rare words
-(or of one, if the template has one only) are compared with the whole template, and the template's mandatory key phrases
-must stand in full where they belong. Short phrases are templates as well: their rarest word alone leads to each place,
+licence word is counted first; a template's highest-IDF words (up to ANCHORS, at most half of it) are its rare tokens. Then
+each file's rare tokens are looked up; every occurrence at word p whose posting says place o of template t votes for t
+beginning at p - o. Places with the votes of two different tokens are compared with the whole template, and the template's
+mandatory key phrases must stand in full where they belong. Short phrases are templates as well: their rarest word alone leads to each place,
 and all their words must follow each other, so none is missed.
 """
 
@@ -48,7 +48,7 @@ TEMPLATES = (
 )
 #: Phrases that are looked for exactly, with their labels (fixed values).
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-RARE, STOP_SHARE, MATCHED = 8, 0.05, 0.8
+ANCHORS, MATCHED = 4, 0.8
 
 
 class Index:
@@ -72,6 +72,14 @@ class Index:
             for o, w in enumerate(ids.tolist()):
                 self.postings.setdefault(w, []).append((t, o))
 
+    def rare(self, idf: np.ndarray) -> np.ndarray:
+        """By word number, and False at -1: whether it is a rare token of a template."""
+        out = np.zeros(len(self.words) + 1, bool)
+        for ids in self.spelled:
+            kinds = np.array(list(dict.fromkeys(ids.tolist())))
+            out[kinds[np.argsort(-idf[kinds], kind="stable")[: max(2, min(ANCHORS, -(-len(ids) // 2)))]]] = True
+        return out
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Of word hashes: the licence word's number, or -1."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -105,22 +113,19 @@ def document_frequencies(docs: DataFrame, index: Index, text_col: str = "text")
     return by_word.get(-1, 0), np.array([by_word.get(i, 0) for i in range(len(index.words))], np.int64)
 
 
-def _find(ids: np.ndarray, index: Index, idf: np.ndarray, rare: np.ndarray) -> list[tuple[str, int, int, float]]:
+def _find(ids: np.ndarray, index: Index, rare: np.ndarray) -> list[tuple[str, int, int, float]]:
     """(label, first word, last word + 1, share of words that agree) of the templates in one document."""
     here = np.flatnonzero((ids >= 0) & rare[ids])
     if not len(here):
         return []
-    kinds = np.unique(ids[here])
-    best = set(kinds[np.argsort(-idf[kinds], kind="stable")][:RARE].tolist())
     votes: dict[tuple[int, int], set[int]] = {}
-    for p in here.tolist():
-        if (w := int(ids[p])) in best:
-            for t, o in index.postings.get(w, ()):
-                votes.setdefault((t, p - o), set()).add(w)
+    for p, w in zip(here.tolist(), ids[here].tolist()):
+        for t, o in index.postings[w] if w in index.postings else ():
+            votes.setdefault((t, p - o), set()).add(w)
     out = []
     for (t, at), by in votes.items():
         spelled = index.spelled[t]
-        if len(by) < min(2, len(best & set(spelled.tolist()))):
+        if len(by) < 2:
             continue
         low, high = max(0, at), min(len(ids), at + len(spelled))
         share = float((ids[low:high] == spelled[low - at : high - at]).sum()) / len(spelled)
@@ -147,7 +152,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     index = Index(templates, phrases)
     n, df = document_frequencies(docs, index, text_col)
     idf = np.log((n + 1) / (df + 1))
-    rare = np.append(df <= max(1, STOP_SHARE * n), False)  # a word of a larger share of documents leads nowhere
+    rare = index.rare(idf)
     kind = docs.schema[id_col].dataType.simpleString()
     spelled = [(np.array([index.number[w] for w in p.split()]), label) for p, label in phrases]
 
@@ -169,7 +174,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 maybe = np.unique(np.searchsorted(cut, np.flatnonzero((ids >= 0) & rare[ids]), "right") - 1)
                 spans: list[list] = [[] for _ in range(m)]
                 for t in maybe.tolist():
-                    spans[t] = _find(ids[cut[t] : cut[t + 1]], index, idf, rare)
+                    spans[t] = _find(ids[cut[t] : cut[t + 1]], index, rare)
                 base = [sorted({x for x, _ in f}) for f in found]
                 every = [sorted({*b, *(s[0] for s in sp)}) for b, sp in zip(base, spans)]
                 score = [1.0 if f else max((s[3] for s in sp), default=0.0) for f, sp in zip(found, spans)]
