@@ -135,7 +135,7 @@ def confirm(scratch: Scratch, pairs: DataFrame, docs: DataFrame, k: int, percent
     ids = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     sets = scratch.write(_sets(_of_ids(docs, ids), k, table))
     one, two = (sets.select(F.col("id").alias(x), F.col("items").alias(f"s{x}")) for x in "ab")
-    both = join_hot(join_hot(pairs, two, "b", "a"), one, "a", "b")
+    both = pairs.join(two, "b").join(one, "a")  # adaptive execution splits a hot leader
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
