@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+#: Bytes of text that are worked on at once; arrays of eight times the size are made of them.
+CHUNK = 1 << 19
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _ROLL: list[np.ndarray] = []
@@ -51,11 +52,11 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data, offsets - offsets[0]
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of texts of about ``size`` bytes: first and last + 1 text, their bytes and offsets."""
+def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK, most: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of up to ``most`` texts of about ``size`` bytes: first and last + 1 text, their bytes and offsets."""
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
+        last = min(first + most, max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1), n)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 

@@ -29,7 +29,7 @@ def trigrams(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int,
     """For runs of texts: first, last + 1, the counts of the DIMS trigram buckets by text (float32), and whether it has
     an ASCII letter. A text counts as if it stood between spaces."""
     data, offsets = buffers(column)
-    for first, last, part, cut in chunks(data, offsets, size):
+    for first, last, part, cut in chunks(data, offsets, size, 512):
         out = np.zeros((last - first, DIMS), np.float32)
         plain = np.zeros(last - first, bool)
         for a, b, text, ends in _pieces(part, cut):
@@ -126,7 +126,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
             for first, last, c, _ in trigrams(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([np.minimum(r, 65535).astype(np.uint16).tobytes() for r in c], pa.binary())], names=["lang", "counts"])
 
-    sample = labelled.join(F.broadcast(keys.select("id").distinct()), "id", "left_semi").select("lang", "text").mapInArrow(vectors, "lang string, counts binary").toArrow()
+    chosen = labelled.join(F.broadcast(keys.select("id").distinct()), "id", "left_semi").select("lang", "text")
+    sample = chosen.mapInArrow(vectors, "lang string, counts binary").limit(keys.count()).toArrow()  # ids may repeat
     names = sorted(set(sample["lang"].to_pylist()))
     lang = np.array([names.index(x) for x in sample["lang"].to_pylist()], np.int64)
     counts = np.stack([np.frombuffer(x, np.uint16) for x in sample["counts"].to_pylist()]).astype(np.float32) if names else np.zeros((0, DIMS), np.float32)

@@ -174,7 +174,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     first = [F.xxhash64("id"), F.col("id")]
     known = scratch.write(all_marked.where("learn = 1").join(held.select("id"), "id", "left_semi").select("id", "y").orderBy(*first).limit(rows))
     free = held.select("id").join(all_marked, "id", "left_anti").orderBy(*first).limit(pool).select("id", F.lit(-1).alias("y"))
-    sample = held.join(F.broadcast(known.unionByName(free)), "id").orderBy(*first).toArrow()
+    sample = held.join(F.broadcast(known.unionByName(free)), "id").orderBy(*first).limit(rows + pool).toArrow()  # ids may repeat
     y = sample["y"].to_numpy()
     model = None
     if {0, 1} <= set(y.tolist()):

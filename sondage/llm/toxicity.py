@@ -191,7 +191,8 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     df = {r["t"]: r["n"] for r in held.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most ``vocabulary`` rows
     total = held.count()
     idf = np.log((total + 1) / (np.array([df.get(i, 0) for i in range(len(words))], np.float64) + 1)) + 1
-    known = held.join(F.broadcast(marked), "id").select("id", "label", "terms", "counts").toArrow().to_pydict()  # at most ``rows`` rows, of at most ``vocabulary`` terms
+    known = held.join(F.broadcast(marked), "id").select("id", "label", "terms", "counts")
+    known = known.orderBy(F.xxhash64("id"), "id").limit(rows).toArrow().to_pydict()  # ids may repeat; at most ``vocabulary`` terms each
     order = np.argsort(np.array(known["id"])) if known["id"] else []
     vectors = [(np.array(known["terms"][i], np.int64), np.array(known["counts"][i], np.float64)) for i in order]
     model = spark.sparkContext.broadcast(Model(words, idf, vectors, np.array([known["id"][i] for i in order]), np.array([known["label"][i] for i in order], np.float64), prior, k))
