@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .components import components, join_hot
 from .shared import Scratch
 
-SHINGLE, BINS, ROWS = 10, 24, 3
+SHINGLE, BINS, ROWS, AGREE = 10, 24, 3, 12
 BROADCAST_ROWS = 1_000_000
 
 
@@ -30,10 +30,10 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _anchored(line: Column, k: int) -> Column:
     """The shingles that begin a word; those at every place for a line of few words, the line itself if it is short."""
-    words = F.regexp_extract_all(line, F.lit(rf"(?<!\S)(?=(\S.{{{k - 1}}}))"), F.lit(1))
-    every = F.regexp_extract_all(line, F.lit(rf"(?=(.{{{k}}}))"), F.lit(1))
-    few = F.length(line) > 16 * (F.length(line) - F.length(F.regexp_replace(line, r"\s", "")) + 1)
-    return F.when(F.length(line) <= 2 * k, F.array(line)).when(few, every).otherwise(F.concat(words, F.array(F.substring(line, 1, k))))
+    words = F.regexp_extract_all(line, F.lit(f" (?=([^ ].{{{k - 1}}}))"), F.lit(1))
+    every = F.regexp_extract_all(line, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
+    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(F.length(line) <= 2 * k, F.array(line)).when(F.length(line) > 16 * (spaces + 1), every).otherwise(F.concat(words, F.array(F.substring(line, 1, k))))
 
 
 def shingle_hashes(line: Column, k: int) -> Column:
@@ -49,15 +49,27 @@ def _signatures(lines: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("h1", "h2").agg(*[F.min(F.when(F.col("bin") == i, F.col("v"))).alias(f"m{i}") for i in range(BINS)])
 
 
-def _keys(signatures: DataFrame) -> DataFrame:
-    """node and key, for each band."""
+def _full(signatures: DataFrame) -> DataFrame:
+    """node, id, place and the signature as an array; an empty bin has the next one's value."""
     full = [F.coalesce(*[F.col(f"m{(i + d) % BINS}") for d in range(BINS)]) for i in range(BINS)]
-    bands = [F.xxhash64(F.lit(b), *full[b * ROWS : (b + 1) * ROWS]) for b in range(BINS // ROWS)]
-    return signatures.select("node", F.explode(F.array(*bands)).alias("key"))
+    return signatures.select("h1", "h2", "at", "copies", F.monotonically_increasing_id().alias("node"), F.array(*full).alias("signature"))
+
+
+def _keys(signed: DataFrame) -> DataFrame:
+    """node and key, for each band."""
+    bands = [F.xxhash64(F.lit(b), *[F.col("signature")[b * ROWS + r] for r in range(ROWS)]) for b in range(BINS // ROWS)]
+    return signed.select("node", F.explode(F.array(*bands)).alias("key"))
 
 
 def _verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those (a, b) whose shingle sets have 100 * intersection >= percent * union. nodes: node, id, place of a line."""
+    """Those (a, b) whose shingle sets have 100 * intersection >= percent * union. nodes: node, id, place of a line, and signature.
+
+    Pairs whose signatures agree in fewer than AGREE bins are left out first: at the similarity of 0.8 those are two in
+    ten thousand.
+    """
+    bins = lambda x: nodes.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}"))
+    agree = sum((F.when(F.col("sa")[i] == F.col("sb")[i], 1).otherwise(0) for i in range(BINS)), F.lit(0))
+    pairs = scratch.write(pairs.join(bins("b"), "b").join(bins("a"), "a").where(agree >= AGREE).select("a", "b"))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     places = scratch.write(nodes.join(ends, "node").select("node", "id", "place"))
     ids = scratch.write(places.select("id").distinct())
@@ -86,8 +98,8 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     lines = scratch.write(_lines(texts).select("id", "place", "h1", "h2"))
     groups = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "place")).alias("at"), F.count("*").alias("copies"))
-    signed = scratch.write(_signatures(_lines(texts), k).join(groups, ["h1", "h2"]).withColumn("node", F.monotonically_increasing_id()))
-    nodes = signed.select("node", "at.id", "at.place")
+    signed = scratch.write(_full(_signatures(_lines(texts), k).join(groups, ["h1", "h2"])))
+    nodes = signed.select("node", "at.id", "at.place", "signature")
     keys = _keys(signed)
     heads = scratch.write(keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head"))
     shared = scratch.write(join_hot(keys, heads, "key", "node"))
@@ -118,7 +130,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Blank lines and unrepeated ones stay, in their order; a text may become empty. Null texts stay null.
     """
     repeated = line_components(docs, id_col, text_col, k, similarity).where("id <> kept_id or place <> kept_place")
-    gone = repeated.groupBy(F.col("id").alias(id_col)).agg(F.collect_set("place").alias("_gone"))
+    gone = Scratch(docs.sparkSession, "gone").write(repeated.groupBy(F.col("id").alias(id_col)).agg(F.collect_set("place").alias("_gone")))
+    if (gone.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     text = F.col(text_col)
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return docs.join(gone, id_col, "left").select(*[F.when(F.col("_gone").isNull(), text).otherwise(left).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
