@@ -9,8 +9,8 @@ deviations above the mean distance of a pair at the similarity threshold.
 
 Equal sets are one representative from the start, so copies make no pairs. Then links are looked for in two steps, both
 confirmed on the full sets: each representative against the smallest one that it shares a key with; then, in the buckets
-that still hold several components, pairs within r of different components, in blocks of bounded size: each member's
-nearest partner, twice, and at last all that are left. Buckets of one component can add nothing, however large.
+that still hold several components, all pairs within r of different components, in blocks of bounded size. Buckets of one
+component can add nothing, however large.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ WIDTH = SLOTS // CHUNKS
 BLOCK = 1024
 #: Minima that pairs in a block are compared by besides; a pair at the similarity has a distance under 3.5 deviations over the mean.
 LONG = 512
-NEAREST_ROUNDS = 2
 #: Ids that a join may broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 _ODD, _MORE = np.split(np.random.default_rng(7).integers(0, 2**63, SLOTS + LONG, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1), [SLOTS])
@@ -154,11 +153,11 @@ def confirm(scratch: Scratch, pairs: DataFrame, docs: DataFrame, k: int, percent
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _within_blocks(rows: DataFrame, r: int, most: int, percent: int, nearest: bool) -> DataFrame:
+def _within_blocks(rows: DataFrame, r: int, most: int, percent: int) -> DataFrame:
     """Pairs (a < b) of different components within distance r in the same bucket. rows: key, members, rep, comp, n, sig, sketch.
 
     A bucket of m members is cut into g = ceil(m / BLOCK) blocks, and each pair of blocks is a group of its own. A pair
-    comes from the first key that it shares only. ``nearest``: of each member's partners in a group the nearest alone.
+    comes from the first key that it shares only.
     """
     g = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     rows = rows.withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
@@ -189,16 +188,11 @@ def _within_blocks(rows: DataFrame, r: int, most: int, percent: int, nearest: bo
                     far = (sig[u] != sig[v]).sum(1)
                     u, v = u[far <= r], v[far <= r]
                     far = np.concatenate([(sketch[u[d : d + 10_000]] != sketch[v[d : d + 10_000]]).sum(1) for d in range(0, len(u), 10_000)] or [far[:0]])
-                    u, v, far = u[far <= most], v[far <= most], far[far <= most]
+                    u, v = u[far <= most], v[far <= most]
                     first = (keys[u] == keys[v]).argmax(1)
                     mine = keys[u, first] == key[s]
-                    found.append(np.stack([u[mine], v[mine], far[mine]], 1))
-            p, q, far = np.concatenate(found).T if found else np.zeros((3, 0), np.int64)
-            if nearest and len(p):
-                both, with_, far = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([far, far])
-                order = np.lexsort((with_, far, both))
-                one = order[np.append(True, both[order][1:] != both[order][:-1])]
-                p, q = both[one], with_[one]
+                    found.append(np.stack([u[mine], v[mine]], 1))
+            p, q = np.concatenate(found).T if found else np.zeros((2, 0), np.int64)
             p, q = rep[p], rep[q]
             out.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0))
         found = np.concatenate(out)
@@ -207,6 +201,15 @@ def _within_blocks(rows: DataFrame, r: int, most: int, percent: int, nearest: bo
     return rows.mapInArrow(lambda batches: by_groups(batches, ["key", "i", "j"], pairs), "a long, b long").distinct()
 
 
+def _relabelled(scratch: Scratch, labels: DataFrame, linked: DataFrame) -> DataFrame:
+    """Labels (node, component) after further links (a, b): only the components that they touch are joined anew."""
+    end = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    between = linked.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    joined = components(scratch, between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return scratch.write(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(joined))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, table: np.ndarray = NOT_SPACE) -> DataFrame:
     """One row per row of docs: id, n_shingles long, component_id long, kept boolean.
 
@@ -230,24 +233,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = first.groupBy("rep").agg((-F.max(F.struct("count", (-F.col("leader")).alias("l")))["l"]).alias("leader"))
     links = scratch.write(confirm(scratch, first.select(F.col("leader").alias("a"), F.col("rep").alias("b")), texts, k, percent, table))
     labels = components(scratch, links)
-    # what is still apart in a bucket: the nearest partners first, as their links join most of it; then every pair left
-    sketches = None
-    for nearest in (*[True] * NEAREST_ROUNDS, False):
-        named = scratch.write(shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "members", "rep", F.coalesce("component", "rep").alias("comp")))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
-        mixed = join_hot(named, mixed, "key", "rep")
-        if sketches is None:  # the buckets of later rounds are among those of the first
-            mixed = scratch.write(mixed)
-            ids = scratch.write(mixed.select(F.col("rep").alias("id")).distinct())
-            sketches = scratch.write(_sketches(_of_ids(texts, ids), k, table))
-        mixed = mixed.join(reps.select("rep", "n", "sig").join(sketches, "rep"), "rep")
-        more = scratch.write(_within_blocks(mixed, r, _long_threshold(similarity), percent, nearest))
-        linked = scratch.write(confirm(scratch, more, texts, k, percent, table))
-        scratch.drop(named)
-        links = links.unionByName(linked)
-        labels = components(scratch, links)
+    # what is still apart in a bucket
+    named = scratch.write(shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "members", "rep", F.coalesce("component", "rep").alias("comp")))
+    several = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
+    mixed = scratch.write(join_hot(named, several, "key", "rep"))
+    ids = scratch.write(mixed.select(F.col("rep").alias("id")).distinct())
+    sketches = _sketches(_of_ids(texts, ids), k, table)
+    mixed = mixed.join(scratch.write(reps.select("rep", "n", "sig").join(sketches, "rep")), "rep")
+    more = scratch.write(_within_blocks(mixed, r, _long_threshold(similarity), percent))
+    labels = _relabelled(scratch, labels, confirm(scratch, more, texts, k, percent, table))
     of_set = reps.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     of_set = of_set.select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    out = sigs.select("id", "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2").join(of_set, ["f1", "f2"], "left")
+    out = sigs.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("f1")).alias("f1"), "f2").join(of_set, ["f1", "f2"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (component.eqNullSafe(F.col("id"))).alias("kept"))
