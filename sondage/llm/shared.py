@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Sends this library to the application's Python workers, once; they need not find it on a path of their own."""
+    app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parents[1]
+    if app in _SHIPPED or not root.is_dir():
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="sondage-code-"), "sondage.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -28,6 +45,7 @@ class Scratch:
     """Parquet tables of one operator run. ``drop`` removes those that no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_code(spark)
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/sondage/{name}-{uuid.uuid4().hex}"
         self._n = 0
@@ -52,6 +70,7 @@ class Scratch:
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
