@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .components import components, join_hot
 from .shared import Scratch
 
-SHINGLE, BINS, ROWS, AGREE = 10, 24, 3, 12
+SHINGLE, BINS, ROWS = 10, 24, 3
 BROADCAST_ROWS = 1_000_000
 
 
@@ -62,14 +62,7 @@ def _keys(signed: DataFrame) -> DataFrame:
 
 
 def _verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those (a, b) whose shingle sets have 100 * intersection >= percent * union. nodes: node, id, place of a line, and signature.
-
-    Pairs whose signatures agree in fewer than AGREE bins are left out first: at the similarity of 0.8 those are two in
-    ten thousand.
-    """
-    bins = lambda x: nodes.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}"))
-    agree = sum((F.when(F.col("sa")[i] == F.col("sb")[i], 1).otherwise(0) for i in range(BINS)), F.lit(0))
-    pairs = scratch.write(pairs.join(bins("b"), "b").join(bins("a"), "a").where(agree >= AGREE).select("a", "b"))
+    """Those (a, b) whose shingle sets have 100 * intersection >= percent * union. nodes: node, id and place of a line."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     places = scratch.write(nodes.join(ends, "node").select("node", "id", "place"))
     ids = scratch.write(places.select("id").distinct())
@@ -99,7 +92,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = scratch.write(_lines(texts).select("id", "place", "h1", "h2"))
     groups = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "place")).alias("at"), F.count("*").alias("copies"))
     signed = scratch.write(_full(_signatures(_lines(texts), k).join(groups, ["h1", "h2"])))
-    nodes = signed.select("node", "at.id", "at.place", "signature")
+    nodes = signed.select("node", "at.id", "at.place")
     keys = _keys(signed)
     heads = scratch.write(keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head"))
     shared = scratch.write(join_hot(keys, heads, "key", "node"))

@@ -166,3 +166,28 @@ def test_lines(spark):
         want = t if i is None or t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if not x.strip(" ") or place[x] == (i, p))
         assert got[i] == want
     assert lines.drop_repeated_lines(df.limit(0)).count() == 0
+
+
+def _kept_lines(spark, own):
+    """The numbers of the lines that stay, of lines in documents of their own."""
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(4)
+    return {r["doc_id"] for r in lines.drop_repeated_lines(df).where("text <> ''").collect()}
+
+
+def _jaccard(x, y, k=lines.SHINGLE):
+    x, y = ({t[i : i + k] for i in range(len(t) - k + 1)} for t in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def test_lines_of_few_words_are_all_verified(spark):
+    rng = random.Random(5)
+    own, copies = [], []
+    while len(own) < 300:
+        x = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(9, 15))) for _ in range(8))
+        at = rng.randrange(len(x))
+        y = x[:at] + "q" + x[at + 1 :]
+        if 0.8 <= _jaccard(x, y) < 1:
+            own.append(x)
+            copies.append(y)
+    kept = _kept_lines(spark, own + copies)
+    assert kept >= set(range(300)) and len(kept) <= 300 + 3
