@@ -1,11 +1,11 @@
 """Fuzzy line dedup with DataFrame functions only.
 
-A line's shingles are its runs of SHINGLE characters. The signature takes the shingles that begin a word, a sample that
-the content itself picks, hashes each once and keeps the least hash of each of BINS bins (one-permutation MinHash; an
-empty bin borrows from the next). Lines without enough word beginnings are sampled at every place. Bands of ROWS bins
-make the keys; each line is paired with the first line of every bucket that it is in, and, where that fails, with the
-first line that is linked to nothing yet. The pairs are verified by the Jaccard similarity of all their shingles, and
-distributed union-find keeps one line of each component: the one that comes first.
+A line's shingles are its runs of SHINGLE characters. The signature of a line of many words takes the shingles that begin
+a word, a sample that the content itself picks; that of a line of few or long words takes all; lines between have both.
+Each shingle is hashed once and the least hash of each of BINS bins is kept (one-permutation MinHash; an empty bin borrows
+from the next). Bands of ROWS bins make the keys; each line is paired with the first line of every bucket that it
+is in, and, where that fails, with the first line that is linked to nothing yet. The pairs are verified by the Jaccard
+similarity of all their shingles, and distributed union-find keeps one line of each component: the one that comes first.
 
 Equal lines are one node from the start. Hashing and minima run in one aggregation that combines before it shuffles.
 """
@@ -19,6 +19,8 @@ from .components import components, join_hot
 from .shared import Scratch
 
 SHINGLE, BINS, ROWS = 10, 24, 3
+#: Words and characters a word between which a line has both kinds of samples.
+FEW, WIDE = (16, 24), (12, 20)
 BROADCAST_ROWS = 1_000_000
 
 
@@ -28,37 +30,45 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("id", "place", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
-def _anchored(line: Column, k: int) -> Column:
-    """The shingles that begin a word; those at every place for a line of few words, the line itself if it is short."""
-    words = F.regexp_extract_all(line, F.lit(f" (?=([^ ].{{{k - 1}}}))"), F.lit(1))
-    every = F.regexp_extract_all(line, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
-    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.when(F.length(line) <= 2 * k, F.array(line)).when(F.length(line) > 16 * (spaces + 1), every).otherwise(F.concat(words, F.array(F.substring(line, 1, k))))
+def _every(line: Column, k: int) -> Column:
+    return F.when(F.length(line) < k, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1)))
 
 
 def shingle_hashes(line: Column, k: int) -> Column:
     """The distinct hashes of all runs of k characters; of the whole line if it is shorter."""
-    every = F.regexp_extract_all(line, F.lit(rf"(?=(.{{{k}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(F.when(F.length(line) < k, F.array(line)).otherwise(every), lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.transform(_every(line, k), lambda s: F.xxhash64(s)))
+
+
+def _samples(lines: DataFrame, k: int) -> DataFrame:
+    """Of (h1, h2, line): h1, h2, kind and the shingles of that kind: 0 all, 1 those that begin a word or the line.
+
+    Lines of many words have the second kind, lines of few or long words the first, and those between have both; so near
+    lines have a kind in common wherever they lie.
+    """
+    line, many = F.col("line"), F.col("many")
+    begin = F.concat(F.array(F.substring(line, 1, k)), F.regexp_extract_all(line, F.lit(f"(?s) (?=([^ ].{{{k - 1}}}))"), F.lit(1)))
+    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    # inline() keeps the optimizer from cutting the line once for each use
+    rows = lines.select("h1", "h2", "line", F.inline(F.array(F.struct(F.array_distinct(begin).alias("begin"), (F.length(line) / (spaces + 1)).alias("wide")))))
+    rows = rows.withColumn("many", F.size("begin"))
+    all_ = F.when((many < FEW[1]) | (F.col("wide") > WIDE[0]), _every(line, k))
+    words = F.when((many >= FEW[0]) & (F.col("wide") <= WIDE[1]), F.col("begin"))
+    return rows.select("h1", "h2", F.inline(F.array(F.struct(F.lit(0).alias("kind"), all_.alias("some")), F.struct(F.lit(1).alias("kind"), words.alias("some")))))
 
 
 def _signatures(lines: DataFrame, k: int) -> DataFrame:
-    """One row per distinct line: h1, h2 and BINS least hashes."""
-    rows = lines.select("h1", "h2", F.explode(_anchored(F.col("line"), k)).alias("s")).select("h1", "h2", F.hash("s").alias("v"))
+    """One row per distinct line and kind of sample: h1, h2, kind and BINS least hashes."""
+    rows = _samples(lines, k).select("h1", "h2", "kind", F.explode("some").alias("s")).select("h1", "h2", "kind", F.hash("s").alias("v"))
     rows = rows.withColumn("bin", F.pmod("v", F.lit(BINS)))
-    return rows.groupBy("h1", "h2").agg(*[F.min(F.when(F.col("bin") == i, F.col("v"))).alias(f"m{i}") for i in range(BINS)])
+    return rows.groupBy("h1", "h2", "kind").agg(*[F.min(F.when(F.col("bin") == i, F.col("v"))).alias(f"m{i}") for i in range(BINS)])
 
 
-def _full(signatures: DataFrame) -> DataFrame:
-    """node, id, place and the signature as an array; an empty bin has the next one's value."""
+def _keys(signatures: DataFrame) -> DataFrame:
+    """node and its keys, one for each band; an empty bin has the next one's value."""
     full = [F.coalesce(*[F.col(f"m{(i + d) % BINS}") for d in range(BINS)]) for i in range(BINS)]
-    return signatures.select("h1", "h2", "at", "copies", F.monotonically_increasing_id().alias("node"), F.array(*full).alias("signature"))
-
-
-def _keys(signed: DataFrame) -> DataFrame:
-    """node and key, for each band."""
-    bands = [F.xxhash64(F.lit(b), *[F.col("signature")[b * ROWS + r] for r in range(ROWS)]) for b in range(BINS // ROWS)]
-    return signed.select("node", F.explode(F.array(*bands)).alias("key"))
+    rows = signatures.select("node", "kind", F.inline(F.array(F.struct(F.array(*full).alias("signature")))))
+    bands = [F.xxhash64("kind", F.lit(b), *[F.col("signature")[b * ROWS + r] for r in range(ROWS)]) for b in range(BINS // ROWS)]
+    return rows.select("node", F.array(*bands).alias("keys"))
 
 
 def _verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -91,10 +101,11 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     lines = scratch.write(_lines(texts).select("id", "place", "h1", "h2"))
     groups = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "place")).alias("at"), F.count("*").alias("copies"))
-    signed = scratch.write(_full(_signatures(_lines(texts), k).join(groups, ["h1", "h2"])))
-    nodes = signed.select("node", "at.id", "at.place")
-    keys = _keys(signed)
-    heads = scratch.write(keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head"))
+    groups = scratch.write(groups.withColumn("node", F.monotonically_increasing_id()))
+    nodes = groups.select("node", "at.id", "at.place")
+    keys = scratch.write(_keys(_signatures(_lines(texts), k).join(groups, ["h1", "h2"])))
+    keys = keys.select("node", F.explode("keys").alias("key"))
+    heads = scratch.write(keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"))
     shared = scratch.write(join_hot(keys, heads, "key", "node"))
     pairs = scratch.write(shared.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     links = scratch.write(_verified(scratch, pairs, nodes, texts, k, percent))
@@ -109,8 +120,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(scratch.write(_verified(scratch, more, nodes, texts, k, percent)))
         pairs, shared = pairs.unionByName(more), scratch.write(free)
     labels = components(scratch, links)
-    named = signed.select("h1", "h2", "node", "at", "copies").join(labels, "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
+    named = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = named.groupBy("component").agg(F.min("at").alias("kept"), F.sum("copies").alias("members")).where("members > 1")
     of_line = scratch.write(join_hot(named.select("h1", "h2", "node", "component"), kept, "component", "node").select("h1", F.col("h2").alias("g2"), "kept"))
     out = join_hot(lines, of_line, "h1", "id").where("h2 = g2")

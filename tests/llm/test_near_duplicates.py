@@ -191,3 +191,14 @@ def test_lines_of_few_words_are_all_verified(spark):
             copies.append(y)
     kept = _kept_lines(spark, own + copies)
     assert kept >= set(range(300)) and len(kept) <= 300 + 3
+
+
+def test_lines_near_the_bounds_of_a_sample(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    own = [word(n) for n in range(13, 27) for _ in range(15)]
+    own += [" ".join(word(n) for _ in range(words)) for n in range(9, 23) for words in (6, 15, 16, 23, 24, 25) for _ in range(3)]
+    own += [(" ".join(word(n) for _ in range(6)) + " " + word(32))[:96] for n in (11, 12) for _ in range(15)]
+    own += ["short\rline of"]
+    kept = _kept_lines(spark, own + [x + "." for x in own[:-1]] + own[-1:])
+    assert kept >= set(range(len(own))) and len(kept) <= len(own) + 3
