@@ -3,9 +3,10 @@
 A line's shingles are its runs of SHINGLE characters. The signature of a line of many words takes the shingles that begin
 a word, a sample that the content itself picks; that of a line of few or long words takes all; lines between have both.
 Each shingle is hashed once and the least hash of each of BINS bins is kept (one-permutation MinHash; an empty bin borrows
-from the next). Bands of ROWS bins make the keys; each line is paired with the first line of every bucket that it
-is in, and, where that fails, with the first line that is linked to nothing yet. The pairs are verified by the Jaccard
-similarity of all their shingles, and distributed union-find keeps one line of each component: the one that comes first.
+from the next). Bands of ROWS bins make the keys. Links are looked for in two steps, both verified by the Jaccard
+similarity of all shingles: each line against the first line with which it shares the most keys; then, in the buckets that
+still hold several components, all pairs of different components, in blocks of bounded size. Distributed union-find keeps
+one line of each component: the one that comes first.
 
 Equal lines are one node from the start. Hashing and minima run in one aggregation that combines before it shuffles.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .components import components, join_hot
 from .shared import Scratch
 
-SHINGLE, BINS, ROWS = 10, 24, 3
+SHINGLE, BINS, ROWS, BLOCK = 10, 24, 3, 1024
 #: Words and characters a word between which a line has both kinds of samples.
 FEW, WIDE = (16, 24), (12, 20)
 BROADCAST_ROWS = 1_000_000
@@ -71,6 +72,22 @@ def _keys(signatures: DataFrame) -> DataFrame:
     return rows.select("node", F.array(*bands).alias("keys"))
 
 
+def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a < b) of different components that share a bucket. shared: node, key and n, the bucket's size.
+
+    A bucket is cut into blocks of about BLOCK lines, and each pair of blocks is a group of its own. Buckets of one
+    component can add nothing.
+    """
+    named = shared.join(labels, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("c"))
+    several = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
+    rows = join_hot(named, several, "key", "node").withColumn("g", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    one = rows.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("g") - 1)).alias("j"), F.col("node").alias("x"), F.col("c").alias("cx"))
+    two = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("node").alias("y"), F.col("c").alias("cy"))
+    pairs = one.join(two, ["key", "i", "j"]).where("cx <> cy and (i < j or x < y)")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those (a, b) whose shingle sets have 100 * intersection >= percent * union. nodes: node, id and place of a line."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -107,18 +124,14 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = keys.select("node", F.explode("keys").alias("key"))
     heads = scratch.write(keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"))
     shared = scratch.write(join_hot(keys, heads, "key", "node"))
-    pairs = scratch.write(shared.where("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    # the first line of a bucket with which a line shares the most keys
+    first = shared.where("head < node").groupBy("node", "head").count()
+    first = first.groupBy("node").agg((-F.max(F.struct("count", (-F.col("head")).alias("h")))["h"]).alias("head"))
+    pairs = scratch.write(first.select(F.col("head").alias("a"), F.col("node").alias("b")))
     links = scratch.write(_verified(scratch, pairs, nodes, texts, k, percent))
-    for _ in range(2):
-        linked = links.select(F.col("b").alias("node")).union(links.select(F.col("a").alias("node"))).distinct()
-        free = shared.join(linked, "node", "left_anti").select("node", "key", "head").where("head <> node")
-        next_heads = free.groupBy("key").agg(F.min("node").alias("next"), F.count("*").alias("n")).where("n > 1").select("key", "next")
-        more = join_hot(free, next_heads, "key", "node").where("next < node").select(F.col("next").alias("a"), F.col("node").alias("b")).distinct()
-        more = scratch.write(more.join(pairs, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        links = links.unionByName(scratch.write(_verified(scratch, more, nodes, texts, k, percent)))
-        pairs, shared = pairs.unionByName(more), scratch.write(free)
+    # what is still apart in a bucket
+    more = scratch.write(_apart(shared.select("node", "key", "n"), components(scratch, links)).join(pairs, ["a", "b"], "left_anti"))
+    links = links.unionByName(scratch.write(_verified(scratch, more, nodes, texts, k, percent)))
     labels = components(scratch, links)
     named = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = named.groupBy("component").agg(F.min("at").alias("kept"), F.sum("copies").alias("members")).where("members > 1")

@@ -202,3 +202,22 @@ def test_lines_near_the_bounds_of_a_sample(spark):
     own += ["short\rline of"]
     kept = _kept_lines(spark, own + [x + "." for x in own[:-1]] + own[-1:])
     assert kept >= set(range(len(own))) and len(kept) <= len(own) + 3
+
+
+def test_lines_in_buckets_of_dissimilar_ones(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    opening = " ".join(word() for _ in range(26))
+    own = [opening + " " + " ".join(word() for _ in range(10)) for _ in range(60)]
+    chains = []
+    for _ in range(20):
+        x = [word() for _ in range(40)]
+        chains.append([" ".join(x)])
+        for step in range(3):
+            x = x[:-2] + [word(), word()] if step == 1 else [word(), word()] + x[2:] if step == 0 else x[:19] + [word()] + x[20:]
+            chains[-1].append(" ".join(x))
+    assert max(_jaccard(a, b) for n, a in enumerate(own) for b in own[:n]) < 0.75
+    rows = own + [x[:-1] + "q" for x in own[10:40]] + [x for c in chains for x in c]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if _jaccard(rows[a], rows[b]) >= 0.8]
+    root = _join(range(len(rows)), near)
+    assert _kept_lines(spark, rows) == {i for i in root if root[i] == i}
