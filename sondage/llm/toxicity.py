@@ -21,7 +21,7 @@ from .arrow_text import ALNUM, LOWER, buffers, chunks, span_hashes, word_bounds
 from .shared import Scratch
 
 FIT_ROWS, VOCABULARY, K, BLOCK = 12_000, 1024, 15, 64
-#: A word of the vocabulary has so high a likelihood ratio, and its texts are so many times as often toxic as others.
+#: A word of the vocabulary has so high a likelihood ratio, and is so many times as frequent in toxic texts as in others.
 LEAST_RATIO, LIFT = 12.0, 3.0
 #: Answers that a worker keeps.
 MOST_KEPT = 50_000
@@ -185,7 +185,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     share = F.lit(n1 / max(n0 + n1, 1))
     a, b, m = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     g2 = 2 * (part(a, m * share) + part(b, m * (1 - share)) + part(F.lit(n1) - a, (F.lit(n0 + n1) - m) * share) + part(F.lit(n0) - b, (F.lit(n0 + n1) - m) * (1 - share)))
-    chosen = seen.where((a >= LIFT * m * share) & (a >= 3)).withColumn("g2", g2).where(F.col("g2") >= LEAST_RATIO).orderBy(F.desc("g2"), "word").limit(vocabulary).select("word").toArrow()
+    chosen = seen.where((a * n0 >= LIFT * b * n1) & (a >= 3)).withColumn("g2", g2).where(F.col("g2") >= LEAST_RATIO).orderBy(F.desc("g2"), "word").limit(vocabulary).select("word").toArrow()
     words = np.sort(chosen["word"].to_numpy().view(np.uint64)) if n0 and n1 else np.zeros(0, np.uint64)
     held = scratch.write(texts.mapInArrow(_known(words), f"id {kind}, terms array<long>, counts array<long>"))
     df = {r["t"]: r["n"] for r in held.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most ``vocabulary`` rows

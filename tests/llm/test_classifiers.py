@@ -41,6 +41,13 @@ def test_toxicity_odd_inputs(spark, tables):
     assert toxicity.fit_and_score(_odd(spark).limit(0), labels, F.lit(True)).count() == 0
 
 
+def test_toxicity_where_most_labels_are_toxic(spark):
+    rows = [(i, ("vile " if i % 2 else "kind ") + f"word{i % 7} text", i % 2) for i in range(80)] + [(100 + i, f"vile word{i % 5} text", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.fit_and_score(df, df.select("doc_id", "toxic"), F.lit(True)).collect()}
+    assert min(got[i] for i, _, t in rows if t) > max(got[i] for i, _, t in rows if not t)
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(0)
     terms = [np.sort(rng.choice(40, rng.integers(0, 5), replace=False)) for _ in range(700)]
