@@ -41,7 +41,7 @@ def shingle_hashes(line: Column, k: int) -> Column:
 
 
 def _samples(lines: DataFrame, k: int) -> DataFrame:
-    """Of (h1, h2, line): h1, h2, kind and the shingles of that kind: 0 all, 1 those that begin a word or the line.
+    """Of (h1, h2, line): h1, h2, kind and the hashes of the shingles of that kind: 0 all, 1 those that begin a word or the line.
 
     Lines of many words have the second kind, lines of few or long words the first, and those between have both; so near
     lines have a kind in common wherever they lie.
@@ -50,16 +50,16 @@ def _samples(lines: DataFrame, k: int) -> DataFrame:
     begin = F.concat(F.array(F.substring(line, 1, k)), F.regexp_extract_all(line, F.lit(f"(?s) (?=([^ ].{{{k - 1}}}))"), F.lit(1)))
     spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
     # inline() keeps the optimizer from cutting the line once for each use
-    rows = lines.select("h1", "h2", "line", F.inline(F.array(F.struct(F.array_distinct(begin).alias("begin"), (F.length(line) / (spaces + 1)).alias("wide")))))
+    rows = lines.select("h1", "h2", "line", F.inline(F.array(F.struct(F.array_distinct(F.transform(begin, lambda s: F.hash(s))).alias("begin"), (F.length(line) / (spaces + 1)).alias("wide")))))
     rows = rows.withColumn("many", F.size("begin"))
-    all_ = F.when((many < FEW[1]) | (F.col("wide") > WIDE[0]), _every(line, k))
+    all_ = F.when((many < FEW[1]) | (F.col("wide") > WIDE[0]), F.transform(_every(line, k), lambda s: F.hash(s)))
     words = F.when((many >= FEW[0]) & (F.col("wide") <= WIDE[1]), F.col("begin"))
     return rows.select("h1", "h2", F.inline(F.array(F.struct(F.lit(0).alias("kind"), all_.alias("some")), F.struct(F.lit(1).alias("kind"), words.alias("some")))))
 
 
 def _signatures(lines: DataFrame, k: int) -> DataFrame:
     """One row per distinct line and kind of sample: h1, h2, kind and BINS least hashes."""
-    rows = _samples(lines, k).select("h1", "h2", "kind", F.explode("some").alias("s")).select("h1", "h2", "kind", F.hash("s").alias("v"))
+    rows = _samples(lines, k).select("h1", "h2", "kind", F.explode("some").alias("v"))
     rows = rows.withColumn("bin", F.pmod("v", F.lit(BINS)))
     return rows.groupBy("h1", "h2", "kind").agg(*[F.min(F.when(F.col("bin") == i, F.col("v"))).alias(f"m{i}") for i in range(BINS)])
 
