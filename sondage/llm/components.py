@@ -21,6 +21,22 @@ def join_hot(many: DataFrame, one: DataFrame, key: str, spread: str, how: str =
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def hot_keys(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The keys of more than ``most`` rows and the number of parts to deal each into; at most 1 key for ``most`` rows."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("salts"))
+
+
+def join_dealt(many: DataFrame, one: DataFrame, key: str, spread: str, hot: DataFrame) -> DataFrame:
+    """Joins ``many`` to ``one`` (one row a key); the keys of ``hot`` are dealt into as many parts as it says.
+
+    Only rows of hot keys are copied. ``hot`` is a written table of hot_keys(), whose size that function bounds.
+    """
+    hot = F.broadcast(hot.select(key, "salts"))
+    left = many.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    right = one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -1,14 +1,14 @@
 """Fuzzy line dedup with DataFrame functions only.
 
-A line's shingles are its runs of SHINGLE characters. The signature of a line of many words takes the shingles that begin
-a word, a sample that the content itself picks; that of a line of few or long words takes all; lines between have both.
-Each shingle is hashed once and the least hash of each of BINS bins is kept (one-permutation MinHash; an empty bin borrows
-from the next). Bands of ROWS bins make the keys. Links are looked for in two steps, both verified by the Jaccard
-similarity of all shingles: each line against the first line with which it shares the most keys; then, in the buckets that
-still hold several components, all pairs of different components, in blocks of bounded size. Distributed union-find keeps
-one line of each component: the one that comes first.
-
-Equal lines are one node from the start. Hashing and minima run in one aggregation that combines before it shuffles.
+A line's shingles are its runs of SHINGLE characters (UTF-16 units); all of them are hashed, whatever the line's length. A
+hash deals its shingle to one of BANDS bands and one of ROWS rows there, and the least hash of each row is kept
+(one-permutation MinHash; an empty row takes the value of another one of its band). The rows of a band make one key. Links
+are looked for in two steps, both verified by the Jaccard similarity of all shingles: each line against the first line of a
+bucket, that with which it shares the most keys; then, in the buckets that still hold several components, all pairs of
+different components, in blocks of bounded size. Distributed union-find keeps one line of each component: the one that
+comes first.
+
+Equal lines are one node from the start, named by a 64-bit hash; lines whose hash another line has too get a second one.
 """
 
 from __future__ import annotations
@@ -16,60 +16,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, join_hot
+from .components import components, hot_keys, join_dealt, join_hot
 from .shared import Scratch
 
-SHINGLE, BINS, ROWS, BLOCK = 10, 24, 3, 1024
-#: Words and characters a word between which a line has both kinds of samples.
-FEW, WIDE = (16, 24), (12, 20)
-BROADCAST_ROWS = 1_000_000
+SHINGLE, BANDS, ROWS, BLOCK = 10, 8, 3, 1024
+#: Rows that a join may broadcast; beyond it both sides are shuffled.
+BROADCAST_ROWS = 250_000
+#: Pairs of one line that are verified in a task.
+PAIRS = 256
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Of (id, text): id, place, line and two hashes of it, for lines that are not blank."""
-    rows = docs.select("id", F.posexplode(F.split("text", "\n")).alias("place", "line")).where(F.trim("line") != "")
-    return rows.select("id", "place", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+def _few(rows: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _every(line: Column, k: int) -> Column:
-    return F.when(F.length(line) < k, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1)))
-
-
-def shingle_hashes(line: Column, k: int) -> Column:
-    """The distinct hashes of all runs of k characters; of the whole line if it is shorter."""
-    return F.array_distinct(F.transform(_every(line, k), lambda s: F.xxhash64(s)))
+def _lines(docs: DataFrame, twins: DataFrame | None = None) -> DataFrame:
+    """Of (id, row, text): id, row, place, line, node (a hash of it) and check (another), for lines that are not blank.
 
+    twins: nodes that different lines had; those lines are named by their second hash.
+    """
+    rows = docs.select("id", "row", F.posexplode(F.split("text", "\n")).alias("place", "line")).where(F.trim("line") != "")
+    rows = rows.select("id", "row", "place", "line", F.xxhash64("line").alias("node"), F.xxhash64(F.lit(7), "line").alias("check"))
+    if twins is None:
+        return rows
+    named = rows.join(F.broadcast(twins.select("node", F.lit(True).alias("twin"))), "node", "left")
+    return named.select("id", "row", "place", "line", F.when(F.col("twin"), F.col("check")).otherwise(F.col("node")).alias("node"), "check")
 
-def _samples(lines: DataFrame, k: int) -> DataFrame:
-    """Of (h1, h2, line): h1, h2, kind and the hashes of the shingles of that kind: 0 all, 1 those that begin a word or the line.
 
-    Lines of many words have the second kind, lines of few or long words the first, and those between have both; so near
-    lines have a kind in common wherever they lie.
-    """
-    line, many = F.col("line"), F.col("many")
-    begin = F.concat(F.array(F.substring(line, 1, k)), F.regexp_extract_all(line, F.lit(f"(?s) (?=([^ ].{{{k - 1}}}))"), F.lit(1)))
-    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    # inline() keeps the optimizer from cutting the line once for each use
-    rows = lines.select("h1", "h2", "line", F.inline(F.array(F.struct(F.array_distinct(F.transform(begin, lambda s: F.hash(s))).alias("begin"), (F.length(line) / (spaces + 1)).alias("wide")))))
-    rows = rows.withColumn("many", F.size("begin"))
-    all_ = F.when((many < FEW[1]) | (F.col("wide") > WIDE[0]), F.transform(_every(line, k), lambda s: F.hash(s)))
-    words = F.when((many >= FEW[0]) & (F.col("wide") <= WIDE[1]), F.col("begin"))
-    return rows.select("h1", "h2", F.inline(F.array(F.struct(F.lit(0).alias("kind"), all_.alias("some")), F.struct(F.lit(1).alias("kind"), words.alias("some")))))
+def shingle_hashes(line: Column, k: int) -> Column:
+    """The distinct hashes of all runs of k characters; of the whole line if it is shorter. The line is in wide form."""
+    runs = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    runs = F.when(F.length(line) < k, F.array(line)).otherwise(runs)
+    return F.array_distinct(F.transform(runs, lambda s: F.xxhash64(s)))
 
 
 def _signatures(lines: DataFrame, k: int) -> DataFrame:
-    """One row per distinct line and kind of sample: h1, h2, kind and BINS least hashes."""
-    rows = _samples(lines, k).select("h1", "h2", "kind", F.explode("some").alias("v"))
-    rows = rows.withColumn("bin", F.pmod("v", F.lit(BINS)))
-    return rows.groupBy("h1", "h2", "kind").agg(*[F.min(F.when(F.col("bin") == i, F.col("v"))).alias(f"m{i}") for i in range(BINS)])
+    """Of (node, line): node, band and the least hashes m0.. of its rows, for each band that has a shingle."""
+    # inline() keeps the optimizer from encoding the line once for each use
+    rows = lines.select("node", F.inline(F.array(F.struct(F.encode("line", "UTF-16BE").alias("units")))))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length("units") / 2).cast("int") - k))
+    rows = rows.select("node", "units", F.explode(starts).alias("i"))
+    rows = rows.select("node", F.hash(F.substring("units", F.col("i") * 2 + 1, F.lit(2 * k))).alias("v"))
+    rows = rows.select("node", "v", F.pmod("v", F.lit(BANDS)).alias("band"), F.pmod(F.expr("v div 64"), F.lit(ROWS)).alias("row"))
+    return rows.groupBy("node", "band").agg(*[F.min(F.when(F.col("row") == i, F.col("v"))).alias(f"m{i}") for i in range(ROWS)])
 
 
 def _keys(signatures: DataFrame) -> DataFrame:
-    """node and its keys, one for each band; an empty bin has the next one's value."""
-    full = [F.coalesce(*[F.col(f"m{(i + d) % BINS}") for d in range(BINS)]) for i in range(BINS)]
-    rows = signatures.select("node", "kind", F.inline(F.array(F.struct(F.array(*full).alias("signature")))))
-    bands = [F.xxhash64("kind", F.lit(b), *[F.col("signature")[b * ROWS + r] for r in range(ROWS)]) for b in range(BINS // ROWS)]
-    return rows.select("node", F.array(*bands).alias("keys"))
+    """node and key, one for each band that has a shingle."""
+    full = [F.coalesce(*[F.col(f"m{(i + d) % ROWS}") for d in range(ROWS)]) for i in range(ROWS)]
+    return signatures.select("node", F.xxhash64("band", *full).alias("key"))
+
+
+def _shared(scratch: Scratch, keys: DataFrame) -> DataFrame:
+    """node, key, n (the bucket's size) and head (its least node) for the buckets of several nodes."""
+    sums = [F.min("node").alias("head"), F.max("node").alias("last"), F.bit_xor("node").alias("x"), F.count("*").alias("n")]
+    buckets = scratch.write(keys.groupBy("key").agg(*sums).where("n > 1"))
+    # the nodes of a bucket of three are known from these sums
+    third = F.col("head").bitwiseXOR(F.col("last")).bitwiseXOR(F.col("x"))
+    nodes = F.when(F.col("n") == 2, F.array("head", "last")).otherwise(F.array(F.col("head"), F.col("last"), third))
+    small = buckets.where("n < 4").select(F.explode(nodes).alias("node"), "key", "n", "head")
+    large = buckets.where("n > 3").select("key", "n", "head")
+    large = keys.join(F.broadcast(large), "key") if large.count() <= BROADCAST_ROWS else join_hot(keys, large, "key", "node")
+    return scratch.write(small.unionByName(large.select("node", "key", "n", "head")))
 
 
 def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -88,18 +97,21 @@ def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those (a, b) whose shingle sets have 100 * intersection >= percent * union. nodes: node, id and place of a line."""
+def _verified(scratch: Scratch, pairs: DataFrame, groups: DataFrame, lines: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those (a, b) whose shingle sets have 100 * intersection >= percent * union.
+
+    groups: node and tag, the one of its places to read it from; lines: id, row, place, node, tag.
+    """
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    places = scratch.write(nodes.join(ends, "node").select("node", "id", "place"))
-    ids = scratch.write(places.select("id").distinct())
-    some = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
-    found = some.select("id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    found = found.join(F.broadcast(places) if places.count() <= BROADCAST_ROWS else places, ["id", "place"])
-    spelled = scratch.write(found.select("node", "line"))
+    ends = scratch.write(ends.join(groups.select("node", "tag"), "node"))
+    places = scratch.write(lines.join(_few(ends), ["node", "tag"]).select("node", "id", "row", "place").distinct())
+    rows = scratch.write(places.select("id", "row").distinct())
+    found = docs.join(_few(rows), ["id", "row"], "left_semi").select("id", "row", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    spelled = scratch.write(found.join(_few(places), ["id", "row", "place"]).select("node", "line").distinct())
     one, two = (spelled.select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
-    # lines are shipped, not sets, which are eight times as large; a hot line is split by adaptive execution
-    both = pairs.join(two, "b").join(one, "a")
+    # lines are shipped, not sets, which are eight times as large
+    hot = scratch.write(hot_keys(pairs, "a", PAIRS))
+    both = join_dealt(pairs.join(two, "b"), one, "a", "b", hot)
     # inline() keeps the optimizer from making the sets once for each use
     sets = both.select("a", "b", F.inline(F.array(F.struct(shingle_hashes(F.col("la"), k).alias("sa"), shingle_hashes(F.col("lb"), k).alias("sb")))))
     sets = sets.select("a", "b", F.inline(F.array(F.struct(F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("same")))))
@@ -107,48 +119,75 @@ def _verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, docs: DataFr
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
-    """One row per line that is repeated or near another: id, place (from 0), kept_id, kept_place of its component.
+    """One row per line that is repeated or near another: id, row, place (from 0), kept: id, row and place of the line that
+    its component keeps.
 
     Lines are what newlines separate; blank ones are left out. Two lines are linked when they are equal or the Jaccard
-    similarity of their sets of runs of k characters is at least ``similarity``; the kept line of a component is the one
-    with the smallest id, then place. Rows that share an id count as one document. Null texts and ids have no lines.
+    similarity of their sets of runs of k characters is at least ``similarity`` (the whole line is the only run of a
+    shorter one); the kept line of a component is the one with the smallest id, then row, then place. row is a hash of id
+    and text: rows that share an id are documents of their own, equal rows one document. Null texts and ids have no lines;
+    an empty table gives no rows.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "lines")
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark, "lines")
     percent = round(100 * similarity)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    lines = scratch.write(_lines(texts).select("id", "place", "h1", "h2"))
-    groups = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "place")).alias("at"), F.count("*").alias("copies"))
-    groups = scratch.write(groups.withColumn("node", F.monotonically_increasing_id()))
-    nodes = groups.select("node", "at.id", "at.place")
-    keys = scratch.write(_keys(_signatures(_lines(texts), k).join(groups, ["h1", "h2"])))
-    keys = keys.select("node", F.explode("keys").alias("key"))
-    heads = scratch.write(keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"))
-    shared = scratch.write(join_hot(keys, heads, "key", "node"))
-    # the first line of a bucket with which a line shares the most keys
-    first = shared.where("head < node").groupBy("node", "head").count()
-    first = first.groupBy("node").agg((-F.max(F.struct("count", (-F.col("head")).alias("h")))["h"]).alias("head"))
-    pairs = scratch.write(first.select(F.col("head").alias("a"), F.col("node").alias("b")))
-    links = scratch.write(_verified(scratch, pairs, nodes, texts, k, percent))
+    texts = docs.select(F.col(id_col).alias("id"), _row(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.where("id is not null and text is not null")
+    read, twins = lambda: _lines(texts, twins), None
+    while True:
+        lines = scratch.write(read().select("id", "row", "place", "node", "check", F.xxhash64("id", "row", "place").alias("tag")))
+        sums = [F.count("*").alias("copies"), F.min("tag").alias("tag"), F.min("check").alias("c1"), F.max("check").alias("c2")]
+        groups = scratch.write(lines.groupBy("node").agg(*sums))
+        if twins is not None or not (again := groups.where("c1 <> c2").select("node")).take(1):
+            break
+        twins = scratch.write(again)
+    # many lines have few keys each: the aggregation is faster without its small first map
+    with scratch.settings({"spark.sql.codegen.aggregate.map.twolevel.enabled": "false"}):
+        keys = scratch.write(_keys(_signatures(read().select("node", "line"), k)))
+    shared = _shared(scratch, keys)
+    # the first line of a bucket with which a line shares the most keys; ties go by a hash
+    first = shared.where("head < node").groupBy("node", "head").agg(F.count("*").alias("n"))
+    order = F.col("n") * F.lit(1 << 58) + F.shiftrightunsigned(F.xxhash64("head"), 6)
+    pairs = scratch.write(first.groupBy("node").agg(F.max_by("head", order).alias("a")).select("a", F.col("node").alias("b")))
+    links = scratch.write(_verified(scratch, pairs, groups, lines, texts, k, percent))
     # what is still apart in a bucket
     more = scratch.write(_apart(shared.select("node", "key", "n"), components(scratch, links)).join(pairs, ["a", "b"], "left_anti"))
-    links = links.unionByName(scratch.write(_verified(scratch, more, nodes, texts, k, percent)))
-    labels = components(scratch, links)
-    named = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    kept = named.groupBy("component").agg(F.min("at").alias("kept"), F.sum("copies").alias("members")).where("members > 1")
-    of_line = scratch.write(join_hot(named.select("h1", "h2", "node", "component"), kept, "component", "node").select("h1", F.col("h2").alias("g2"), "kept"))
-    out = join_hot(lines, of_line, "h1", "id").where("h2 = g2")
-    return out.select("id", "place", F.col("kept.id").alias("kept_id"), F.col("kept.place").alias("kept_place"))
+    links = links.unionByName(scratch.write(_verified(scratch, more, groups, lines, texts, k, percent)))
+    labels = scratch.write(components(scratch, links))
+    # lines of components of several lines, copies included
+    named = labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
+    named = named.unionByName(groups.where("copies > 1").select("node", F.col("node").alias("component")).join(named, "node", "left_anti"))
+    named = scratch.write(named)
+    at = lines.select("node", "id", "row", "place")
+    at = scratch.write(at.join(F.broadcast(named), "node") if named.count() <= BROADCAST_ROWS else join_hot(at, named, "node", "id"))
+    kept = scratch.write(at.groupBy("component").agg(F.min(F.struct("id", "row", "place")).alias("kept"), F.count("*").alias("n")))
+    out = join_hot(at, kept.where("n > 1").select("component", "kept"), "component", "id")
+    return out.select("id", "row", "place", "kept")
+
+
+def _row(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+
+
+def _stays(gone: Column) -> Column:
+    """Of an array of places: a byte for each place up to the last one, "0" for those of the array."""
+    runs = F.transform(gone, lambda p, i: F.concat(F.repeat(F.lit("1"), p - F.when(i == 0, 0).otherwise(F.get(gone, i - 1) + 1)), F.lit("0")))
+    return F.array_join(runs, "").cast("binary")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = 0.8) -> DataFrame:
     """docs with the same columns and rows, whose texts lack the lines that repeat or nearly repeat an earlier one.
 
-    Blank lines and unrepeated ones stay, in their order; a text may become empty. Null texts stay null.
+    Blank lines and unrepeated ones stay, in their order; a text may become empty. Null texts stay null, rows with a null
+    id stay as they are. Rows that share an id are documents of their own, but equal rows are one: they keep the same lines.
     """
-    repeated = line_components(docs, id_col, text_col, k, similarity).where("id <> kept_id or place <> kept_place")
-    gone = Scratch(docs.sparkSession, "gone").write(repeated.groupBy(F.col("id").alias(id_col)).agg(F.collect_set("place").alias("_gone")))
-    if (gone.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    text = F.col(text_col)
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return docs.join(gone, id_col, "left").select(*[F.when(F.col("_gone").isNull(), text).otherwise(left).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    scratch = Scratch(docs.sparkSession, "gone")
+    repeated = line_components(docs, id_col, text_col, k, similarity).where(F.struct("id", "row", "place") != F.col("kept"))
+    gone = repeated.groupBy("id", "row").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    gone = scratch.write(gone.select("id", "row", _stays(F.col("places")).alias("stays")))
+    # the document's own columns are held apart, whatever their names
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), _row(id_col, text_col).alias("row")).join(_few(gone), ["id", "row"], "left")
+    text = F.col("doc")[text_col]
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: F.substring("stays", i + 1, F.lit(1)) != F.lit(b"0")), "\n")
+    left = F.when(F.col("stays").isNull(), text).otherwise(left)
+    return rows.select(*[left.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])

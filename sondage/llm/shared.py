@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +63,18 @@ class Scratch:
         self._path[id(out)] = path
         return out
 
+    @contextmanager
+    def settings(self, values: dict[str, str]) -> Iterator[None]:
+        """Session settings that hold for what is written inside."""
+        before = {k: self.spark.conf.get(k, None) for k in values}
+        try:
+            for k, v in values.items():
+                self.spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
     def drop(self, df: DataFrame) -> None:
         path = self._path.pop(id(df), None)
         if path:

@@ -158,7 +158,7 @@ def test_lines(spark):
     for i, x in enumerate(own):
         kept[root[i]] = min(kept.get(root[i], (10**9, 0)), first[x])
     place = {x: kept[root[i]] for i, x in enumerate(own)}
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"line": F.lit(1), "place": F.lit("p"), "_other": F.lit(None).cast("string")}).repartition(4)
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"line": F.lit(1), "place": F.lit("p"), "row": F.lit(0), "stays": F.lit("s"), "doc": F.lit("d"), "id": F.lit(-1), "_other": F.lit(None).cast("string")}).repartition(4)
     out = lines.drop_repeated_lines(df)
     assert out.columns == df.columns
     got = {r["doc_id"]: r["text"] for r in out.collect()}
@@ -221,3 +221,42 @@ def test_lines_in_buckets_of_dissimilar_ones(spark):
     near = [(a, b) for a in range(len(rows)) for b in range(a) if _jaccard(rows[a], rows[b]) >= 0.8]
     root = _join(range(len(rows)), near)
     assert _kept_lines(spark, rows) == {i for i in root if root[i] == i}
+
+
+def test_near_lines_of_every_length(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    own, copies = [], []
+    for low, high in ((10, 26), (26, 61), (61, 400)):
+        n = len(own) + 200
+        while len(own) < n:
+            x = " ".join(word(rng.randrange(1, 12)) for _ in range(80))[: rng.randrange(low, high)].strip()
+            cut = rng.randrange(max(1, len(x) - 2), len(x) + 1)
+            y = rng.choice([x[:cut], x + "q", "q" + x, x[: len(x) - 1] + "q"])
+            if rng.random() < 0.1:
+                x, y = (t.replace(" ", rng.choice("\r \x85")) for t in (x, y))
+            if len(x) >= low and len(y) >= 10 and 0.8 <= _jaccard(x, y) < 1:
+                own.append(x)
+                copies.append(y)
+    kept = _kept_lines(spark, own + copies)
+    assert kept >= set(range(600))
+    missed = [i - 600 for i in kept if i >= 600]
+    for part in range(3):
+        assert sum(i // 200 == part for i in missed) <= 2
+
+
+def test_lines_with_one_hash_get_another(spark):
+    df = spark.createDataFrame([(1, 5, "one\ntwo\none"), (2, 6, "two")], "id long, row long, text string")
+    plain = {(r["id"], r["place"]): r for r in lines._lines(df).collect()}
+    twins = spark.createDataFrame([(plain[1, 0]["node"],)], "node long")
+    named = {(r["id"], r["place"]): r for r in lines._lines(df, twins).collect()}
+    assert named.keys() == plain.keys()
+    for at, r in named.items():
+        assert r["node"] == (plain[at]["check"] if r["line"] == "one" else plain[at]["node"])
+
+
+def test_long_text_and_rows_that_share_an_id(spark):
+    own = [f"line number {i} of a very long text {i * i}" for i in range(3000)]
+    rows = [(1, "\n".join(own)), (2, "\n".join(["first", *own, "", "last"])), (2, "\n".join(own[:5])), (3, "same\nrow"), (3, "same\nrow"), (3, None)]
+    got = [(r["doc_id"], r["text"]) for r in lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), similarity=1.0).collect()]
+    assert sorted(got, key=str) == sorted([rows[0], (2, "first\n\nlast"), (2, ""), *rows[3:]], key=str)
