@@ -2,12 +2,14 @@
 
 For integer vectors |q - x|^2 = |q|^2 + |x|^2 - 2 q.x, so a lower bound of a distance is an upper bound of a score. The
 pivot table holds each vector's distances to PIVOTS pivots; by the triangle inequality max_p |d(q, p) - d(x, p)| bounds
-d(q, x) from below. The candidates of a group are evaluated in the order of their bounds until the next bound cannot
-reach the k-th best score; equal scores go to the smaller id, so an equal bound is still evaluated.
+d(q, x) from below, less what rounding can add: a part in 10^12 of the largest pivot distance. A block of queries takes
+the candidates of a group in the order of their bounds, tile by tile, and ends when no bound that is left reaches the
+k-th best score of any query; equal scores go to the smaller id, so an equal bound is still evaluated.
 
 Vectors lie in the cell of their nearest pivot, cells are cut into chunks of bounded size. A first pass searches one
 chunk of each query's own cell for a threshold; the second sends a query only to cells whose range of pivot distances
-can hold a better score, so the answer is exact for any pivots. They are fitted on a bounded sample of the rows.
+can hold a better score, and a chunk only to the parts of queries that are sent there, so the answer is exact for any
+pivots. They are fitted on a bounded sample of the rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ from .shared import Scratch
 from .vectors import ragged
 
 PIVOTS, SAMPLE = 32, 2000
-CHUNK, QUERIES = 4096, 2048
+#: Vectors of a chunk, queries of a part of them, and candidates that a block of queries evaluates at once.
+CHUNK, QUERIES, BATCH, TILE = 4096, 16_384, 128, 256
+#: Rounding of a bound as a share of the largest distance to a pivot, and of a score's bound as a share of the norms.
+ROUNDING, SLACK = 1e-12, 1e-9
 
 
 def _pivots(rows: DataFrame, n: int, sample: int) -> dict[int, np.ndarray]:
@@ -59,13 +64,23 @@ def _table(pivots) -> object:
     return run
 
 
+def _upper_bounds(asked: np.ndarray, held: np.ndarray, asked_norm: np.ndarray, held_norm: np.ndarray) -> np.ndarray:
+    """By query and candidate, no less than their inner product. asked, held: distances to the pivots, by row."""
+    low = np.zeros((len(asked), len(held)))
+    for p in range(asked.shape[1]):
+        np.maximum(low, np.abs(asked[:, p, None] - held[None, :, p]), out=low)
+    low = np.maximum(low - ROUNDING * (asked.max(1)[:, None] + held.max(1)[None]), 0)
+    both = asked_norm[:, None] + held_norm[None]
+    return (both - low * low) / 2 + SLACK * (both + 1)
+
+
 def _search(k: int):
     """Groups of candidates and queries (kind 1); gives up to k rows a query: those that may be among its best."""
 
     def act(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        kind, ids, norm, floor = (table[c].to_numpy() for c in ("kind", "id", "norm", "floor"))
+        kind, rows, ids, norm, floor = (table[c].to_numpy() for c in ("kind", "row", "id", "norm", "floor"))
         xs, ds = table["x"], table["d"]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         for s, e in zip(starts.tolist(), starts[1:].tolist()):
             at = np.flatnonzero(kind[s:e] == 1)
             of = np.flatnonzero(kind[s:e] == 0)
@@ -73,51 +88,36 @@ def _search(k: int):
                 continue
             x = np.stack([np.frombuffer(v.as_buffer()) for v in xs[s:e]])
             d = np.stack([np.frombuffer(v.as_buffer()) for v in ds[s:e]])
-            of = of[np.argsort(ids[s:e][of])]
-            cand, cand_d, cand_id, cand_n = x[of], d[of], ids[s:e][of], norm[s:e][of]
             # doubles hold the products exactly below 2^53; larger ones are summed as integers
-            exact = float(np.abs(x).max()) ** 2 * x.shape[1] < 2**53
-            whole = None if exact else cand.astype(np.int64)
-            asked, columns = d.astype(np.float32), np.ascontiguousarray(cand_d.T, np.float32)
-            for a in range(0, len(at), 128):
-                block = at[a : a + 128]
-                low = np.zeros((len(block), len(of)), np.float32)
-                for p, column in enumerate(columns):
-                    np.maximum(low, np.abs(asked[block, p][:, None] - column), out=low)
-                # single precision makes the bounds up to 1e-6 of the norms too low; the slack is more
-                both = norm[s:e][block][:, None] + cand_n[None] + 1
-                top = (both - low * low.astype(np.float64)) / 2 + 1e-4 * both
-                least, me = floor[s:e][block], ids[s:e][block]
-                alive = top >= least[:, None]
-                if alive.mean() > 0.05:  # so many remain that one product is less work than going in order
-                    score = (x[block] @ cand.T).astype(np.int64) if exact else x[block].astype(np.int64) @ whole.T
-                    alive &= cand_id[None] != me[:, None]
-                    alive &= score >= np.where(np.isfinite(least), least, -(2.0**63))[:, None]
-                    p, c = np.nonzero(alive)
-                    order = np.lexsort((cand_id[c], -score[p, c], p))
-                    p, c = p[order], c[order]
-                    best = np.arange(len(p)) - np.searchsorted(p, p) < k
-                    out.append((me[p[best]], cand_id[c[best]], score[p[best], c[best]]))
-                    continue
-                for row, q, least, me in zip(top, block.tolist(), least.tolist(), me.tolist()):
-                    order = np.flatnonzero(row >= least)
-                    order = order[np.argsort(-row[order], kind="stable")]
-                    got_s, got_i, size = np.zeros(0, np.int64), np.zeros(0, np.int64), 4 * k
-                    while len(order) and row[order[0]] >= least:
-                        now, order = order[:size], order[size:]
-                        now = now[cand_id[now] != me]
-                        score = (cand[now] @ x[q]).astype(np.int64) if exact else whole[now] @ x[q].astype(np.int64)
-                        got_s, got_i = np.concatenate([got_s, score]), np.concatenate([got_i, cand_id[now]])
-                        best = np.lexsort((got_i, -got_s))[:k]
-                        got_s, got_i = got_s[best], got_i[best]
-                        if len(got_s) == k:
-                            least = max(least, float(got_s[-1]))
-                        size *= 4
-                    some = got_s >= floor[s + q]
-                    if some.any():
-                        out.append((np.full(int(some.sum()), me), got_i[some], got_s[some]))
+            if float(np.abs(x).max()) ** 2 * x.shape[1] >= 2**53:
+                x = x.astype(np.int64)
+            cand_id, cand_row = ids[s:e][of], rows[s:e][of]
+            for a in range(0, len(at), BATCH):
+                block = at[a : a + BATCH]
+                me, least = rows[s:e][block], floor[s:e][block].copy()
+                top = _upper_bounds(d[block], d[of], norm[s:e][block], norm[s:e][of])
+                top[me[:, None] == cand_row[None]] = -np.inf
+                order = np.argsort(-top.max(0), kind="stable")
+                tiles = [order[i : i + TILE] for i in range(0, len(order), TILE)]
+                # by query and tile, the largest bound from that tile on
+                rest = np.maximum.accumulate(np.stack([top[:, t].max(1) for t in tiles], 1)[:, ::-1], 1)[:, ::-1]
+                got_q, got_c, got_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for n, tile in enumerate(tiles):
+                    open_ = np.flatnonzero((rest[:, n] >= least) & (rest[:, n] > -np.inf))
+                    if not len(open_):
+                        break
+                    score = (x[block[open_]] @ x[of[tile]].T).astype(np.int64)
+                    q, c = np.nonzero((top[open_][:, tile] >= least[open_][:, None]) & (score >= np.maximum(least[open_], -(2.0**63))[:, None]) & (top[open_][:, tile] > -np.inf))
+                    got_q, got_c, got_s = np.concatenate([got_q, open_[q]]), np.concatenate([got_c, tile[c]]), np.concatenate([got_s, score[q, c]])
+                    order = np.lexsort((cand_row[got_c], cand_id[got_c], -got_s, got_q))
+                    got_q, got_c, got_s = got_q[order], got_c[order], got_s[order]
+                    place = np.arange(len(got_q)) - np.searchsorted(got_q, got_q)
+                    full = place == k - 1
+                    least[got_q[full]] = np.maximum(least[got_q[full]], got_s[full].astype(np.float64))
+                    got_q, got_c, got_s = got_q[place < k], got_c[place < k], got_s[place < k]
+                out.append((me[got_q], ids[s:e][block][got_q], cand_row[got_c], cand_id[got_c], got_s))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query", "query_id", "row", "id", "score"])
 
     return lambda batches: by_groups(batches, ["cell", "chunk", "part"], act)
 
@@ -127,32 +127,39 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 20, id_col: str = "vec_id",
 
     Queries are the rows for which ``asks`` holds. Components must be whole numbers held as doubles. Ties go to the
     smaller id; with fewer than k others all are given. Null or empty vectors, those with null or non-finite components
-    and null ids take no part; vectors of different lengths are not compared. An empty table gives no rows.
+    and null ids take no part; vectors of different lengths are not compared. Rows that share an id are vectors of their
+    own: each is a query with ranks from 1, and finds the others. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "pivot-search")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(asks, F.lit(False)).alias("asks")).where("id is not null")
     fitted = spark.sparkContext.broadcast(_pivots(rows, pivots, sample))
-    made = scratch.write(rows.mapInArrow(_table(fitted), "id long, asks boolean, cell long, norm double, x binary, d binary"))
+    made = rows.mapInArrow(_table(fitted), "id long, asks boolean, cell long, norm double, x binary, d binary")
+    made = scratch.write(made.withColumn("row", F.monotonically_increasing_id()))
     # at most PIVOTS rows for each length of vectors
-    sizes = made.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q")).collect()
-    chunks = F.broadcast(spark.createDataFrame([(r["cell"], -(-r["n"] // CHUNK)) for r in sizes], "cell long, chunks long"))
-    held = made.join(chunks, "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-    rows_ = held.select("cell", "chunk", F.lit(0).alias("kind"), "id", "norm", "x", "d", F.lit(0.0).alias("floor"))
-    parts = max(1, -(-sum(r["q"] for r in sizes) // QUERIES))
-
-    def searched(asked: DataFrame, parts: int) -> DataFrame:
-        """asked: cell, chunk, id, norm, x, d, floor."""
-        dealt = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("kind", F.lit(1))
-        every = rows_.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).unionByName(dealt)
+    sizes = made.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q")).orderBy("cell").collect()
+    before = np.concatenate([[0], np.cumsum([r["q"] for r in sizes])]).tolist()
+    meta = [(r["cell"], -(-r["n"] // CHUNK), max(1, r["q"]), b) for r, b in zip(sizes, before)]
+    meta = F.broadcast(spark.createDataFrame(meta, "cell long, chunks long, q long, before long"))
+    held = made.join(meta, "cell").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")))
+    # queries of neighbouring cells share a part
+    held = held.withColumn("part", F.floor((F.col("before") + F.pmod(F.xxhash64("row", F.lit(2)), F.col("q"))) / QUERIES))
+    fields = ["row", "id", "norm", "x", "d"]
+    stored = held.select("cell", "chunk", F.lit(0).alias("kind"), *fields, F.lit(0.0).alias("floor"))
+
+    def searched(asked: DataFrame) -> DataFrame:
+        """asked: cell, chunk, part, the fields and floor. A chunk goes to the parts that ask it."""
+        asked = scratch.write(asked)
+        pairs = scratch.write(asked.select("cell", "chunk", "part").distinct())
+        every = stored.join(pairs, ["cell", "chunk"]).unionByName(asked.withColumn("kind", F.lit(1)))
         every = every.repartition("cell", "chunk", "part").sortWithinPartitions("cell", "chunk", "part")
-        return every.mapInArrow(_search(k), "query_id long, id long, score long")
+        return every.mapInArrow(_search(k), "query long, query_id long, row long, id long, score long")
 
     # first pass: the k-th best of one chunk of the query's own cell
-    own = held.where("asks").select("cell", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).alias("chunk"), "id", "norm", "x", "d", F.lit(float("-inf")).alias("floor"))
-    floors = searched(own, max(1, -(-max([r["q"] for r in sizes], default=0) // QUERIES)))
-    floors = floors.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
-    asked = scratch.write(held.where("asks").join(floors.select(F.col("query_id").alias("id"), F.col("least").cast("double").alias("floor")), "id", "left").fillna(float("-inf"), ["floor"]).select("id", "norm", "x", "d", "floor", "cell"))
+    own = held.where("asks")
+    floors = searched(own.select("cell", F.pmod(F.xxhash64("row", F.lit(1)), F.col("chunks")).alias("chunk"), "part", *fields, F.lit(float("-inf")).alias("floor")))
+    floors = floors.groupBy("query").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") == k).select(F.col("query").alias("row"), "floor")
+    asked = scratch.write(own.select("cell", "part", *fields).join(floors, "row", "left").fillna(float("-inf"), ["floor"]).select(*fields, "floor", "cell", "part"))
     # second pass: cells that may hold more; their ranges of pivot distances are PIVOTS rows
     ranges = spark.sparkContext.broadcast(_ranges(made))
 
@@ -160,21 +167,23 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 20, id_col: str = "vec_id",
         for batch in batches:
             if not batch.num_rows:
                 continue
-            norm, floor, own_size = batch.column(1).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy() // 4096
+            norm, floor, own_size = batch.column(2).to_numpy(), batch.column(5).to_numpy(), batch.column(6).to_numpy() // 4096
             for size in np.unique(own_size):
                 at = np.flatnonzero(own_size == size)
-                d = np.stack([np.frombuffer(batch.column(3)[int(i)].as_buffer()) for i in at])
+                d = np.stack([np.frombuffer(batch.column(4)[int(i)].as_buffer()) for i in at])
                 for cell, (low, high, most) in ranges.value.items():
                     if cell // 4096 == size:
-                        gap = np.maximum(np.maximum(low[None] - d, d - high[None]), 0).max(1)
-                        top = (norm[at] + most - gap * gap) / 2 + 1e-9 * (norm[at] + most + 1)
-                        some = pa.array(at[np.minimum(top, np.sqrt(norm[at] * most) * (1 + 1e-9) + 1e-9) >= floor[at]])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), cell)), *(batch.column(c).take(some) for c in range(5))], names=["cell", "id", "norm", "x", "d", "floor"])
-
-    routed = asked.mapInArrow(route, "cell long, id long, norm double, x binary, d binary, floor double").join(chunks, "cell")
-    routed = routed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("cell", "chunk", "id", "norm", "x", "d", "floor")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    out = searched(routed, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+                        gap = np.maximum(low[None] - d, d - high[None]).max(1)
+                        gap = np.maximum(gap - ROUNDING * (d.max(1) + high.max()), 0)
+                        top = (norm[at] + most - gap * gap) / 2
+                        top = np.minimum(top, np.sqrt(norm[at] * most)) + SLACK * (norm[at] + most + 1)
+                        some = pa.array(at[top >= floor[at]])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), cell)), *(batch.column(c).take(some) for c in (0, 1, 2, 3, 4, 5, 7))], names=["cell", *fields, "floor", "part"])
+
+    routed = asked.mapInArrow(route, "cell long, row long, id long, norm double, x binary, d binary, floor double, part long").join(meta.select("cell", "chunks"), "cell")
+    routed = routed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id", "row")
+    out = searched(routed.select("cell", "chunk", "part", *fields, "floor")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 

@@ -129,6 +129,26 @@ def test_top_k(spark, scale):
     assert pivot_search.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_with_outliers_and_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    x = np.floor(64 * rng.normal(size=(1500, 16)))
+    for i, scale in enumerate((1e3, 1e5, 1e7, 1e8)):
+        x[7 * i] = np.floor(rng.normal(size=16) * scale)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[33].tolist()), (20, x[20].tolist()), (21, x[21].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(3)
+    got = pivot_search.top_k(df, F.col("vec_id") % 20 == 0, k=20).collect()
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got)
+    want = []
+    ids = np.array([i for i, _ in rows])
+    whole = np.array([v for _, v in rows]).astype(np.int64)
+    for n, (q, _) in enumerate(rows):
+        if q % 20 == 0:
+            score = whole @ whole[n]
+            best = [m for m in np.lexsort((ids, -score)) if m != n][:20]
+            want += [(q, r + 1, int(ids[m]), int(score[m])) for r, m in enumerate(best)]
+    assert found == sorted(want)
+
+
 def test_lines(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
