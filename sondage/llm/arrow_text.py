@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,8 +12,10 @@ import pyarrow as pa
 CHUNK = 1 << 19
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
-_ROLL: list[np.ndarray] = []
-_BYTE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+#: The bytes of a lane that belong to a span with so many bytes left.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
+#: Spans of more bytes are hashed one by one.
+_LONG = 4096
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -75,27 +78,26 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tup
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _ROLL or len(_ROLL[0]) < n:
-        size = max(n, CHUNK) + 1
-        make = lambda p: np.concatenate([[_U(1)], np.cumprod(np.full(size - 1, p, _U))])
-        _ROLL[:] = [make(_U(_P)), make(_U(pow(_P, -1, 2**64)))]
-    return _ROLL[0], _ROLL[1]
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; equal bytes give equal hashes in any process."""
-    out, first = np.zeros(len(starts), _U), 0
-    while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + CHUNK, "right")))
-        low, high = int(starts[first]), int(ends[last - 1])
-        up, down = _powers(high - low)
-        sums = np.zeros(high - low + 1, _U)
-        np.cumsum(_BYTE[data[low:high]] * up[: high - low], out=sums[1:])
-        s, e = starts[first:last] - low, ends[first:last] - low
-        out[first:last] = (sums[e] - sums[s]) * down[s]
-        first = last
-    return mix(out)
+    """A 64-bit hash of the bytes of each span; equal bytes give equal hashes in any process.
+
+    Lanes of eight bytes are taken in one after the other, each mixed with all before it.
+    """
+    size = (ends - starts).astype(np.int64)
+    h = mix(size.astype(_U) * _U(_P))
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    order = np.argsort(-size, kind="stable")
+    long = int(np.searchsorted(-size[order], -_LONG, "left"))
+    for i in order[:long].tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        h[i] = np.frombuffer(digest, "<u8")[0]
+    live, at = order[long:], 0
+    while len(live):
+        lane = lanes[starts[live] + at] & _MASK[np.minimum(size[live] - at, 8)]
+        h[live] = mix((h[live] ^ lane) + _U(_P))
+        at += 8
+        live = live[: int(np.searchsorted(-size[live], -at, "left"))]
+    return h
 
 
 def shingles(words: np.ndarray, text: np.ndarray, n_texts: int, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -107,6 +107,17 @@ def test_words_and_shingles():
     assert shingles(np.zeros(0, np.uint64), np.zeros(0, np.int64), 2, 3)[1].tolist() == [0, 0, 0]
 
 
+def test_span_hashes_tell_texts_apart():
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    words = [morse, morse.translate(str.maketrans("ab", "ba")), "a" * 8, "a" * 9, "a" * 16, "a" * 7 + "\0", "a" * 5000, "a" * 4999 + "b", "", "\0"]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    h = span_hashes(data, ends - [len(w) for w in words], ends)
+    assert len(set(h.tolist())) == len(words)
+    shifted = span_hashes(np.concatenate([data[:3], data]), ends - [len(w) for w in words] + 3, ends + 3)
+    assert (h == shifted).all()
+
+
 def test_licences(spark):
     texts = [
         None, "", "Released under the MIT License.", "under the mit license under the MIT  License", "Licensed under the Apache License, Version 2.0.", "x CC-BY-NC 4.0 and under the MIT license",
