@@ -1,11 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The vocabulary is the words that set the labelled texts apart (likelihood ratio between toxic and other examples); their
-inverse document frequencies are counted over all documents. Labelled examples are an inverted index whose postings lie in
-blocks of BLOCK examples, each with the largest weight of every word. A text looks up the blocks in the order of their
-upper bounds and stops when no block can hold a nearer example than the k-th, so the neighbours are the exact ones. The
-votes are weighted by distance; a logistic curve fitted on the examples' own leave-one-out votes makes probabilities of
-them. Evidence: the nearest examples' ids and the words that were looked up.
+The vocabulary is every word that the labelled examples show to be commoner in toxic texts (likelihood ratio); it has no
+bound but theirs. Words that tell nothing are left out, as the cosine of whole texts, in which toxic words are one in fifty,
+hardly finds toxic texts at all (figures in the README). Inverse document frequencies are counted over all documents.
+Labelled examples are an inverted index whose postings lie in blocks of BLOCK examples, each with the largest weight of
+every word. A text looks up the blocks in the order of their upper bounds and stops when no block can hold a nearer example
+than the k-th, so the neighbours are the exact ones. The votes are weighted by distance; a logistic curve fitted on the
+examples' own leave-one-out votes, which are taken in tasks, makes probabilities of them. Evidence: the nearest examples'
+ids and the words that were looked up.
 """
 
 from __future__ import annotations
@@ -14,15 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import ALNUM, LOWER, buffers, chunks, span_hashes, word_bounds
 from .shared import Scratch
 
-FIT_ROWS, VOCABULARY, K, BLOCK = 12_000, 1024, 15, 64
-#: A word of the vocabulary has so high a likelihood ratio, and is so many times as frequent in toxic texts as in others.
-LEAST_RATIO, LIFT = 12.0, 3.0
+FIT_ROWS, K, BLOCK = 12_000, 15, 64
+#: A word of the vocabulary has so high a likelihood ratio (a chance of about 1 in 70) and occurs in so many toxic examples.
+LEAST_RATIO, LEAST_TEXTS = 6.0, 2
 #: Answers that a worker keeps.
 MOST_KEPT = 50_000
 
@@ -64,10 +66,10 @@ class Model:
                 lists.setdefault((n // BLOCK, t), []).append((n % BLOCK, w))
                 self.top[t, n // BLOCK] = max(self.top[t, n // BLOCK], w)
         self.postings = {key: (np.array([a for a, _ in v]), np.array([b for _, b in v])) for key, v in lists.items()}
+        self.vectors = [vectors[i] for i in some]
+        self.rest, self.rest_toxic = len(vectors) - len(some), float(labels.sum() - self.labels.sum())
         self.curve = np.array([0.0, 1.0])
         self.kept: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-        self._calibrate([vectors[i] for i in some], len(vectors) - len(some), float(labels.sum() - self.labels.sum()))
-        self.kept.clear()
 
     def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -103,33 +105,33 @@ class Model:
         self.kept[key] = got_n, got_c
         return got_n, got_c
 
-    def others(self, i: int, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples of the i-th, which is not its own neighbour."""
-        n, c = self.nearest(terms, counts)
-        return n[n != i][: self.k], c[n != i][: self.k]
+    def own_vote(self, i: int) -> float:
+        """The vote on the i-th example by the others."""
+        n, c = self.nearest(*self.vectors[i])
+        return self.vote(n[n != i][: self.k], c[n != i][: self.k])
 
     def vote(self, n: np.ndarray, c: np.ndarray) -> float:
         """Share of toxic neighbours, weighted by distance, with one neighbour's weight of the prior."""
         w = c * c / (1.05 - np.minimum(c, 1))
         return float((w @ self.labels[n] + self.prior) / (w.sum() + 1))
 
-    def _calibrate(self, vectors: list, rest: int, rest_toxic: float) -> None:
-        if not vectors:
-            return
-        votes = np.array([self.vote(*self.others(i, *v)) for i, v in enumerate(vectors)] + [self.prior] * (rest > 0))
-        weight = np.append(np.ones(len(vectors)), [rest] * (rest > 0))
-        y = np.append(self.labels, [rest_toxic / rest] if rest else [])
+    def calibrate(self, votes: np.ndarray) -> np.ndarray:
+        """The logistic curve of the examples' own votes; those without a word have the prior for one."""
+        if not len(votes):
+            return self.curve
+        weight = np.append(np.ones(len(votes)), [self.rest] * (self.rest > 0))
+        votes = np.append(votes, [self.prior] * (self.rest > 0))
+        y = np.append(self.labels, [self.rest_toxic / self.rest] if self.rest else [])
         x = np.stack([np.ones(len(votes)), _logit(votes)], 1)
         a = np.array([0.0, 1.0])
         for _ in range(50):  # Newton's method with a small ridge
             p = 1 / (1 + np.exp(-x @ a))
             h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(2)
             a = a + np.linalg.solve(h, x.T @ (weight * (y - p)) - (a - [0, 1]))
-        if np.isfinite(a).all() and a[1] > 0:
-            self.curve = a
+        return a if np.isfinite(a).all() and a[1] > 0 else self.curve
 
-    def score(self, vote: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * _logit(vote))))
+    def score(self, vote: np.ndarray, curve: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(curve[0] + curve[1] * _logit(vote))))
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -160,7 +162,25 @@ def _known(words: np.ndarray):
     return run
 
 
-def fit_and_score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, vocabulary: int = VOCABULARY, k: int = K, threshold: float = 0.7) -> DataFrame:
+def _own_votes(spark: SparkSession, model) -> np.ndarray:
+    """The votes on the examples by the others, taken in tasks: at most FIT_ROWS numbers."""
+    n = len(model.value.vectors)
+    if not n:
+        return np.zeros(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = [model.value.own_vote(i) for i in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["id", "vote"])
+
+    parts = 2 * spark.sparkContext.defaultParallelism
+    found = spark.range(0, n, 1, parts).mapInArrow(run, "id long, vote double").toArrow()
+    out = np.zeros(n)
+    out[found["id"].to_numpy()] = found["vote"].to_numpy()
+    return out
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, k: int = K, threshold: float = 0.7) -> DataFrame:
     """One row per row of docs: id, score double (0 to 1), predicted int, neighbours (array of long), words int.
 
     Examples: the ``rows`` labelled documents with the smallest hash of the id (the documented bound) among those of
@@ -176,7 +196,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     marked = labels.where(learn & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     marked = scratch.write(marked.orderBy(F.xxhash64("id"), "id").limit(rows))
     examples = scratch.write(texts.join(F.broadcast(marked), "id").select("id", "text", "label").mapInArrow(_example_words, f"id {kind}, label int, word long, n long"))
-    # the words that tell most: G squared of having the word against the label, for words of toxic texts mostly
+    # the words that tell: G squared of having the word against the label, for words commoner in toxic texts
     n = marked.groupBy("label").count().collect()
     n0, n1 = (float(sum(r["count"] for r in n if r["label"] == v)) for v in (0, 1))
     prior = (n1 + 0.5) / (n0 + n1 + 1)
@@ -185,17 +205,21 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     share = F.lit(n1 / max(n0 + n1, 1))
     a, b, m = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     g2 = 2 * (part(a, m * share) + part(b, m * (1 - share)) + part(F.lit(n1) - a, (F.lit(n0 + n1) - m) * share) + part(F.lit(n0) - b, (F.lit(n0 + n1) - m) * (1 - share)))
-    chosen = seen.where((a * n0 >= LIFT * b * n1) & (a >= 3)).withColumn("g2", g2).where(F.col("g2") >= LEAST_RATIO).orderBy(F.desc("g2"), "word").limit(vocabulary).select("word").toArrow()
+    # at most the words of ``rows`` examples
+    chosen = seen.where((a * n0 > b * n1) & (a >= LEAST_TEXTS)).where(g2 >= LEAST_RATIO).select("word").toArrow()
     words = np.sort(chosen["word"].to_numpy().view(np.uint64)) if n0 and n1 else np.zeros(0, np.uint64)
     held = scratch.write(texts.mapInArrow(_known(words), f"id {kind}, terms array<long>, counts array<long>"))
-    df = {r["t"]: r["n"] for r in held.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most ``vocabulary`` rows
+    df = {r["t"]: r["n"] for r in held.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # a row for each word of the vocabulary
     total = held.count()
     idf = np.log((total + 1) / (np.array([df.get(i, 0) for i in range(len(words))], np.float64) + 1)) + 1
     known = held.join(F.broadcast(marked), "id").select("id", "label", "terms", "counts")
-    known = known.orderBy(F.xxhash64("id"), "id").limit(rows).toArrow().to_pydict()  # ids may repeat; at most ``vocabulary`` terms each
+    known = known.orderBy(F.xxhash64("id"), "id").limit(rows).toArrow().to_pydict()  # ids may repeat
     order = np.argsort(np.array(known["id"])) if known["id"] else []
     vectors = [(np.array(known["terms"][i], np.int64), np.array(known["counts"][i], np.float64)) for i in order]
-    model = spark.sparkContext.broadcast(Model(words, idf, vectors, np.array([known["id"][i] for i in order]), np.array([known["label"][i] for i in order], np.float64), prior, k))
+    labelled = [np.array([known[c][i] for i in order], t) for c, t in (("id", None), ("label", np.float64))]
+    fitted = Model(words, idf, vectors, *labelled, prior, k)
+    model = spark.sparkContext.broadcast(fitted)
+    curve = fitted.calibrate(_own_votes(spark, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -206,7 +230,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
             for i in np.flatnonzero(np.diff(ends)).tolist():
                 found = [x[: m.k] for x in m.nearest(flat[ends[i] : ends[i + 1]], many[ends[i] : ends[i + 1]])]
                 votes[i], near[i] = m.vote(*found), m.ids[found[0]].tolist()
-            score = m.score(votes) if len(m.words) else votes
+            score = m.score(votes, curve) if len(m.words) else votes
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(near, pa.list_(pa.int64())), pa.array(np.diff(ends).astype(np.int32))], names=["id", "score", "predicted", "neighbours", "words"])
 
     # few bytes a text, but work for each: dealt out by number of tasks, not by size
