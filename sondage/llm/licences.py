@@ -1,15 +1,17 @@
 """Licence scans with a positional rare-token index.
 
 The index holds the words of the licence templates with their places. Over all documents the document frequency of every
-licence word is counted first; a template's highest-IDF words (up to ANCHORS, at most half of it) are its rare tokens. Then
-each file's rare tokens are looked up; every occurrence at word p whose posting says place o of template t votes for t
-beginning at p - o. Places with the votes of two different tokens are compared with the whole template, and the template's
-mandatory key phrases must stand in full where they belong. Short phrases are templates as well: their rarest word alone leads to each place,
-and all their words must follow each other, so none is missed.
+licence word is counted first. A template is led to by the places of its highest-IDF words, two more of them than may differ
+in a match, so that no match escapes: at least two of them stand where they belong. Each file's words among these, its
+highest-IDF licence words, are looked up; every occurrence at word p whose posting says place o of template t votes for t
+beginning at p - o. Where two votes agree, but for a shift of up to SHIFT words, the whole template is compared, as one run
+or as two that are shifted against each other, and the template's mandatory key phrases must stand there in full. Phrases
+that are looked for exactly have postings as well, that of their rarest word, and all their words must follow each other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,20 +37,33 @@ TEMPLATES = (
     Template("mit", "released under the mit license", ("mit license",)),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("granted free of charge", "without restriction")),
     Template("apache-2", "licensed under the apache license version 2 0", ("apache license",)),
-    Template("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    Template("gpl-2", "this work is licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
+    Template("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("apache org licenses license 2 0",)),
+    Template("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", ("required by applicable law",)),
+    Template("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
+    Template("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ("gnu general public license", "version 3")),
+    Template("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
+    Template("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ("gnu general public license", "version 2")),
     Template("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
+    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
+    Template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
     Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    Template("cc-by", "licensed under the creative commons attribution 4 0 international license", ("creative commons attribution",)),
+    Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
+    Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
+    Template("cc-by", "licensed under the creative commons attribution 4 0 international license", ("creative commons attribution 4",)),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms",)),
     Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    Template("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
+    Template("boost", "distributed under the boost software license version 1 0", ("boost software license",)),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
     Template("proprietary", "all rights reserved", ("all rights reserved",)),
 )
 #: Phrases that are looked for exactly, with their labels (fixed values).
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-ANCHORS, MATCHED = 4, 0.8
+#: Share of a template's words that must agree, and the words that may be missing or added in its middle.
+MATCHED, SHIFT = 0.8, 2
 
 
 class Index:
@@ -67,18 +82,23 @@ class Index:
         self.number = {w: i for i, w in enumerate(self.words)}
         self.spelled = [np.array([self.number[w] for w in t.text.split()], np.int64) for t in templates]
         self.keys = [[np.array([self.number[w] for w in k.split()]) for k in t.keys] for t in templates]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
+        self.phrase_words = [np.array([self.number[w] for w in p.split()], np.int64) for p, _ in phrases]
+
+    def rare(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Postings of the rare words: by word number (and -1) their first one, and by posting the template and the place.
+
+        Templates come first, then the phrases.
+        """
+        found = []
         for t, ids in enumerate(self.spelled):
-            for o, w in enumerate(ids.tolist()):
-                self.postings.setdefault(w, []).append((t, o))
-
-    def rare(self, idf: np.ndarray) -> np.ndarray:
-        """By word number, and False at -1: whether it is a rare token of a template."""
-        out = np.zeros(len(self.words) + 1, bool)
-        for ids in self.spelled:
-            kinds = np.array(list(dict.fromkeys(ids.tolist())))
-            out[kinds[np.argsort(-idf[kinds], kind="stable")[: max(2, min(ANCHORS, -(-len(ids) // 2)))]]] = True
-        return out
+            most = len(ids) - math.ceil(MATCHED * len(ids) - 1e-9)
+            places = np.argsort(-idf[ids], kind="stable")[: most + 2]
+            found += [(int(ids[o]), t, int(o)) for o in places]
+        for p, ids in enumerate(self.phrase_words):
+            lead = int(np.argmax(idf[ids]))
+            found.append((int(ids[lead]), len(self.spelled) + p, lead))
+        w, t, o = np.array(sorted(found), np.int64).T
+        return np.searchsorted(w, np.arange(len(self.words) + 1)), t, o
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Of word hashes: the licence word's number, or -1."""
@@ -113,22 +133,52 @@ def document_frequencies(docs: DataFrame, index: Index, text_col: str = "text")
     return by_word.get(-1, 0), np.array([by_word.get(i, 0) for i in range(len(index.words))], np.int64)
 
 
-def _find(ids: np.ndarray, index: Index, rare: np.ndarray) -> list[tuple[str, int, int, float]]:
-    """(label, first word, last word + 1, share of words that agree) of the templates in one document."""
-    here = np.flatnonzero((ids >= 0) & rare[ids])
-    if not len(here):
-        return []
-    votes: dict[tuple[int, int], set[int]] = {}
-    for p, w in zip(here.tolist(), ids[here].tolist()):
-        for t, o in index.postings[w] if w in index.postings else ():
-            votes.setdefault((t, p - o), set()).add(w)
+def _hits(ids: np.ndarray, rare: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By occurrence of a rare word and posting of it: the word's place, the template, and where the template would begin."""
+    first, templates, places = rare
+    count = np.append(np.diff(first), 0)  # -1, no licence word, has none
+    here = np.flatnonzero(count[ids])
+    n = count[ids[here]]
+    at = np.repeat(here, n)
+    posting = np.repeat(first[ids[here]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return at, templates[posting], at - places[posting]
+
+
+def _compared(ids: np.ndarray, spelled: np.ndarray, at: int) -> tuple[float, int, int]:
+    """The largest share of the template's words that agree, begun at ``at``, and the span of words that it takes.
+
+    The template may be one run, or two of which the second is shifted by up to SHIFT words.
+    """
+
+    def agree(start: int) -> np.ndarray:
+        places = np.arange(start, start + len(spelled))
+        inside = (places >= 0) & (places < len(ids))
+        out = np.zeros(len(spelled), bool)
+        out[inside] = ids[places[inside]] == spelled[inside]
+        return out
+
+    own = agree(at)
+    best, end = int(own.sum()), at + len(spelled)
+    left = np.concatenate([[0], np.cumsum(own)])
+    for shift in range(-SHIFT, SHIFT + 1):
+        if shift:
+            other = agree(at + shift)
+            both = left + other.sum() - np.concatenate([[0], np.cumsum(other)])
+            if both.max() > best:
+                best, end = int(both.max()), at + len(spelled) + shift
+    return best / len(spelled), max(0, at), min(len(ids), end)
+
+
+def _find(ids: np.ndarray, index: Index, templates: np.ndarray, starts: np.ndarray) -> list[tuple[str, int, int, float]]:
+    """(label, first word, last word + 1, share of words that agree) of the templates that votes lead to in a document."""
+    votes: dict[tuple[int, int], int] = {}
+    for vote in zip(templates.tolist(), starts.tolist()):
+        votes[vote] = votes.get(vote, 0) + 1
     out = []
-    for (t, at), by in votes.items():
-        spelled = index.spelled[t]
-        if len(by) < 2:
+    for (t, at), n in votes.items():
+        if n + sum(votes.get((t, at + d), 0) for d in range(-SHIFT, SHIFT + 1) if d) < 2:
             continue
-        low, high = max(0, at), min(len(ids), at + len(spelled))
-        share = float((ids[low:high] == spelled[low - at : high - at]).sum()) / len(spelled)
+        share, low, high = _compared(ids, index.spelled[t], at)
         if share >= MATCHED and all(_phrase_in(ids[low:high], k) for k in index.keys[t]):
             out.append((index.templates[t].label, low, high, share))
     return sorted(out)
@@ -147,34 +197,36 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     overlapping ones too; first_word and last_word are the smallest and largest start, null without one. labels holds
     those of the phrases and of the templates, distinct, sorted, joined by commas; "" without any. score: 1 with a phrase,
     else the largest share of a template's words that agree, 0 without one. Null is the empty text: no words, no labels.
-    Repeated rows get a row each.
+    Repeated rows, and rows that share an id, get a row each.
     """
     index = Index(templates, phrases)
     n, df = document_frequencies(docs, index, text_col)
     idf = np.log((n + 1) / (df + 1))
     rare = index.rare(idf)
+    n_templates = len(index.spelled)
     kind = docs.schema[id_col].dataType.simpleString()
-    spelled = [(np.array([index.number[w] for w in p.split()]), label) for p, label in phrases]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, ids, cut in _words(batch.column(1), index):
                 m = last - first
                 found: list[list[tuple[str, int]]] = [[] for _ in range(m)]
-                for phrase, label in spelled:
-                    lead = int(np.argmax(idf[phrase]))
-                    at = np.flatnonzero(ids == phrase[lead]) - lead
-                    at = at[(at >= 0) & (at + len(phrase) <= len(ids))]
-                    for i, w in enumerate(phrase):
-                        at = at[ids[at + i] == w]
-                    text = np.searchsorted(cut, at, "right") - 1
-                    whole = at + len(phrase) <= cut[text + 1]
-                    for t, p in zip(text[whole].tolist(), (at - cut[text])[whole].tolist()):
-                        found[t].append((label, p))
-                maybe = np.unique(np.searchsorted(cut, np.flatnonzero((ids >= 0) & rare[ids]), "right") - 1)
                 spans: list[list] = [[] for _ in range(m)]
-                for t in maybe.tolist():
-                    spans[t] = _find(ids[cut[t] : cut[t + 1]], index, rare)
+                place, template, start = _hits(ids, rare)
+                text = np.searchsorted(cut, place, "right") - 1
+                for p, (spelled, (_, label)) in enumerate(zip(index.phrase_words, phrases)):
+                    mine = (template == n_templates + p) & (start >= cut[text]) & (start + len(spelled) <= cut[text + 1])
+                    at, of = start[mine], text[mine]
+                    for i, w in enumerate(spelled):
+                        same = ids[at + i] == w
+                        at, of = at[same], of[same]
+                    for t, x in zip(of.tolist(), (at - cut[of]).tolist()):
+                        found[t].append((label, x))
+                led = np.flatnonzero(template < n_templates)
+                bounds = np.searchsorted(text[led], np.arange(m + 1))
+                for t in np.flatnonzero(np.diff(bounds)).tolist():
+                    some = led[bounds[t] : bounds[t + 1]]
+                    spans[t] = _find(ids[cut[t] : cut[t + 1]], index, template[some], start[some] - cut[t])
                 base = [sorted({x for x, _ in f}) for f in found]
                 every = [sorted({*b, *(s[0] for s in sp)}) for b, sp in zip(base, spans)]
                 score = [1.0 if f else max((s[3] for s in sp), default=0.0) for f, sp in zip(found, spans)]

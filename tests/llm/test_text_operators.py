@@ -137,6 +137,48 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_no_altered_notice_escapes(spark):
+    """Every template whose words agree in place to the share that must, however chosen, against brute force."""
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for t, template in enumerate(licences.TEMPLATES):
+        words = template.text.split()
+        free = [i for i in range(len(words)) if not any(words[j : j + len(k.split())] == k.split() and j <= i < j + len(k.split()) for k in template.keys for j in range(len(words)))]
+        for changed in range(len(words) - int(np.ceil(licences.MATCHED * len(words))) + 2):
+            if changed > len(free):
+                break
+            x = list(words)
+            for i in rng.choice(free, changed, replace=False) if changed else ():
+                x[i] = "zzz"
+            share = 1 - changed / len(words)
+            rows.append(" ".join([*["filler"] * int(rng.integers(0, 5)), *x, *["filler"] * 3]))
+            want.append((template.label, share))
+    rows += ["filler"] * 500 + ["the " * 50 + "software license terms of use"] * 200
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in licences.scan(df).collect()}
+    for i, (label, share) in enumerate(want):
+        assert (label in got[i]["labels"].split(",")) >= (share >= licences.MATCHED), (rows[i], share)
+    # brute force over all templates and places, words in one run
+    for i, row in enumerate(rows[: len(want)]):
+        w, labels = row.split(), set()
+        for template in licences.TEMPLATES:
+            spelled = template.text.split()
+            for at in range(-len(spelled), len(w)):
+                same = sum(0 <= at + o < len(w) and w[at + o] == x for o, x in enumerate(spelled))
+                part = " " + " ".join(w[max(0, at) : at + len(spelled)]) + " "
+                if same >= licences.MATCHED * len(spelled) - 1e-9 and all(f" {k} " in part for k in template.keys):
+                    labels.add(template.label)
+        assert labels <= set(got[i]["labels"].split(","))
+    assert all(got[i]["labels"] == "" for i in range(len(want), len(rows)))
+
+
+def test_notice_with_a_word_added_or_left_out(spark):
+    mit = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction".split()
+    rows = [" ".join(mit[:14] + ["new"] + mit[14:]), " ".join(mit[:14] + mit[15:]), " ".join(mit[:9]), " ".join(reversed(mit))]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(list(enumerate(rows)) + [(0, rows[2])], "doc_id long, text string")).where("n_words > 9").collect()}
+    assert got[0]["labels"] == "mit" and got[1]["labels"] == "mit" and got[3]["labels"] == ""
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
