@@ -21,21 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import NOT_SPACE, binary_list, by_groups, mix, texts_shingles
-from .components import components, join_hot
+from .components import components, hot_keys, join_dealt, join_hot
 from .shared import Scratch
 
 SLOTS, CHUNKS = 64, 16
 WIDTH = SLOTS // CHUNKS
 BLOCK = 1024
-#: Minima that pairs in a block are compared by besides; a pair at the similarity has a distance under 3.5 deviations over the mean.
-LONG = 512
 #: Ids that a join may broadcast; beyond it both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
-_ODD, _MORE = np.split(np.random.default_rng(7).integers(0, 2**63, SLOTS + LONG, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1), [SLOTS])
+BROADCAST_ROWS = 250_000
+#: Pairs of one leader that are confirmed in a task.
+PAIRS = 256
+_ODD = np.random.default_rng(7).integers(0, 2**63, SLOTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def distance_threshold(similarity: float) -> int:
@@ -44,11 +44,6 @@ def distance_threshold(similarity: float) -> int:
     return min(SLOTS - 1, math.ceil(SLOTS * miss + 3.3 * math.sqrt(SLOTS * miss * similarity)))
 
 
-def _long_threshold(similarity: float) -> int:
-    miss = 1 - similarity
-    return math.ceil(LONG * miss + 3.5 * math.sqrt(LONG * miss * similarity))
-
-
 def chunk_keys(signature: np.ndarray, r: int) -> np.ndarray:
     """The keys (int64) of each signature, by row; signatures within distance r share at least one."""
     e, a = divmod(r, CHUNKS)
@@ -72,12 +67,12 @@ def _fingerprint(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, k: int, r: int, table: np.ndarray) -> DataFrame:
-    """Of (id, text): id, n (set size), f1, f2 (fingerprint of the set), sig (binary), keys (array of long)."""
+    """Of (id, print, text): id, print, n (set size), f1, f2 (fingerprint of the set), sig (binary), keys (array of long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for first, last, h, cut in texts_shingles(batch.column(1), table, k):
+            for first, last, h, cut in texts_shingles(batch.column(2), table, k):
                 n = np.diff(cut)
                 some = np.flatnonzero(n)
                 sig = np.zeros((len(some), SLOTS), np.uint16)
@@ -92,49 +87,39 @@ def _signatures(docs: DataFrame, k: int, r: int, table: np.ndarray) -> DataFrame
                 whole[some] = sig
                 print_ = _fingerprint(h, cut)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, last - first), pa.array(n.astype(np.int64)), pa.array(print_[:, 0].copy()), pa.array(print_[:, 1].copy()), binary_list(whole.ravel(), np.arange(len(n) + 1) * SLOTS), keys],
-                    names=["id", "n", "f1", "f2", "sig", "keys"],
+                    [ids.slice(first, last - first), batch.column(1).slice(first, last - first), pa.array(n.astype(np.int64)), pa.array(print_[:, 0].copy()), pa.array(print_[:, 1].copy()), binary_list(whole.ravel(), np.arange(len(n) + 1) * SLOTS), keys],
+                    names=["id", "print", "n", "f1", "f2", "sig", "keys"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, sig binary, keys array<long>")
+    return docs.mapInArrow(run, "id long, print long, n long, f1 long, f2 long, sig binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, k: int, table: np.ndarray) -> DataFrame:
-    """Of (id, text): id and the sorted shingle hashes as binary."""
+    """Of (node, text): node and the sorted shingle hashes as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, h, cut in texts_shingles(batch.column(1), table, k):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), binary_list(h, cut)], names=["id", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), binary_list(h, cut)], names=["node", "items"])
 
-    return docs.mapInArrow(run, "id long, items binary")
+    return docs.mapInArrow(run, "node long, items binary")
 
 
-def _sketches(docs: DataFrame, k: int, table: np.ndarray) -> DataFrame:
-    """Of (id, text): id and LONG more minima, a byte each, as binary."""
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of written ``nodes`` (node, id, print), out of docs (id, print, text)."""
+    return docs.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes, ["id", "print"]).select("node", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, h, cut in texts_shingles(batch.column(1), table, k):
-                some = np.flatnonzero(np.diff(cut))
-                out = np.zeros((last - first, LONG), np.uint8)
-                for j in range(LONG if len(some) else 0):
-                    out[some, j] = mix(np.minimum.reduceat(h * _MORE[j], cut[:-1][some])).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), binary_list(out.ravel(), np.arange(last - first + 1) * LONG)], names=["rep", "sketch"])
 
-    return docs.mapInArrow(run, "rep long, sketch binary")
-
-
-def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
-
-
-def confirm(scratch: Scratch, pairs: DataFrame, docs: DataFrame, k: int, percent: int, table: np.ndarray = NOT_SPACE) -> DataFrame:
-    """Those (a, b) of pairs with 100 * intersection >= percent * union of their full sets."""
-    ids = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = scratch.write(_sets(_of_ids(docs, ids), k, table))
-    one, two = (sets.select(F.col("id").alias(x), F.col("items").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(two, "b").join(one, "a")  # adaptive execution splits a hot leader
+def confirm(scratch: Scratch, pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, table: np.ndarray = NOT_SPACE) -> DataFrame:
+    """Those (a, b) of pairs with 100 * intersection >= percent * union of their full sets. reps: node, id, print."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    nodes = scratch.write(reps.select("node", "id", "print").join(nodes, "node"))
+    sets = scratch.write(_sets(_texts_of(docs, nodes), k, table))
+    if sets.count() > nodes.count():  # equal rows that share an id
+        sets = scratch.write(sets.dropDuplicates(["node"]))
+    one, two = (sets.select(F.col("node").alias(x), F.col("items").alias(f"s{x}")) for x in "ab")
+    # a leader of many is dealt into parts
+    both = join_dealt(pairs.join(two, "b"), one, "a", "b", scratch.write(hot_keys(pairs, "a", PAIRS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,8 +138,8 @@ def confirm(scratch: Scratch, pairs: DataFrame, docs: DataFrame, k: int, percent
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _within_blocks(rows: DataFrame, r: int, most: int, percent: int) -> DataFrame:
-    """Pairs (a < b) of different components within distance r in the same bucket. rows: key, members, rep, comp, n, sig, sketch.
+def _within_blocks(rows: DataFrame, r: int, percent: int) -> DataFrame:
+    """Pairs (a < b) of different components within distance r in the same bucket. rows: key, members, rep, comp, n, sig.
 
     A bucket of m members is cut into g = ceil(m / BLOCK) blocks, and each pair of blocks is a group of its own. A pair
     comes from the first key that it shares only.
@@ -162,13 +147,12 @@ def _within_blocks(rows: DataFrame, r: int, most: int, percent: int) -> DataFram
     g = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     rows = rows.withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "sig", "sketch")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "sig")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         key, i, j, own, rep, comp, n = (table[x].to_numpy() for x in ("key", "i", "j", "own", "rep", "comp", "n"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SLOTS)
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, LONG)
         keys = chunk_keys(sig, r)
         out = [np.zeros((0, 2), np.int64)]
         for s, e in zip(starts, starts[1:]):
@@ -187,8 +171,6 @@ def _within_blocks(rows: DataFrame, r: int, most: int, percent: int) -> DataFram
                     u, v = p[c : c + 50_000], q[c : c + 50_000]
                     far = (sig[u] != sig[v]).sum(1)
                     u, v = u[far <= r], v[far <= r]
-                    far = np.concatenate([(sketch[u[d : d + 10_000]] != sketch[v[d : d + 10_000]]).sum(1) for d in range(0, len(u), 10_000)] or [far[:0]])
-                    u, v = u[far <= most], v[far <= most]
                     first = (keys[u] == keys[v]).argmax(1)
                     mine = keys[u, first] == key[s]
                     found.append(np.stack([u[mine], v[mine]], 1))
@@ -210,40 +192,61 @@ def _relabelled(scratch: Scratch, labels: DataFrame, linked: DataFrame) -> DataF
     return scratch.write(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(joined))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, table: np.ndarray = NOT_SPACE) -> DataFrame:
-    """One row per row of docs: id, n_shingles long, component_id long, kept boolean.
+def _print(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
-    Documents are linked when the Jaccard similarity of their sets of distinct k-word shingles is at least
-    ``similarity`` (a whole percentage); a component is what links reach, named by its smallest id, which is kept. A text
-    of 1 to k - 1 words is one shingle. Null, empty and wordless texts have an empty set, are linked with nothing and
-    kept. The ids are integers and unique; a null id is kept as it is, unlinked. Other columns are not looked at.
-    """
+
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: float, table: np.ndarray) -> DataFrame:
+    """One row per row of docs: id, print (a hash of id and text), n (set size), component (long)."""
     percent = round(100 * similarity)
     r = distance_threshold(similarity)
     scratch = Scratch(docs.sparkSession, "minhash")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), _print(id_col, text_col).alias("print"), F.col(text_col).cast("string").alias("text"))
     sigs = scratch.write(_signatures(texts, k, r, table))
     some = sigs.where("n > 0 and id is not null")
-    reps = scratch.write(some.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("keys").alias("keys")))
-    keys = reps.select("rep", F.explode("keys").alias("key"))
+    # a set is a node of its own; it is read from the row with the smallest id
+    reps = some.groupBy("f1", "f2").agg(F.min(F.struct("id", "print")).alias("at"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("keys").alias("keys"))
+    reps = scratch.write(reps.select(F.monotonically_increasing_id().alias("node"), "at.id", "at.print", "f1", "f2", "n", "sig", "keys"))
+    keys = reps.select(F.col("node").alias("rep"), F.explode("keys").alias("key"))
     leaders = scratch.write(keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1"))
     shared = scratch.write(join_hot(keys, leaders, "key", "rep"))
-    # the smallest of a bucket with which a representative shares the most keys
+    # the first of a bucket with which a set shares the most keys
     first = shared.where("leader < rep").groupBy("rep", "leader").count()
     first = first.groupBy("rep").agg((-F.max(F.struct("count", (-F.col("leader")).alias("l")))["l"]).alias("leader"))
-    links = scratch.write(confirm(scratch, first.select(F.col("leader").alias("a"), F.col("rep").alias("b")), texts, k, percent, table))
+    pairs = scratch.write(first.select(F.col("leader").alias("a"), F.col("rep").alias("b")))
+    links = scratch.write(confirm(scratch, pairs, texts, reps, k, percent, table))
     labels = components(scratch, links)
     # what is still apart in a bucket
     named = scratch.write(shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "members", "rep", F.coalesce("component", "rep").alias("comp")))
     several = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
-    mixed = scratch.write(join_hot(named, several, "key", "rep"))
-    ids = scratch.write(mixed.select(F.col("rep").alias("id")).distinct())
-    sketches = _sketches(_of_ids(texts, ids), k, table)
-    mixed = mixed.join(scratch.write(reps.select("rep", "n", "sig").join(sketches, "rep")), "rep")
-    more = scratch.write(_within_blocks(mixed, r, _long_threshold(similarity), percent))
-    labels = _relabelled(scratch, labels, confirm(scratch, more, texts, k, percent, table))
-    of_set = reps.select("f1", "f2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    of_set = of_set.select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    out = sigs.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("f1")).alias("f1"), "f2").join(of_set, ["f1", "f2"], "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (component.eqNullSafe(F.col("id"))).alias("kept"))
+    mixed = join_hot(named, several, "key", "rep").join(reps.select(F.col("node").alias("rep"), "n", "sig"), "rep")
+    more = scratch.write(_within_blocks(mixed, r, percent).join(pairs, ["a", "b"], "left_anti"))
+    labels = _relabelled(scratch, labels, scratch.write(confirm(scratch, more, texts, reps, k, percent, table)))
+    of_set = scratch.write(reps.select("f1", "f2", "node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    # a component is named by its smallest id
+    least = of_set.groupBy("component").agg(F.min("id").alias("name"))
+    of_set = join_hot(of_set, least, "component", "node").select("f1", "f2", "name")
+    out = sigs.select("id", "print", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("f1")).alias("f1"), "f2")
+    # adaptive execution splits the rows of a set with many copies
+    return out.join(of_set, ["f1", "f2"], "left").select("id", "print", "n", F.coalesce("name", "id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, table: np.ndarray = NOT_SPACE) -> DataFrame:
+    """One row per row of docs: id, n_shingles long, component_id long, kept boolean.
+
+    Documents are linked when the Jaccard similarity of their sets of distinct k-word shingles is at least
+    ``similarity`` (a whole percentage); a component is what links reach, named by its smallest id, whose rows are kept. A
+    text of 1 to k - 1 words is one shingle. Null, empty and wordless texts have an empty set, are linked with nothing and
+    kept. Ids are integers; a null id is kept as it is, unlinked. Rows that share an id are documents of their own, linked
+    by their own texts only. Other columns are not looked at.
+    """
+    out = _components(docs, id_col, text_col, k, similarity, table)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, table: np.ndarray = NOT_SPACE) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, with the same columns; equal rows stay or go together."""
+    out = _components(docs, id_col, text_col, k, similarity, table)
+    gone = Scratch(docs.sparkSession, "near-gone").write(out.where(F.col("component") != F.col("id")).select("id", "print").distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("id"), _print(id_col, text_col).alias("print"))
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["id", "print"], "left_anti").select("doc.*")

@@ -75,6 +75,18 @@ def test_minhash(spark, k, similarity):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_minhash_of_rows_that_share_an_id(spark):
+    rng = random.Random(9)
+    a, b = (" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(100)) for _ in range(2))
+    rows = [(1, a), (2, a + " x"), (2, b), (3, b + " y"), (4, "alone"), (4, None), (None, a), (5, b), (5, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"print": F.lit("p"), "doc": F.lit(1)})
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in minhash.near_duplicates(df).collect())
+    assert got == sorted([(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 4, True), (4, 4, True), (0, 0, True), (5, 2, False), (5, 2, False)])
+    left = minhash.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(1, a), (2, b), (4, "alone"), (4, None), (None, a)], key=str)
+
+
 def test_pigeonhole():
     rng = np.random.default_rng(0)
     for r in (minhash.distance_threshold(0.85), minhash.distance_threshold(0.8), 5):
