@@ -1,15 +1,17 @@
 """Quality by co-training: a text-content and a page-metadata classifier teach each other.
 
 The text view measures the content (kinds of characters, words, repetition); the metadata view sees language, source and
-length as recorded. Both are logistic regressions over binned features. In every round each labels those unlabelled pages
-of a bounded pool that it is surest of, for the other to learn from. At the end each is calibrated, and a logistic
-combination of the calibrated views, fitted on labelled pages that neither learned from, scores all documents.
+length as recorded. Both are logistic regressions over binned features, fitted to a bounded sample of labelled pages. In
+every round each view scores all unlabelled pages, and those that it is surest of, a share of each class, count as
+labelled for the other. The views are fitted anew by Newton steps whose sums are taken in tasks over all these pages, so
+the driver holds sums only, whatever the number of pages. At the end each view is calibrated, and a logistic combination
+of the calibrated views, fitted on labelled pages that neither learned from, scores all documents.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 from .arrow_text import LOWER, NOT_SPACE, buffers, byte_class, chunks, shingles, span_hashes, word_bounds
 from .shared import Scratch
 
-FIT_ROWS, POOL_ROWS, ROUNDS, SURE, SHARE = 12_000, 12_000, 5, 0.95, 0.02
+FIT_ROWS, ROUNDS, STEPS, SURE, SHARE = 12_000, 5, 3, 0.95, 0.02
+#: Bins of a logit from -30 to 30, by which the limits of the surest pages are found.
+LOGITS = 6000
 FEATURES = ("size", "upper", "digit", "symbol", "pipe", "stop", "space", "newline", "other", "control", "word_length", "distinct_words", "repeated_words", "distinct_shingles", "repeated_lines", "words", "line_length")
 _KIND = np.full(256, 3, np.uint8)  # symbols
 _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[124] = 0, 1, 2, 4
@@ -100,43 +104,158 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return v.w
 
 
+Page = tuple[np.ndarray, np.ndarray, list[np.ndarray]]
+
+
+class Pool(Protocol):
+    """Unlabelled pages, wherever they are."""
+
+    def total(self, what: str, model: CoTrained) -> np.ndarray:
+        """The sum of ``getattr(model, what)(page)`` over the pages."""
+
+
 class CoTrained:
-    def __init__(self, x: np.ndarray, size: np.ndarray, kinds: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS):
-        """y: 0, 1, or -1 without a label. Every fourth labelled row is left out for calibration."""
+    """Both views, the rules by which they label pages for each other, and the calibrated mixture."""
+
+    def __init__(self, x: np.ndarray, size: np.ndarray, kinds: list[np.ndarray], y: np.ndarray):
+        """Of labelled pages (y: 0 or 1). Every fourth is left out for calibration."""
         self.text, self.meta = View(), View(8)
         self.text.prepare(x)
         self.meta.prepare(size)
-        zt, zm = self.text.encode(x, []), self.meta.encode(size, kinds)
-        known = np.flatnonzero(y >= 0)
-        held = known[3::4] if len(known) >= 40 else known
-        lt = {int(i): int(y[i]) for i in (np.setdiff1d(known, known[3::4]) if len(known) >= 40 else known)}
-        lm, pool = dict(lt), np.flatnonzero(y < 0)
-        for r in range(rounds + 1):
-            for view, z, own in ((self.text, zt, lt), (self.meta, zm, lm)):
-                at = np.fromiter(own, int, len(own))
-                view.fit(z[at], np.array([own[i] for i in at.tolist()], float))
-            if r == rounds or not len(pool):
+        every = np.arange(len(y))
+        self.held = every[3::4] if len(y) >= 40 else every
+        self.own = np.setdiff1d(every, self.held) if len(y) >= 40 else every
+        self.y = y.astype(float)
+        self.z = [self.text.encode(x, []), self.meta.encode(size, kinds)]
+        for view, z in zip((self.text, self.meta), self.z):
+            view.fit(z[self.own], self.y[self.own])
+        # by round, for each view: its weights, and the logits below and above which its word counts
+        self.rules: list[list[tuple[np.ndarray, float, float]]] = []
+
+    def encoded(self, page: Page) -> list[np.ndarray]:
+        x, size, kinds = page
+        return [self.text.encode(x, []), self.meta.encode(size, kinds)]
+
+    def histogram(self, page: Page) -> np.ndarray:
+        """By view, the number of pages in each bin of the logit, of those that it has not taught the other yet."""
+        z = self.encoded(page)
+        bins = [np.clip((v.logit(x) + 30) * (LOGITS / 60), 0, LOGITS - 1).astype(int) for v, x in zip((self.text, self.meta), z)]
+        return np.stack([np.bincount(b[y < 0], minlength=LOGITS) for b, y in zip(bins, self.taught(z)[::-1])]).astype(float)
+
+    def taught(self, z: list[np.ndarray]) -> list[np.ndarray]:
+        """By view, the labels that the other one gives: 0, 1, or -1 for none; the first rule that speaks decides."""
+        out = [np.full(len(z[0]), -1), np.full(len(z[0]), -1)]
+        for rule in self.rules:
+            for teacher, (w, low, high) in enumerate(rule):
+                logit, labels = np.clip(z[teacher] @ w, -30, 30), out[1 - teacher]
+                labels[(labels < 0) & (logit >= high)] = 1
+                labels[(labels < 0) & (logit <= low)] = 0
+        return out
+
+    def sums(self, page: Page) -> np.ndarray:
+        """Of the pages that each view is taught: their number, gradient and second derivatives, one after the other."""
+        z = self.encoded(page)
+        parts = []
+        for view, x, y in zip((self.text, self.meta), z, self.taught(z)):
+            x, y = x[y >= 0], y[y >= 0]
+            p = _sigmoid(view.logit(x))
+            parts += [[float(len(y))], x.T @ (y - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()]
+        return np.concatenate(parts)
+
+    def train(self, pool: Pool, rounds: int = ROUNDS) -> CoTrained:
+        share = float(self.y[self.own].mean())
+        sure = float(np.log(SURE / (1 - SURE)))
+        for _ in range(rounds):
+            seen = pool.total("histogram", self)
+            if not seen.sum():
                 break
-            # the classes of what is added stand as in the labelled rows
-            share = np.mean(list(lt.values()))
-            for view, z, other in ((self.text, zt, lm), (self.meta, zm, lt)):
-                p = _sigmoid(view.logit(z[pool]))
-                for label, sure in ((1, p), (0, 1 - p)):
-                    most = int(SHARE * len(pool) * (share if label else 1 - share))
-                    best = np.argsort(-sure, kind="stable")[:most]
-                    other.update({int(pool[i]): label for i in best.tolist() if sure[i] >= SURE and int(pool[i]) not in other})
-        yt, lo = y[held].astype(float), (self.text.logit(zt[held])[:, None], self.meta.logit(zm[held])[:, None])
-        self.cal = [_curve(v, yt) for v in lo]
-        both = np.concatenate([c[0] + c[1] * v for c, v in zip(self.cal, lo)], 1)
-        self.mix = _curve(both, yt)
+            rule = []
+            for view, n in zip((self.text, self.meta), seen):
+                edges = np.arange(LOGITS + 1) * (60 / LOGITS) - 30
+                # of each class a share as in the labelled pages, with all that score like the last one, and sure ones only
+                above, below = np.append(np.cumsum(n[::-1])[::-1], 0), np.concatenate([[0], np.cumsum(n)])
+                high = edges[np.flatnonzero(above >= SHARE * n.sum() * share)[-1]]
+                low = edges[np.flatnonzero(below >= SHARE * n.sum() * (1 - share))[0]]
+                rule.append((view.w.copy(), min(float(low), -sure), max(float(high), sure)))
+            self.rules.append(rule)
+            for _ in range(STEPS):
+                self._step(pool.total("sums", self))
+        yt = self.y[self.held]
+        logits = [v.logit(z[self.held])[:, None] for v, z in zip((self.text, self.meta), self.z)]
+        self.cal = [_curve(v, yt) for v in logits]
+        self.mix = _curve(np.concatenate([c[0] + c[1] * v for c, v in zip(self.cal, logits)], 1), yt)
+        self.z = []
+        return self
+
+    def _step(self, sums: np.ndarray) -> None:
+        """A Newton step of both views; what they are taught weighs no more than the labelled pages, however many."""
+        at = 0
+        for view, z in zip((self.text, self.meta), self.z):
+            d = z.shape[1]
+            n, g, h = sums[at], sums[at + 1 : at + 1 + d], sums[at + 1 + d : at + 1 + d + d * d].reshape(d, d)
+            at += 1 + d + d * d
+            weight = min(1.0, len(self.own) / max(n, 1.0))
+            x, p = z[self.own], _sigmoid(view.logit(z[self.own]))
+            ridge = np.eye(d)
+            ridge[0, 0] = 1e-6
+            g = x.T @ (self.y[self.own] - p) + weight * g - ridge @ view.w
+            h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + weight * h + ridge
+            view.w = view.w + np.linalg.solve(h, g)
 
     def score(self, x: np.ndarray, size: np.ndarray, kinds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated text and metadata probabilities of good quality, and the combined one."""
-        t = self.cal[0][0] + self.cal[0][1] * self.text.logit(self.text.encode(x, []))
-        m = self.cal[1][0] + self.cal[1][1] * self.meta.logit(self.meta.encode(size, kinds))
+        t, m = (c[0] + c[1] * v.logit(z) for c, v, z in zip(self.cal, (self.text, self.meta), self.encoded((x, size, kinds))))
         return _sigmoid(t), _sigmoid(m), _sigmoid(self.mix[0] + self.mix[1] * t + self.mix[2] * m)
 
 
+class LocalPool:
+    def __init__(self, page: Page):
+        self.page = page
+
+    def total(self, what: str, model: CoTrained) -> np.ndarray:
+        return getattr(model, what)(self.page)
+
+
+class TablePool:
+    """Pages of a written table with x, lang, source, size; sums go to the driver in two steps, one row a partition first."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def total(self, what: str, model: CoTrained) -> np.ndarray:
+        shared = self.rows.sparkSession.sparkContext.broadcast(model)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = getattr(shared.value, what)(_page(batch.slice(at, 4096)))
+                    out = part if out is None else out + part
+            if out is not None:
+                yield _one_row(out)
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = None
+            for batch in batches:
+                for v in batch.column(0):
+                    part = np.frombuffer(v.as_buffer())
+                    out = part.copy() if out is None else out + part
+            if out is not None:
+                yield _one_row(out)
+
+        parts = self.rows.mapInArrow(add, "sums binary")
+        few = max(1, round(self.rows.rdd.getNumPartitions() ** 0.5))
+        found = parts.repartition(few).mapInArrow(merge, "sums binary").toArrow()["sums"]
+        shape = (2, LOGITS) if what == "histogram" else (-1,)
+        if not len(found):
+            return np.zeros((2, LOGITS)) if what == "histogram" else np.zeros(sum(1 + d + d * d for d in (z.shape[1] for z in model.z)))
+        return sum(np.frombuffer(v.as_buffer()) for v in found).reshape(shape)
+
+
+def _one_row(sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(sums).tobytes()], pa.binary())], names=["sums"])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(v.as_buffer()) for v in column]) if len(column) else np.zeros((0, len(FEATURES)))
 
@@ -146,17 +265,20 @@ def _size(column: pa.Array) -> np.ndarray:
     return np.log1p(np.maximum(np.nan_to_num(n), 0))[:, None]
 
 
-def _kinds(*columns: pa.Array) -> list[np.ndarray]:
-    return [np.array([0 if v is None else 1 + zlib.crc32(v.encode()) % (1 << 20) for v in c.to_pylist()], np.int64) for c in columns]
+def _page(batch: pa.RecordBatch) -> Page:
+    """Of a batch with x, lang, source (numbers of the kinds) and size."""
+    kinds = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lang", "source")]
+    return _matrix(batch.column("x")), _size(batch.column("size")), kinds
 
 
-def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", rows: int = FIT_ROWS, pool: int = POOL_ROWS, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
     """One row per row of docs: id, p_text, p_meta, score (double, 0 to 1: good quality), keep boolean (score >= threshold).
 
     Learns from the ``rows`` labelled documents with the smallest hash of the id among those of ``labels`` for which
-    ``learn`` holds, and from ``pool`` unlabelled ones chosen alike (documented bounds). Labels other than 0 and 1 are
-    ignored; contradicting ones count as 0. Null texts count as empty, null metadata as a kind of its own. Without labels
-    of both kinds every document scores 1 and is kept.
+    ``learn`` holds (the documented bound), and from all documents without a label. Labels other than 0 and 1 are ignored;
+    contradicting ones count as 0. Null texts count as empty, null metadata as a kind of its own. Without labels of both
+    kinds every document scores 1 and is kept. A score that is just the threshold keeps its document. Repeated rows get a
+    row each.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
@@ -167,20 +289,19 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
             x = text_features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), *(batch.column(i) for i in (2, 3, 4))], names=["id", "x", "lang", "source", "size"])
 
-    columns = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(size_col).cast("double").alias("size")]
-    held = scratch.write(docs.select(*columns).mapInArrow(features, f"id {kind}, x binary, lang string, source string, size double"))
+    number = lambda c: F.when(F.col(c).isNull(), 0).otherwise(1 + F.crc32(F.col(c).cast("string").cast("binary")) % (1 << 20)).cast("int")
+    columns = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), number(lang_col).alias("lang"), number(source_col).alias("source"), F.col(size_col).cast("double").alias("size")]
+    held = scratch.write(docs.select(*columns).mapInArrow(features, f"id {kind}, x binary, lang int, source int, size double"))
     marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"), F.max(learn.cast("int")).alias("learn"))
     all_marked = scratch.write(marked)
     first = [F.xxhash64("id"), F.col("id")]
     known = scratch.write(all_marked.where("learn = 1").join(held.select("id"), "id", "left_semi").select("id", "y").orderBy(*first).limit(rows))
-    free = held.select("id").join(all_marked, "id", "left_anti").orderBy(*first).limit(pool).select("id", F.lit(-1).alias("y"))
-    sample = held.join(F.broadcast(known.unionByName(free)), "id").orderBy(*first).limit(rows + pool).toArrow()  # ids may repeat
+    sample = held.join(F.broadcast(known), "id").orderBy(*first).limit(rows).toArrow().combine_chunks()  # ids may repeat
     y = sample["y"].to_numpy()
     model = None
     if {0, 1} <= set(y.tolist()):
-        s = sample.combine_chunks()
-        parts = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (s["x"], s["size"], s["lang"], s["source"])]
-        model = CoTrained(_matrix(parts[0]), _size(parts[1]), _kinds(parts[2], parts[3]), y)
+        free = scratch.write(held.join(all_marked, "id", "left_anti").select("x", "lang", "source", "size"))
+        model = CoTrained(*_page(sample.to_batches()[0]), y).train(TablePool(free))
     fitted = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +309,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
             if fitted.value is None:
                 t = m = p = np.ones(batch.num_rows)
             else:
-                t, m, p = fitted.value.score(_matrix(batch.column(1)), _size(batch.column(4)), _kinds(batch.column(2), batch.column(3)))
+                t, m, p = fitted.value.score(*_page(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (t, m, p)), pa.array(p >= threshold)], names=["id", "p_text", "p_meta", "score", "keep"])
 
     return held.mapInArrow(run, f"id {kind}, p_text double, p_meta double, score double, keep boolean").withColumnRenamed("id", id_col)

@@ -108,11 +108,29 @@ def test_co_training_uses_the_other_view():
     y = rng.integers(0, 2, 2000)
     x = (y * 2 + rng.normal(size=2000))[:, None].repeat(len(quality.FEATURES), 1)
     kinds = [y * 3 + rng.integers(0, 3, 2000), rng.integers(0, 5, 2000)]
-    model = quality.CoTrained(x, rng.random((2000, 1)), kinds, np.where(np.arange(2000) % 5 == 0, y, -1))
+    size, known = rng.random((2000, 1)), np.arange(2000) % 5 == 0
+    part = lambda rows: (x[rows], size[rows], [k[rows] for k in kinds])
+    model = quality.CoTrained(*part(known), y[known]).train(quality.LocalPool(part(~known)))
+    taught = model.taught(model.encoded(part(~known)))
+    assert all((v >= 0).sum() > 20 and (v[v >= 0] == y[~known][v >= 0]).mean() > 0.9 for v in taught)
     t, m, p = model.score(x, rng.random((2000, 1)), kinds)
     assert ((p > 0.5) == y).mean() > max(((t > 0.5) == y).mean(), 0.95) - 0.01 and ((m > 0.5) == y).mean() > 0.95
 
 
+def test_pool_of_a_table_sums_as_a_local_one(spark):
+    rng = np.random.default_rng(2)
+    n = 500
+    y = rng.integers(0, 2, n)
+    page = rng.normal(size=(n, len(quality.FEATURES))) + y[:, None], rng.random((n, 1)), [y * 2 + rng.integers(0, 2, n), rng.integers(0, 4, n)]
+    rows = [(page[0][i].tobytes(), int(page[2][0][i]), int(page[2][1][i]), float(np.expm1(page[1][i, 0]))) for i in range(n)]
+    table = quality.TablePool(spark.createDataFrame(rows, "x binary, lang int, source int, size double").repartition(3))
+    model = quality.CoTrained(*page, y)
+    assert (table.total("histogram", model) == quality.LocalPool(page).total("histogram", model)).all()
+    one = quality.CoTrained(*page, y).train(quality.LocalPool(page), 2)
+    two = quality.CoTrained(*page, y).train(table, 2)
+    assert np.allclose(one.text.w, two.text.w) and np.allclose(one.meta.w, two.meta.w) and one.rules
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
