@@ -25,7 +25,8 @@ from .shared import Scratch
 from .vectors import ragged
 
 TABLES, FOLD = 10, 3
-BLOCK = 512
+#: Vectors of a block of a bucket, and of a tile of it that is compared at once.
+BLOCK, TILE = 2048, 64
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -65,9 +66,18 @@ def codes(x: np.ndarray, tables: int = TABLES, fold: int = FOLD, seed: int = 5)
     return out
 
 
+_PREPARED = "id long, f1 long, f2 long, unit binary, codes binary, keys array<long>"
+
+
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (id, v): fingerprints, unit, codes and keys of each vector; nulls for those that link with nothing."""
     for batch in batches:
         rows = [(i, x) for i, x in ragged(batch.column(1)) if x.any()]
+        rest = np.ones(batch.num_rows, bool)
+        rest[[i for i, _ in rows]] = False
+        if rest.any():
+            alone = [batch.column(0).filter(pa.array(rest)), *(pa.nulls(int(rest.sum()), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays(alone, names=["id", "f1", "f2", "unit", "codes", "keys"])
         # equal lengths are what can be compared; the length is part of the fingerprint and of the codes
         for size in sorted({len(x) for _, x in rows}):
             at = np.array([i for i, x in rows if len(x) == size])
@@ -100,36 +110,51 @@ def _linked(similarity: float):
             left = np.flatnonzero(own[s:e] == i[s])
             right = left if i[s] == j[s] else np.flatnonzero(own[s:e] == j[s])
             n = np.sqrt((x * x).sum(1))
-            hit = (x[left] @ x[right].T) / (n[left][:, None] * n[right][None]) >= similarity
-            if i[s] == j[s]:
-                np.fill_diagonal(hit, False)
+            hit = np.zeros((len(left), len(right)), bool)
+            wl, wr = w[s:e][left], w[s:e][right]
+            n_left, n_right = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+            for at in range(0, len(left), TILE):
+                tile = left[at : at + TILE]
+                near = (x[tile] @ x[right].T) / (n[tile][:, None] * n[right][None]) >= similarity
+                if i[s] == j[s]:
+                    near[np.arange(len(tile)), at + np.arange(len(tile))] = False
+                hit[at : at + TILE] = near
+                p, q = np.nonzero(near)
+                if not len(p):
+                    continue
+                t_here = np.nonzero((c[tile[p[0]]] == key[s]).any(1))[0][0]
+                ok, a, b = np.ones(len(p), bool), c[tile[p]], c[right[q]]
+                for t in range(t_here + 1):  # most pairs meet in the first table already
+                    live = np.flatnonzero(ok)
+                    if not len(live):
+                        break
+                    same = a[live, t][:, :, None] == b[live, t][:, None, :]
+                    met = np.where(same, a[live, t][:, :, None], np.iinfo(np.int64).max).min((1, 2))
+                    ok[live] = met == key[s] if t == t_here else ~same.any((1, 2))
+                n_left += np.bincount(at + p[ok], wr[q[ok]], len(left)).astype(np.int64)
+                if i[s] != j[s]:
+                    n_right += np.bincount(q[ok], wl[p[ok]], len(right)).astype(np.int64)
             if not hit.any():
                 continue
             # links of this block as trees: each vector gets the least one that it reaches here
             name_l, name_r = rep[s:e][left].copy(), rep[s:e][right].copy()
             while True:
-                new_r = np.minimum(name_r, np.where(hit, name_l[:, None], np.iinfo(np.int64).max).min(0))
-                new_l = np.minimum(name_l, np.where(hit, new_r[None], np.iinfo(np.int64).max).min(1))
+                new_l, new_r = name_l.copy(), name_r.copy()
+                for at in range(0, len(left), TILE):
+                    part = np.where(hit[at : at + TILE], name_l[at : at + TILE, None], np.iinfo(np.int64).max)
+                    np.minimum(new_r, part.min(0), out=new_r)
+                for at in range(0, len(left), TILE):
+                    part = np.where(hit[at : at + TILE], new_r[None], np.iinfo(np.int64).max).min(1)
+                    new_l[at : at + TILE] = np.minimum(new_l[at : at + TILE], part)
                 if (new_l == name_l).all() and (new_r == name_r).all():
                     break
                 name_l, name_r = new_l, new_r
-            p, q = np.nonzero(hit)
-            t_here = np.nonzero((c[left[p[0]]] == key[s]).any(1))[0][0]
-            ok, a, b = np.ones(len(p), bool), c[left[p]], c[right[q]]
-            for t in range(t_here + 1):  # most pairs meet in the first table already
-                live = np.flatnonzero(ok)
-                if not len(live):
-                    break
-                same = a[live, t][:, :, None] == b[live, t][:, None, :]
-                met = np.where(same, a[live, t][:, :, None], np.iinfo(np.int64).max).min((1, 2))
-                ok[live] = met == key[s] if t == t_here else ~same.any((1, 2))
-            wl, wr = w[s:e][left], w[s:e][right]
             ids.append(rep[s:e][left])
-            links.append(np.bincount(p[ok], wr[q[ok]], len(left)).astype(np.int64))
+            links.append(n_left)
             roots.append(name_l)
             if i[s] != j[s]:
                 ids.append(rep[s:e][right])
-                links.append(np.bincount(q[ok], wl[p[ok]], len(right)).astype(np.int64))
+                links.append(n_right)
                 roots.append(name_r)
         if ids:
             out = [np.concatenate(v) for v in (ids, links, roots)]
@@ -144,15 +169,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors of the same length are linked when their cosine is at least ``similarity``; a component is what links
     reach, named by its smallest id, which is kept. Null, empty and zero vectors and those with null or non-finite
-    components are linked with nothing and kept. Equal vectors are linked. Ids are integers;
-    rows that repeat an id count as vectors of their own and get the same result.
+    components are linked with nothing and kept. Equal vectors are linked. Ids are integers; a null id is kept as it is,
+    unlinked. Rows that share an id are vectors of their own. An empty table gives no rows.
     """
     scratch = Scratch(vectors.sparkSession, "near-vectors")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    made = scratch.write(rows.where("id is not null").mapInArrow(_prepared, "id long, f1 long, f2 long, unit binary, codes binary, keys array<long>"))
-    groups = made.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
-    groups = scratch.write(groups)
-    reps = scratch.write(groups.join(made.withColumnRenamed("id", "rep"), ["f1", "f2", "rep"]).select("rep", "w", "unit", "codes", "keys"))
+    made = scratch.write(rows.where("id is not null").mapInArrow(_prepared, _PREPARED))
+    groups = made.where("f1 is not null").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.max("unit").alias("unit"), F.max("codes").alias("codes"), F.max("keys").alias("keys"))
+    groups = scratch.write(groups.withColumn("rep", F.monotonically_increasing_id()))
+    reps = groups.select("rep", "w", "unit", "codes", "keys")
     keys = reps.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
     shared = scratch.write(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
     met = join_hot(keys, shared, "key", "rep")
@@ -162,9 +187,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = scratch.write(met.mapInArrow(_linked(similarity), "rep long, links long, root long"))
     labels = components(scratch, found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_group = groups.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    of_group = of_group.select("f1", "f2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    of_id = made.select("id", "f1", "f2").join(of_group, ["f1", "f2"])
-    out = rows.select("id").join(of_id.select("id", "n_links", "component_id").dropDuplicates(["id"]), "id", "left")
+    of_group = groups.select("f1", "f2", "id", "w", "rep").join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    of_group = scratch.write(of_group.select("f1", "f2", "id", "rep", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")))
+    # a component is named by its smallest id
+    least = of_group.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_group = join_hot(of_group, least, "component", "rep").select("f1", "f2", "n_links", "component_id")
+    # adaptive execution splits the rows of a vector with many copies
+    found = made.select("id", "f1", "f2").join(of_group, ["f1", "f2"], "left").select("id", "n_links", "component_id")
+    out = found.unionByName(rows.where("id is null").select("id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id")))
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

@@ -125,6 +125,36 @@ def test_near_vectors(spark):
     assert near_vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_vectors_that_share_an_id_and_large_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "BLOCK", 40)
+    monkeypatch.setattr(near_vectors, "TILE", 16)
+    rng = np.random.default_rng(5)
+    hub = rng.normal(size=16)
+    x = np.concatenate([hub + 0.13 * rng.normal(size=(130, 16)), rng.normal(size=(30, 16))])
+    ids = [*range(150), *range(0, 50, 5)]
+    rows = [(i, v.tolist()) for i, v in zip(ids, x)] + [(None, x[0].tolist()), (7, None)]
+    cos = (x @ x.T) / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1)[None])
+    near = [(a, b) for a in range(160) for b in range(a) if cos[a, b] >= 0.95]
+    root = _join(range(160), near)
+    name = {r: min(ids[m] for m in root if root[m] == r) for r in set(root.values())}
+    want = [(ids[m], sum(m in p for p in near), name[root[m]], name[root[m]] == ids[m]) for m in range(160)] + [(None, 0, None, True), (7, 0, 7, True)]
+    got = near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("size", [16, 64, 256, 768])
+def test_codes_find_pairs_at_the_similarity(size):
+    rng = np.random.default_rng(size)
+    a = rng.normal(size=(600, size))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1)[:, None] * a
+    b = 0.951 * a + np.sqrt(1 - 0.951**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    ca, cb = (near_vectors.codes(v).reshape(600, -1) for v in (a, b))
+    met = [bool(set(p) & set(q)) for p, q in zip(ca.tolist(), cb.tolist())]
+    assert np.mean(met) >= 0.99
+
+
 @pytest.mark.parametrize("scale", [64, 3e8])
 def test_top_k(spark, scale):
     rows = [None if v is None else [None if c is None else math.floor(c * scale) * 1.0 if math.isfinite(c) else c for c in v] for v in _vectors()]
