@@ -175,11 +175,12 @@ def _stays(gone: Column) -> Column:
     return F.array_join(runs, "").cast("binary")
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = 0.8) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = 0.8, drop_emptied: bool = False) -> DataFrame:
     """docs with the same columns and rows, whose texts lack the lines that repeat or nearly repeat an earlier one.
 
     Blank lines and unrepeated ones stay, in their order; a text may become empty. Null texts stay null, rows with a null
     id stay as they are. Rows that share an id are documents of their own, but equal rows are one: they keep the same lines.
+    With ``drop_emptied`` the rows go whose lines all repeat others; texts that had no line stay.
     """
     scratch = Scratch(docs.sparkSession, "gone")
     repeated = line_components(docs, id_col, text_col, k, similarity).where(F.struct("id", "row", "place") != F.col("kept"))
@@ -189,5 +190,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), _row(id_col, text_col).alias("row")).join(_few(gone), ["id", "row"], "left")
     text = F.col("doc")[text_col]
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: F.substring("stays", i + 1, F.lit(1)) != F.lit(b"0")), "\n")
+    if drop_emptied:
+        rows = rows.where(F.col("stays").isNull() | (F.trim(F.replace(left, F.lit("\n"), F.lit(""))) != ""))
     left = F.when(F.col("stays").isNull(), text).otherwise(left)
     return rows.select(*[left.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])

@@ -139,8 +139,22 @@ def test_pipeline(spark):
         docs = stage(spark, docs, SF).cache()
         counts.append(docs.count())
         assert docs.columns == columns
-    assert counts[1] < counts[0] and counts[2] < counts[1] and counts[3] == counts[2] and counts[4] <= counts[3]
+    assert counts[1] < counts[0] and counts[2] < counts[1] and counts[3] < counts[2] and counts[4] <= counts[3]
+    empty = (F.col("text").isNull()) | (F.trim(F.replace("text", F.lit("\n"), F.lit(""))) == "")
+    assert docs.where(empty).count() <= spark.read.parquet(f"{SF}/documents.parquet").where(empty).count()
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.select("doc_id").distinct().count() == counts[4]
     whole = corpus_pipeline.run(spark, SF)
     assert whole.agg(F.sum("length")).first() == last.agg(F.sum("length")).first()
+
+
+def test_pipeline_stages_take_odd_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    odd = _odd(spark).select(names).unionByName(spark.createDataFrame([(None, "no id", "en", "s", 5)], ", ".join(f"{n} {t}" for n, t in zip(names, ("long", "string", "string", "string", "long")))))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (odd, odd.limit(0)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path)).cache()
+            assert docs.columns == names and docs.count() == n, name
