@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Null and empty texts pass the first four stages, as nothing shows them to be toxic, bad or copies, and are packed as a
+closing id alone. Rows with a null id pass them unlooked at. Ids are those of one document each; rows that share an id go
+together in the first two stages, and are documents of their own in the others. Without labels nothing is predicted toxic
+or bad. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,14 +36,13 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of equal or nearly equal lines one stays; no document goes."""
-    return lines.drop_repeated_lines(docs)
+    """Of each component of equal or nearly equal lines one stays; documents whose lines all repeat others go."""
+    return lines.drop_repeated_lines(docs, drop_emptied=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicate documents the one with the smallest id stays."""
-    found = minhash.near_duplicates(docs)
-    return without(docs, found.where("not kept").select("doc_id"))
+    return minhash.drop_near_duplicates(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
