@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, quoted
@@ -163,22 +164,45 @@ def row_count(df: DataFrame) -> int:
     return df.count()
 
 
-def _order(df: DataFrame) -> list:
-    usable = [c for c, f in zip(df.columns, df.schema.fields) if not f.dataType.simpleString().startswith(("map", "variant"))]
-    return [F.xxhash64(F.lit(42), *[col(c) for c in usable]), *[col(c) for c in usable]]
+def row_place(df: DataFrame) -> list[Column] | None:
+    """What tells the rows of a table of files apart, wherever they are read; null for other tables."""
+    place = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        df.select(*place)
+    except AnalysisException:
+        return None
+    return place
+
+
+def _least(df: DataFrame, n: int) -> DataFrame:
+    """n rows in the order of a hash, the same ones whenever and however they are read.
+
+    Rows of files are hashed by their place. Others are hashed by their values and a number for each copy of equal rows,
+    which are counted before they are shuffled; tables with maps by the order in which they come.
+    """
+    place = row_place(df)
+    if place is None and any(f.dataType.simpleString().startswith(("map", "variant")) for f in df.schema.fields):
+        place = [F.monotonically_increasing_id()]
+    if place is not None:
+        rows = df.select(F.struct(*[col(c).alias(c) for c in df.columns]).alias("row"), *place).toDF("row", *[f"p{i}" for i in range(len(place))])
+        by = [F.col(c) for c in rows.columns[1:]]
+        return rows.orderBy(F.xxhash64(F.lit(42), *by), *by).limit(n).select("row.*")
+    rows = df.select(F.struct(*[col(c).alias(c) for c in df.columns]).alias("row")).groupBy("row").agg(F.count("*").alias("copies"))
+    rows = rows.select("row", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(n)))).alias("copy"))
+    return rows.orderBy(F.xxhash64(F.lit(42), "copy", "row"), "copy", "row").limit(n).select("row.*")
 
 
 def sample(df: DataFrame, n: int, total: int | None = None, method: str = "exact", seed: int = 42) -> DataFrame:
     """A sample of n rows; all rows if n is 0 or not below the total.
 
-    ``exact``: the n rows with the least hash of all their values, the same ones whenever and however they are read.
+    ``exact``: n rows by a hash, the same ones whenever they are read; repeated rows are drawn as often as others.
     ``bernoulli``: each row with probability n / total. ``random``: n rows in the order of a seeded random number.
     """
     total = df.count() if total is None else total
     if n == 0 or n >= total:
         return df
     if method == "exact":
-        return df.orderBy(*_order(df)).limit(n)
+        return _least(df, n)
     if method == "bernoulli":
         return df.sample(fraction=min(1.0, n / total), seed=seed)
     if method == "random":
@@ -187,6 +211,11 @@ def sample(df: DataFrame, n: int, total: int | None = None, method: str = "exact
 
 
 def limited_values(df: DataFrame, column: str, limit: int = 10_000) -> DataFrame:
-    """Up to ``limit`` values of a numeric column as double: those with the least hash, so that runs agree."""
+    """Up to ``limit`` values of a numeric column as double, drawn as ``sample`` draws rows."""
     x = col(column).cast("double")
-    return df.where(x.isNotNull()).select(x.alias("value")).orderBy(F.xxhash64("value"), "value").limit(limit)
+    place = row_place(df)
+    some = df.where(x.isNotNull())
+    if place is None:
+        return _least(some.select(x.alias("value")), limit)
+    rows = some.select(x, *place).toDF("value", "p0", "p1")
+    return rows.orderBy(F.xxhash64(F.lit(42), "p0", "p1"), "p0", "p1").limit(limit).select("value")
