@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import LARGEST_DOUBLE, col, count_where, day, long_form, union
@@ -68,12 +70,51 @@ def moments(df: DataFrame, columns: list[str] | None = None, bias_corrected: boo
 QUANTILES = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
 
+def order_statistics(df: DataFrame, values: dict[str, Column], ranks: dict[str, list[int]], ranges: int = 32) -> DataFrame:
+    """column_name, rank (from 0), value (double): the values at the ranks of each expression, nulls left out.
+
+    Values are counted, cut into ranges by approximate quantiles, and running counts are taken inside each range and
+    shifted by the totals of the ranges before, so that no task holds all values of a column.
+    """
+    names = list(values)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), values[c].cast("double").alias("v")) for i, c in enumerate(names)])
+    counted = df.select(F.inline(cells)).where("v is not null").groupBy("i", "v").agg(F.count("*").alias("n"))
+    bounds = {r["i"]: sorted(set(r["q"])) for r in counted.groupBy("i").agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], F.lit(1000)).alias("q")).collect()}
+    at = F.array(*[F.array(*[F.lit(b) for b in bounds.get(i, [])]).cast("array<double>") for i in range(len(names))])
+    dealt = counted.withColumn("part", F.size(F.filter(F.get(at, F.col("i")), lambda b: b < F.col("v"))))
+    own = dealt.withColumn("before", F.sum("n").over(Window.partitionBy("i", "part").orderBy("v")) - F.col("n"))
+    totals = dealt.groupBy("i", "part").agg(F.sum("n").alias("t"))
+    shift = totals.select("i", "part", (F.sum("t").over(Window.partitionBy("i").orderBy("part")) - F.col("t")).alias("shift"))  # one row a range
+    placed = own.join(F.broadcast(shift), ["i", "part"]).select("i", "v", "n", (F.col("before") + F.col("shift")).alias("before"))
+    asked = F.array(*[F.array(*[F.lit(r) for r in ranks.get(c, [])]).cast("array<long>") for c in names])
+    found = F.filter(F.get(asked, F.col("i")), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
+    rows = placed.select("i", "v", F.explode(found).alias("rank"))
+    return rows.select(F.array(*[F.lit(c) for c in names])[F.col("i")].alias("column_name"), "rank", F.col("v").alias("value"))
+
+
+def exact_quantiles(df: DataFrame, values: dict[str, Column], at: dict[str, float]) -> DataFrame:
+    """column_name and a column for each of ``at``, interpolated between the values at the two places around it."""
+    n = {r["column_name"]: r["n"] for r in long_form(df, values, {"n": lambda c: F.count(values[c])}).collect()}
+    places = {c: {k: q * (n[c] - 1) for k, q in at.items()} for c in values if n[c]}
+    ranks = {c: sorted({r for p in x.values() for r in (math.floor(p), math.ceil(p))}) for c, x in places.items()}
+    found = order_statistics(df, values, ranks).collect() if ranks else []
+    value = {(r["column_name"], r["rank"]): r["value"] for r in found}
+
+    def one(c: str, p: float) -> float:
+        low, high = value[c, math.floor(p)], value[c, math.ceil(p)]
+        return low if low == high else low + (high - low) * (p - math.floor(p))
+
+    rows = [(c, *[one(c, places[c][k]) if c in places else None for k in at]) for c in values]
+    return df.sparkSession.createDataFrame(rows, "column_name string, " + ", ".join(f"{k} double" for k in at))
+
+
 def quantiles(df: DataFrame, columns: list[str] | None = None, exact: bool = False, accuracy: int = 10_000, batch: int | None = None) -> DataFrame:
     """p5, p25, median, p75, p95; exact ones interpolate, approximate ones are values of the column."""
     columns = columns_of(df.schema, *NUMERIC) if columns is None else columns
+    if exact:
+        return exact_quantiles(df, {c: col(c).cast("double") for c in columns}, QUANTILES)
     at = F.array(*[F.lit(q) for q in QUANTILES.values()])
-    one = (lambda c: F.percentile(col(c).cast("double"), at)) if exact else (lambda c: F.percentile_approx(col(c).cast("double"), at, F.lit(accuracy)))
-    out = long_form(df, columns, {"q": one}, batch)
+    out = long_form(df, columns, {"q": lambda c: F.percentile_approx(col(c).cast("double"), at, F.lit(accuracy))}, batch)
     return out.select("column_name", *[F.col("q")[i].alias(n) for i, n in enumerate(QUANTILES)])
 
 

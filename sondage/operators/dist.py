@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket, chi_square_p, col, leading_digit, long_form, normal_quantile, union
-from ..sources.readers import limited_values
 from ..types import NUMERIC, columns_of
+from .core import exact_quantiles, order_statistics
 
 
 def _ends(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -84,56 +84,107 @@ def benford_test(digits: DataFrame) -> list[tuple[str, float, float]]:
     return [(r["column_name"], r["chi2"], round(chi_square_p(r["chi2"], 8), 6)) for r in rows]
 
 
-def mad(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """mad: the exact median of the distances to the median (6 decimals); null for fewer than 3 values."""
+def mad(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """mad: the median of the distances to the median (6 decimals); null for fewer than 3 values."""
     columns = columns_of(df.schema, *NUMERIC) if columns is None else columns
+    x = {c: col(c).cast("double") for c in columns}
+
+    def medians(values: dict[str, Column]) -> dict[str, float]:
+        if exact:
+            rows = exact_quantiles(df, values, {"m": 0.5})
+        else:
+            rows = long_form(df, values, {"m": lambda c: F.percentile_approx(values[c], F.lit(0.5))})
+        return {r["column_name"]: r["m"] for r in rows.collect()}
+
+    middle = medians(x)
+    found = medians({c: F.abs(x[c] - F.lit(middle[c])) for c in columns})
+    count = {r["column_name"]: r["n"] for r in long_form(df, columns, {"n": lambda c: F.count(col(c))}).collect()}
+    return df.sparkSession.createDataFrame([(c, round(found[c], 6) if count[c] >= 3 else None) for c in columns], "column_name string, mad double")
+
+
+def _scales(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, float, float, float]]:
+    """n, min, max, mean and deviation of the columns that a curve can be drawn of: 5 values, not all alike, all finite."""
     x = lambda c: col(c).cast("double")
-    medians = {r["column_name"]: r["m"] for r in long_form(df, columns, {"m": lambda c: F.percentile(x(c), F.lit(0.5))}).collect()}
-    around = lambda c: F.percentile(F.abs(x(c) - F.lit(medians[c])), F.lit(0.5))
-    return long_form(df, columns, {"mad": lambda c: F.when(F.count(col(c)) >= 3, F.round(around(c), 6))})
+    ends = {"n": lambda c: F.count(x(c)), "low": lambda c: F.min(x(c)), "high": lambda c: F.max(x(c)), "mean": lambda c: F.avg(x(c)), "sigma": lambda c: F.stddev_samp(x(c))}
+    rows = long_form(df, columns, ends).collect()
+    return {r["column_name"]: tuple(r)[1:] for r in rows if r["n"] >= 5 and r["sigma"] and math.isfinite(r["sigma"]) and r["low"] != r["high"]}
 
 
-def kde(df: DataFrame, column: str, points: int = 50, limit: int = 10_000) -> DataFrame:
-    """Gaussian density at evenly spaced points, x (4 decimals), y (8), over at most ``limit`` values; Silverman's width.
+def densities(df: DataFrame, columns: list[str] | None = None, points: int = 50) -> DataFrame:
+    """column_name, x (4 decimals), y (8): Gaussian density at evenly spaced points; Silverman's width.
 
-    No rows for fewer than 5 values or constant ones.
+    All columns take one pass. Columns of fewer than 5 values, of one value or with infinite ones have no rows.
     """
-    values = limited_values(df, column, limit)
-    n, low, high, sigma = values.agg(F.count("*"), F.min("value"), F.max("value"), F.stddev_samp("value")).first()
-    if n < 5 or not sigma or low == high or not math.isfinite(sigma):
-        return df.sparkSession.createDataFrame([], "x double, y double")
-    h = 1.06 * sigma * n**-0.2
-    at = [low + i * (high - low) / (points - 1) for i in range(points)]
-    row = values.agg(*[F.sum(F.exp(F.pow(F.lit(x) - F.col("value"), 2) * (-0.5 / h**2))).alias(f"s{i}") for i, x in enumerate(at)])
-    scale = 1 / (h * math.sqrt(2 * math.pi) * n)
-    return row.select(F.inline(F.array(*[F.struct(F.round(F.lit(x), 4).alias("x"), F.round(F.col(f"s{i}") * scale, 8).alias("y")) for i, x in enumerate(at)])))
-
-
-def qq_plot(df: DataFrame, column: str, points: int = 50, limit: int = 10_000) -> DataFrame:
-    """theoretical and actual quantiles (4 decimals) against a normal distribution of the same mean and deviation."""
-    values = limited_values(df, column, limit)
-    n, mean, sigma = values.agg(F.count("*"), F.avg("value"), F.stddev_samp("value")).first()
-    if n < 5 or not sigma or not math.isfinite(sigma):
-        return df.sparkSession.createDataFrame([], "theoretical double, actual double")
-    at = sorted({round(i * (n - 1) / (points - 1)) for i in range(points)} if n > points else range(n))
-    theory = df.sparkSession.createDataFrame([(i, round(mean + sigma * normal_quantile((i + 0.5) / n), 4)) for i in at], "i int, theoretical double")
-    ordered = values.select((F.row_number().over(Window.orderBy("value")) - 1).alias("i"), "value")  # at most ``limit`` rows
-    return ordered.join(F.broadcast(theory), "i").select("theoretical", F.round("value", 4).alias("actual"))
-
-
-def monotonic(df: DataFrame, columns: list[str], order: list[str] | None = None, limit: int = 10_000) -> DataFrame:
-    """Whether the first ``limit`` values that are not null never fall or never rise, in file order or in that of ``order``.
+    columns = columns_of(df.schema, *NUMERIC) if columns is None else columns
+    scales = _scales(df, columns)
+    some = [c for c in columns if c in scales]
+    if not some:
+        return df.sparkSession.createDataFrame([], "column_name string, x double, y double")
+    at, meta = [], []
+    for c in some:
+        n, low, high, _, sigma = scales[c]
+        h = 1.06 * sigma * n**-0.2
+        at.append([low + i * (high - low) / (points - 1) for i in range(points)])
+        meta.append((c, -0.5 / h**2, 1 / (h * math.sqrt(2 * math.pi) * n)))
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), col(c).cast("double").alias("v")) for i, c in enumerate(some)])
+    rows = df.select(F.inline(cells)).where("v is not null").groupBy("i", "v").agg(F.count("*").alias("n"))
+    grid = F.array(*[F.array(*[F.lit(x) for x in xs]) for xs in at])
+    scale = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(k).alias("k"), F.lit(f).alias("f")) for c, k, f in meta])
+    rows = rows.select("i", "v", "n", F.posexplode(grid[F.col("i")]).alias("p", "x"))
+    sums = rows.groupBy("i", "p").agg(F.sum(F.col("n") * F.exp(F.pow(F.col("x") - F.col("v"), 2) * scale[F.col("i")]["k"])).alias("s"))
+    return sums.select(scale[F.col("i")]["name"].alias("column_name"), F.round(grid[F.col("i")][F.col("p")], 4).alias("x"), F.round(F.col("s") * scale[F.col("i")]["f"], 8).alias("y"))
+
+
+def quantile_plots(df: DataFrame, columns: list[str] | None = None, points: int = 50) -> DataFrame:
+    """column_name, theoretical, actual (4 decimals): quantiles against a normal distribution of the same mean and deviation."""
+    columns = columns_of(df.schema, *NUMERIC) if columns is None else columns
+    scales = _scales(df, columns)
+    ranks, theory = {}, []
+    for c, (n, _, _, mean, sigma) in scales.items():
+        ranks[c] = sorted({round(i * (n - 1) / (points - 1)) for i in range(points)} if n > points else range(n))
+        theory += [(c, i, round(mean + sigma * normal_quantile((i + 0.5) / n), 4)) for i in ranks[c]]
+    if not ranks:
+        return df.sparkSession.createDataFrame([], "column_name string, theoretical double, actual double")
+    places = df.sparkSession.createDataFrame(theory, "column_name string, rank long, theoretical double")
+    found = order_statistics(df, {c: col(c).cast("double") for c in ranks}, ranks)
+    return found.join(F.broadcast(places), ["column_name", "rank"]).select("column_name", "theoretical", F.round("value", 4).alias("actual"))
+
+
+def kde(df: DataFrame, column: str, points: int = 50) -> DataFrame:
+    """densities() of one column: x, y."""
+    return densities(df, [column], points).select("x", "y")
+
+
+def qq_plot(df: DataFrame, column: str, points: int = 50) -> DataFrame:
+    """quantile_plots() of one column: theoretical, actual."""
+    return quantile_plots(df, [column], points).select("theoretical", "actual")
+
+
+def monotonic(df: DataFrame, columns: list[str], order: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Whether the values that are not null never fall or never rise, in file order or in that of ``order``.
 
+    Of all rows, or of the first ``limit`` ones. Rows are cut into ranges of their order; each range tells whether it holds
+    and its ends, which are compared with those of the next, so that no task sees a whole column.
     is_monotonic_increasing and is_monotonic_decreasing are null for fewer than 3 values or a single distinct one.
     """
     place = [col(c) for c in order] if order else [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    by = [f"o{i}" for i in range(len(place))]
     parts = []
     for c in columns:
-        first = df.select(col(c).alias("v"), *[p.alias(f"o{i}") for i, p in enumerate(place)]).where("v is not null")
-        by = [f"o{i}" for i in range(len(place))]
-        first = first.orderBy(*by).limit(limit)
-        pairs = first.select("v", F.lag("v").over(Window.orderBy(*by)).alias("u"))  # at most ``limit`` rows
-        row = pairs.agg(F.count("*").alias("n"), F.count_distinct("v").alias("d"), F.bool_and(F.col("u").isNull() | (F.col("v") >= F.col("u"))).alias("up"), F.bool_and(F.col("u").isNull() | (F.col("v") <= F.col("u"))).alias("down"))
-        told = (F.col("n") >= 3) & (F.col("d") > 1)
+        rows = df.select(col(c).alias("v"), *[p.alias(b) for p, b in zip(place, by)]).where("v is not null")
+        if limit is not None:
+            rows = rows.orderBy(*by).limit(limit)
+        # ranges of the order, each sorted in a task of its own
+        rows = rows.repartitionByRange(*by).withColumn("part", F.spark_partition_id())
+        w = Window.partitionBy("part").orderBy(*by)
+        own = rows.select("part", "v", *by, F.lag("v").over(w).alias("u"))
+        at = F.struct(*by)
+        rise, fall = (F.bool_and(F.col("u").isNull() | x) for x in (F.col("v") >= F.col("u"), F.col("v") <= F.col("u")))
+        ends = own.groupBy("part").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.min_by("v", at).alias("first"), F.max_by("v", at).alias("last"), rise.alias("up"), fall.alias("down"))
+        after = ends.select("*", F.lag("last").over(Window.orderBy("part")).alias("u"))  # one row a range
+        up = F.bool_and(F.col("up") & (F.col("u").isNull() | (F.col("first") >= F.col("u"))))
+        down = F.bool_and(F.col("down") & (F.col("u").isNull() | (F.col("first") <= F.col("u"))))
+        row = after.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), up.alias("up"), down.alias("down"))
+        told = (F.col("n") >= 3) & (F.col("low") < F.col("high"))
         parts.append(row.select(F.lit(c).alias("column_name"), F.when(told, F.col("up")).alias("is_monotonic_increasing"), F.when(told, F.col("down")).alias("is_monotonic_decreasing")))
     return union(parts)
