@@ -38,14 +38,19 @@ def watermark(df: DataFrame, column: str) -> str | None:
 
 
 def check_delta(df: DataFrame, info: TableInfo, prior: dict[str, Any] | None, watermark_column: str | None = None) -> Change:
-    """new_table, schema_changed, watermark_advanced, row_count_changed or unchanged, whichever comes first."""
+    """new_table, schema_changed, watermark_advanced (it differs), row_count_changed or unchanged, whichever comes first."""
     now = column_hash([(c.name, c.canonical_type) for c in info.columns])
-    mark = watermark(df, watermark_column) if watermark_column and watermark_column in df.columns else None
+    mark, moved = None, False
+    if watermark_column and watermark_column in df.columns:
+        old = (prior or {}).get("watermark_value")
+        # compared in the column's own type: as strings, 10 would come before 9
+        last, kind = F.max(col(watermark_column)), df.schema[watermark_column].dataType
+        mark, moved = df.agg(last.cast("string"), F.coalesce(last != F.lit(old).try_cast(kind), F.lit(old is not None) & last.isNotNull())).first()
     if prior is None:
         return Change(True, "new_table", None, now, mark)
     if prior["column_hash"] != now:
         return Change(True, "schema_changed", None, now, mark)
-    if mark is not None and prior.get("watermark_value") is not None and mark > prior["watermark_value"]:
+    if moved:
         return Change(True, "watermark_advanced", None, now, mark)
     count = df.count()
     return Change(count != prior["row_count"], "row_count_changed" if count != prior["row_count"] else "unchanged", count, now, mark)
@@ -114,11 +119,26 @@ def partials(df: DataFrame, columns: list[str], *keys: str) -> DataFrame:
 
 
 def merge_partials(parts: DataFrame, *keys: str) -> DataFrame:
-    """One row per keys and column_name over all partial rows, by the parallel form of Welford's sums."""
-    n, mean = F.sum("non_null"), F.try_divide(F.sum(F.col("mean") * F.col("non_null")), F.sum("non_null"))
-    # m2 of the whole: the parts' own plus what their means differ from the common one
-    m2 = F.sum("m2") + F.sum(F.col("non_null") * F.pow("mean", F.lit(2))) - n * F.pow(mean, F.lit(2))
-    return parts.groupBy(*keys, "column_name").agg(F.sum("rows").alias("rows"), n.alias("non_null"), mean.alias("mean"), F.greatest(m2, F.lit(0.0)).alias("m2"), F.min("least").alias("least"), F.max("largest").alias("largest"), F.hll_union_agg("sketch").alias("sketch"))
+    """One row per keys and column_name over all partial rows.
+
+    The squared deviations are the parts' own plus those of their means from the common mean, which is found first: sums of
+    squares would cancel where values are far from 0.
+    """
+    by = [*keys, "column_name"]
+    base = parts.groupBy(*by).agg(F.min("mean").alias("base"))
+    n = F.sum("non_null")
+
+    def with_(rows: DataFrame, more: DataFrame) -> DataFrame:
+        more = more.withColumnsRenamed({c: f"_{c}" for c in by})
+        on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        return rows.join(more, on).drop(*[f"_{c}" for c in by])
+
+    near = with_(parts, base)
+    common = near.groupBy(*by).agg((F.first("base") + F.try_divide(F.sum((F.col("mean") - F.col("base")) * F.col("non_null")), n)).alias("common"))
+    near = with_(parts, common)
+    m2 = F.sum(F.col("m2") + F.col("non_null") * F.pow(F.col("mean") - F.col("common"), F.lit(2)))
+    sums = [F.sum("rows").alias("rows"), n.alias("non_null"), F.first("common").alias("mean"), m2.alias("m2"), F.min("least").alias("least"), F.max("largest").alias("largest"), F.hll_union_agg("sketch").alias("sketch")]
+    return near.groupBy(*by).agg(*sums)
 
 
 class StateStore:
