@@ -34,6 +34,9 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--incremental", action="store_true")
     run.add_argument("--watermark-column")
     run.add_argument("--prior-run-id")
+    run.add_argument("--query-timeout", type=int, default=300, help="seconds a metric may take; 0 for no limit")
+    for what in ("patterns", "correlation", "histogram", "benford", "relationships", "duplicates"):
+        run.add_argument(f"--no-{what}", action="store_true", help=f"leave out {what}")
     for name, kinds in (("export", sorted(FORMATS)), ("page", ["html"])):
         more = commands.add_parser(name, help="write a stored NDJSON profile in another format")
         more.add_argument("input")
@@ -47,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("sondage").getOrCreate()
     if args.command == "run":
         output = args.output or f"profile.{FORMATS[args.output_format]}"
-        config = Config(source=args.source, source_kind=args.kind, database=args.database, schema_name=args.schema, tables=args.table, sample_size=args.sample, concurrency=args.concurrency, stats_depth=args.stats_depth, exact_distinct=args.exact_distinct, column_batch_size=args.column_batch_size, output_format=args.output_format, output=output, state_dir=args.state_dir, resume=args.resume, incremental=args.incremental, watermark_column=args.watermark_column, prior_run_id=args.prior_run_id)
+        config = Config(source=args.source, source_kind=args.kind, database=args.database, schema_name=args.schema, tables=args.table, sample_size=args.sample, concurrency=args.concurrency, stats_depth=args.stats_depth, exact_distinct=args.exact_distinct, column_batch_size=args.column_batch_size, output_format=args.output_format, output=output, state_dir=args.state_dir, resume=args.resume, incremental=args.incremental, watermark_column=args.watermark_column, prior_run_id=args.prior_run_id, query_timeout=args.query_timeout, enable_patterns=not args.no_patterns, enable_correlation=not args.no_correlation, enable_histogram=not args.no_histogram, enable_benford=not args.no_benford, discover_relationships=not args.no_relationships, detect_duplicates=not args.no_duplicates)
         run_id, profiles = run_profiler(spark, config, lambda table, what: print(f"{table}: {what}"))
         print(f"run {run_id}: {len(profiles)} tables, {sum(bool(p.get('error')) for p in profiles)} failed; {output}")
         return int(any(p.get("error") for p in profiles))

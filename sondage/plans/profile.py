@@ -6,6 +6,7 @@ Data stay in Spark; what reaches the driver is one row per column, pair or bin.
 from __future__ import annotations
 
 import datetime as dt
+import threading
 import time
 import uuid
 from collections import defaultdict
@@ -23,6 +24,8 @@ from ..types import DATES, KEYED, NUMERIC
 from . import incremental, relationships
 
 Profile = dict[str, Any]
+#: Rows whose order a profile looks at.
+MONOTONIC_ROWS = 10_000
 
 
 def quality_score(columns: list[Profile], duplicate_rate: float, error: str | None = None) -> float:
@@ -65,12 +68,19 @@ def profile_table(df: DataFrame, info: TableInfo, config: Config | None = None,
     numbers, strings, bools, days, keyed, batch = kind(*NUMERIC), kind("string"), kind("boolean"), kind(*DATES), kind(*KEYED), config.column_batch_size
 
     def take(name: str, make: Callable[[], Any]) -> Any:
-        """A metric that fails is recorded; the others go on."""
+        """A metric that fails, or takes longer than the query timeout, is recorded; the others go on."""
+        context, timer = df.sparkSession.sparkContext, None
+        if config.query_timeout and (group := context.getLocalProperty("spark.jobGroup.id")):
+            timer = threading.Timer(config.query_timeout, lambda: context.cancelJobGroup(group))
+            timer.start()
         try:
             return make()
         except Exception as e:
             out["metric_errors"][name] = f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"
             return None
+        finally:
+            if timer:
+                timer.cancel()
 
     def merge(name: str, make: Callable[[], DataFrame]) -> None:
         for c, values in (take(name, lambda: _by_column(make())) or {}).items():
@@ -84,7 +94,7 @@ def profile_table(df: DataFrame, info: TableInfo, config: Config | None = None,
         merge("numeric", lambda: core.numeric(few, numbers, batch))
         merge("moments", lambda: core.moments(few, numbers, config.bias_corrected_moments, batch))
         merge("quantiles", lambda: core.quantiles(few, numbers, config.exact_quantiles, batch=batch))
-        merge("mad", lambda: dist.mad(few, numbers))
+        merge("mad", lambda: dist.mad(few, numbers, exact=config.exact_quantiles or not whole))
     if strings:
         merge("strings", lambda: core.strings(few, strings, batch))
     if bools:
@@ -93,17 +103,24 @@ def profile_table(df: DataFrame, info: TableInfo, config: Config | None = None,
     if days:
         merge("dates", lambda: core.dates(few, as_of, days, batch).drop("distinct_values"))
     if keyed:
-        # distinct values and frequencies are of the whole table, as far as counts of rows go they are the sample's
-        merge("distinct", lambda: freq.exact_distinct(df, keyed))
-        top = take("top_values", lambda: _lists(freq.top_values(df, keyed, 10), "rank")) or {}
-        bottom = take("bottom_values", lambda: _lists(freq.bottom_values(df, keyed), "rank")) or {}
-        if not config.exact_distinct:
-            merge("approx_distinct", lambda: core.distincts(df, keyed, batch=batch))
+        # one pass counts all values: of the whole table in exact mode, else of the sample
+        counted = freq.grouped(df if config.exact_distinct else few, keyed).cache()
+        merge("distinct", lambda: freq.distinct_of(counted))
+        top = take("top_values", lambda: _lists(freq.ranked_of(counted, 10), "rank")) or {}
+        bottom = take("bottom_values", lambda: _lists(freq.ranked_of(counted, 5, descending=False), "rank")) or {}
+        bottom = {c: v for c, v in bottom.items() if len(v) == 5}
+        counted.unpersist()
+        if not config.exact_distinct and not whole:
+            # distinct values are of the whole table even so, from sketches
+            merge("approx_distinct", lambda: core.distincts(df, keyed, batch=batch).drop("distinct_mode"))
+            for c in keyed:
+                columns[c]["distinct_values"] = max(columns[c].get("distinct_values", 0), columns[c].get("approx_distinct", 0))
     for c, p in columns.items():
         exact = p.get("distinct_values", 0)
-        p["distinct_mode"] = "exact" if config.exact_distinct else "approx"
-        p["approx_distinct"] = exact if config.exact_distinct else p.get("approx_distinct", exact)
-        p["distinct_ratio"] = round(exact / total, 6) if total else 0.0
+        p["distinct_mode"] = "exact" if config.exact_distinct or whole else "approx"
+        p["approx_distinct"] = p.get("approx_distinct", exact)
+        # a sketch may tell more values than there are rows
+        p["distinct_ratio"] = round(min(1.0, exact / total), 6) if total else 0.0
         p["pk_candidate"] = bool(c in keyed and total and p["null_count"] == 0 and exact >= 0.99 * total)
         if p["canonical_type"] in NUMERIC and p.get("p25") is not None:
             p["iqr"], p["range"] = round(p["p75"] - p["p25"], 6), round(p["max"] - p["min"], 6)
@@ -123,15 +140,16 @@ def profile_table(df: DataFrame, info: TableInfo, config: Config | None = None,
                 columns[c]["histogram"] = [{k: x[k] for k in ("bin_start", "bin_end", "count")} for x in b]
                 every, sum_ = sum(x["count"] for x in b), 0
                 columns[c]["cdf"] = [{"x": x["bin_end"], "cumulative_pct": round((sum_ := sum_ + x["count"]) / every, 6)} for x in b]
-            for c in numbers:
-                columns[c]["kde"] = take(f"kde {c}", lambda c=c: [r.asDict() for r in dist.kde(few, c).orderBy("x").collect()]) or None
-                columns[c]["qq_plot"] = take(f"qq_plot {c}", lambda c=c: [r.asDict() for r in dist.qq_plot(few, c).orderBy("theoretical").collect()]) or None
+            for name, make, by in (("kde", dist.densities, "x"), ("qq_plot", dist.quantile_plots, "theoretical")):
+                found = take(name, lambda make=make, by=by: _lists(make(few, numbers), by)) or {}
+                for c in numbers:
+                    columns[c][name] = found.get(c)
         if strings:
             for c, b in (take("length_histogram", lambda: _lists(dist.length_histogram(few, strings), "length")) or {}).items():
                 columns[c]["length_histogram"] = b
     lined = [c for c in keyed if columns[c]["canonical_type"] in (*NUMERIC, *DATES) and columns[c].get("distinct_values", 0) > 1]
     if lined:
-        merge("monotonic", lambda: dist.monotonic(df, lined, order))
+        merge("monotonic", lambda: dist.monotonic(df, lined, order, MONOTONIC_ROWS))
     many = [c for c in numbers if columns[c].get("distinct_values", 0) > 100]
     if config.enable_benford and many:
         digits = take("benford", lambda: dist.benford_digits(few, many).cache())
@@ -161,7 +179,7 @@ def profile_table(df: DataFrame, info: TableInfo, config: Config | None = None,
         out["correlations"] = [{k: v for k, v in p.items() if v is not None} for p in pairs.values()]
     spark = df.sparkSession
     n = out["sampled_row_count"]
-    inputs = spark.createDataFrame([{k: _cast(c.get(k), t) for k, t in anomaly.INPUTS.items()} | {"table_name": info.name, "column_name": c["name"], "total_rows": n, "as_of": dt.date.fromisoformat(as_of), "top_frequency": _share(c.get("top_frequency"), n, total)} for c in columns.values()], ", ".join(f"{k} {t}" for k, t in anomaly.INPUTS.items()) + ", table_name string, column_name string")
+    inputs = spark.createDataFrame([{k: _cast(c.get(k), t) for k, t in anomaly.INPUTS.items()} | {"table_name": info.name, "column_name": c["name"], "total_rows": n, "as_of": dt.date.fromisoformat(as_of), "top_frequency": _share(c.get("top_frequency"), n, total if config.exact_distinct else n)} for c in columns.values()], ", ".join(f"{k} {t}" for k, t in anomaly.INPUTS.items()) + ", table_name string, column_name string")
     flagged = anomaly.flags(inputs, config.thresholds).cache()
     for r in flagged.select("column_name", "anomalies").collect():
         columns[r[0]]["anomalies"] = list(r[1])

@@ -21,6 +21,7 @@ ORDERS = ["o_orderkey", "o_custkey", "o_totalprice"]
 #: Tables with nulls and repeated rows, made alike in both engines.
 NULLED = "SELECT l_orderkey, nullif(l_linenumber, 3) AS n, nullif(l_returnflag, 'R') AS flag, nullif(l_quantity, 10.0) AS q, l_shipdate FROM lineitem"
 AS_OF = "2025-01-01"
+_LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -120,9 +121,19 @@ def quantiles_exact(spark, sf_dir):
     return out.select("column_name", *[F.round(q, 4).alias(q) for q in core.QUANTILES])
 
 
-@query()
+@query(each(LINE, ", ".join(f"true AS {q}" for q in core.QUANTILES), "(SELECT 1)"))
 def quantiles_approx(spark, sf_dir):
-    return core.quantiles(read(spark, sf_dir, "lineitem"), LINE)
+    """Whether each approximate quantile is a value of the column at most 1 / 1000 of the rows from its place."""
+    df = read(spark, sf_dir, "lineitem")
+    found = {r["column_name"]: r for r in core.quantiles(df, LINE).collect()}
+    shares = lambda c, q: (F.count_if(F.col(c) < found[c][q]) / F.count(c), F.count_if(F.col(c) <= found[c][q]) / F.count(c))
+
+    def near(c: str, q: str, at: float):
+        below, upto = shares(c, q)
+        return ((below - 0.001 <= at) & (upto + 0.001 >= at)).alias(q)
+
+    row = df.agg(*[F.struct(F.lit(c).alias("column_name"), *[near(c, q, at) for q, at in core.QUANTILES.items()]).alias(c) for c in LINE])
+    return row.select(F.inline(F.array(*LINE)))
 
 
 @query(
@@ -178,9 +189,12 @@ def exact_distinct(spark, sf_dir):
     return freq.exact_distinct(nulled(spark, sf_dir), ["n", "flag", "q", "l_orderkey"])
 
 
-@query()
+@query(each(_LINEITEM, "count(DISTINCT {c})::BIGINT AS distinct_values, 'approx' AS distinct_mode, true AS near", "lineitem"))
 def approx_distinct(spark, sf_dir):
-    return core.distincts(read(spark, sf_dir, "lineitem"))
+    """Exact distinct values, and whether the sketch's are within four of its standard errors, 2 % each."""
+    df = read(spark, sf_dir, "lineitem")
+    both = core.distincts(df).join(freq.exact_distinct(df, df.columns).select("column_name", "distinct_values"), "column_name")
+    return both.select("column_name", "distinct_values", "distinct_mode", (F.abs(F.col("approx_distinct") / F.col("distinct_values") - 1) <= 0.08).alias("near"))
 
 
 KEY_ROW = "count(DISTINCT {c})::BIGINT AS distinct_values, round(count(DISTINCT {c}) / count(*), 6) AS distinct_ratio, (count(*) = count({c}) AND count(DISTINCT {c}) >= 0.99 * count(*)) AS pk_candidate"
@@ -245,10 +259,22 @@ def benford_digits(spark, sf_dir):
     return dist.benford_digits(read(spark, sf_dir, "orders"), ["o_totalprice"])
 
 
-@query()
+# the tail of the normal distribution by Abramowitz and Stegun 7.1.26, which is right to six decimals
+_TAIL = "(0.254829592 * t - 0.284496736 * t ** 2 + 1.421413741 * t ** 3 - 1.453152027 * t ** 4 + 1.061405429 * t ** 5) * exp(-x * x)"
+_CHI2 = "SELECT sum((o - e) ** 2 / e) AS chi2 FROM (SELECT d, count(n.digit) AS o, any_value(total) * log10(1 + 1.0 / d) AS e FROM range(1, 10) r(d) CROSS JOIN (SELECT count(*) AS total FROM digits) LEFT JOIN digits n ON n.digit = r.d GROUP BY d)"
+
+
+@query(
+    " UNION ALL ".join(
+        f"(WITH digits AS (SELECT nullif(regexp_extract(abs({c})::VARCHAR, '^[0.]*([1-9])', 1), '')::INTEGER AS digit FROM orders WHERE {c} > 0), chi AS ({_CHI2}), "
+        "z AS (SELECT chi2, (((chi2 / 8) ** (1.0 / 3) - (1 - 2.0 / 72)) / sqrt(2.0 / 72)) / sqrt(2) AS z FROM chi), u AS (SELECT chi2, z, abs(z) AS x, 1 / (1 + 0.3275911 * abs(z)) AS t FROM z) "
+        f"SELECT '{c}' AS column_name, round(chi2, 4) AS chi2, round(CASE WHEN z >= 0 THEN 0.5 * {_TAIL} ELSE 1 - 0.5 * {_TAIL} END, 4) AS benford_pvalue FROM u)"
+        for c in ("o_totalprice", "o_custkey")
+    )
+)
 def benford_pvalue(spark, sf_dir):
     found = dist.benford_test(dist.benford_digits(read(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey"]))
-    return spark.createDataFrame(found, "column_name string, chi2 double, benford_pvalue double")
+    return spark.createDataFrame([(c, round(x, 4), round(p, 4)) for c, x, p in found], "column_name string, chi2 double, benford_pvalue double")
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, round(quantile_cont(abs({c} - m), 0.5), 6) AS mad FROM lineitem, (SELECT quantile_cont({c}, 0.5) AS m FROM lineitem)" for c in ("l_quantity", "l_extendedprice")))
@@ -256,19 +282,31 @@ def mad(spark, sf_dir):
     return dist.mad(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"])
 
 
-@query()
+@query(
+    "WITH v AS (SELECT o_totalprice AS v FROM orders), s AS (SELECT count(*) AS n, min(v) AS low, max(v) AS high, 1.06 * stddev_samp(v) * count(*) ** -0.2 AS h FROM v), "
+    "p AS (SELECT low + i * (high - low) / 49 AS x, h, n FROM s, range(50) r(i)) "
+    "SELECT round(x, 4) AS x, round(sum(exp(-0.5 * ((x - v) / h) ** 2)) / (any_value(h) * sqrt(2 * pi()) * any_value(n)), 8) AS y FROM p, v GROUP BY x"
+)
 def kde(spark, sf_dir):
     return dist.kde(read(spark, sf_dir, "orders"), "o_totalprice")
 
 
-@query()
+# the inverse normal distribution by Abramowitz and Stegun 26.2.23
+_Z = "t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))"
+
+
+@query(
+    "WITH s AS (SELECT count(*) AS n, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS d FROM orders), o AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS i FROM orders), "
+    "q AS (SELECT DISTINCT round_even(k * (n - 1) / 49.0, 0)::BIGINT AS i, n, m, d FROM s, range(50) r(k)), z AS (SELECT i, m, d, (i + 0.5) / n AS p, sqrt(-2 * ln(least((i + 0.5) / n, 1 - (i + 0.5) / n))) AS t FROM q) "
+    f"SELECT round(m + d * (CASE WHEN p > 0.5 THEN 1 ELSE -1 END) * ({_Z}), 4) AS theoretical, round(v, 4) AS actual FROM z JOIN o USING (i)"
+)
 def qq_plot(spark, sf_dir):
     return dist.qq_plot(read(spark, sf_dir, "orders"), "o_totalprice")
 
 
 @query(
     " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, bool_and(u IS NULL OR v >= u) AS is_monotonic_increasing, bool_and(u IS NULL OR v <= u) AS is_monotonic_decreasing FROM (SELECT {c} AS v, lag({c}) OVER (ORDER BY o_orderkey) AS u FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10000))"
+        f"SELECT '{c}' AS column_name, bool_and(u IS NULL OR v >= u) AS is_monotonic_increasing, bool_and(u IS NULL OR v <= u) AS is_monotonic_decreasing FROM (SELECT {c} AS v, lag({c}) OVER (ORDER BY o_orderkey) AS u FROM orders)"
         for c in ("o_orderkey", "o_totalprice")
     )
 )
@@ -522,14 +560,20 @@ def schema_hash(spark, sf_dir):
 
 
 @query(
-    "SELECT * FROM (VALUES ('new', 'new_table'), ('altered', 'schema_changed'), ('later', 'watermark_advanced'), ('longer', 'row_count_changed'), ('same', 'unchanged')) t(state, reason)"
+    "WITH now AS (SELECT count(*) AS n, max(ts) AS t, max(event_id) AS e FROM events), p(state, column_, known, hash, old_t, old_e, old_n) AS ("
+    "SELECT 'new', 'ts', false, true, NULL, NULL, NULL UNION ALL SELECT 'altered', 'ts', true, false, t, NULL, n FROM now UNION ALL SELECT 'later', 'ts', true, true, TIMESTAMP '1900-01-01', NULL, n FROM now "
+    "UNION ALL SELECT 'longer', 'ts', true, true, t, NULL, 1 FROM now UNION ALL SELECT 'same', 'ts', true, true, t, NULL, n FROM now UNION ALL SELECT 'number', 'event_id', true, true, NULL, 9, n FROM now UNION ALL SELECT 'same_number', 'event_id', true, true, NULL, e, n FROM now) "
+    "SELECT state, CASE WHEN NOT known THEN 'new_table' WHEN NOT hash THEN 'schema_changed' WHEN old_t <> t OR old_e <> e THEN 'watermark_advanced' WHEN old_n <> n THEN 'row_count_changed' ELSE 'unchanged' END AS reason FROM p, now"
 )
 def delta_check(spark, sf_dir):
     df, info = read(spark, sf_dir, "events"), discover(ParquetSource(spark, sf_dir), "events")
     now = incremental.column_hash([(c.name, c.canonical_type) for c in info.columns])
     same = {"column_hash": now, "row_count": df.count(), "watermark_value": incremental.watermark(df, "ts")}
     priors = {"new": None, "altered": same | {"column_hash": "0"}, "later": same | {"watermark_value": "1900-01-01"}, "longer": same | {"row_count": 1}, "same": same}
-    return spark.createDataFrame([(k, incremental.check_delta(df, info, p, "ts").reason) for k, p in priors.items()], "state string, reason string")
+    found = [(k, incremental.check_delta(df, info, p, "ts").reason) for k, p in priors.items()]
+    for k, old in (("number", "9"), ("same_number", incremental.watermark(df, "event_id"))):
+        found.append((k, incremental.check_delta(df, info, same | {"watermark_value": old}, "event_id").reason))
+    return spark.createDataFrame(found, "state string, reason string")
 
 
 @query("SELECT strftime(max(ts), '%Y-%m-%d %H:%M') AS watermark, count(*)::BIGINT AS row_count FROM events")
@@ -545,6 +589,14 @@ def merge_partial_stats(spark, sf_dir):
     return out.select("column_name", "rows", "non_null", F.round("mean", 6).alias("mean"), F.round(F.sqrt(F.col("m2") / (F.col("non_null") - 1)), 6).alias("stddev"), "least", "largest")
 
 
+@query("SELECT 'value' AS column_name, event_id % 3 AS kind, count(*)::BIGINT AS rows, round(avg(round(value, 3)) + 1000000000, 4) AS mean, round(var_pop(round(value, 3)) * count(*), 2) AS m2 FROM events GROUP BY event_id % 3")
+def merge_partials_far_from_zero(spark, sf_dir):
+    """Of values moved by a billion, whose squares hold no digit of their deviations."""
+    df = read(spark, sf_dir, "events").select((F.col("event_id") % 7).alias("part"), (F.col("event_id") % 3).alias("kind"), (F.round("value", 3) + F.lit(1e9)).alias("value"))
+    out = incremental.merge_partials(incremental.partials(df, ["value"], "part", "kind").drop("part"), "kind")
+    return out.select("column_name", "kind", "rows", F.round("mean", 4).alias("mean"), F.round("m2", 2).alias("m2"))
+
+
 @query("SELECT count(*)::BIGINT AS total_row_count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stddev, round(var_samp(value), 4) AS variance, min(value) AS min, max(value) AS max, round(sum(value), 2) AS sum FROM events")
 def merge_profiles(spark, sf_dir):
     """The profile of the earlier events merged with that of the later ones, against one pass over all."""
@@ -592,33 +644,67 @@ def fast_profile(spark, sf_dir):
     return spark.createDataFrame([(t, source.read(t).count(), len(discover(source, t).columns)) for t in ("nation", "orders", "documents")], "table_name string, row_count long, columns int")
 
 
-@query()
+def _drawn(df: DataFrame, rows: DataFrame, size) -> DataFrame:
+    """Of a sample: whether its size is right, and whether it holds columns of 2 and 50 values and a mean as the table does."""
+    share = lambda t: t.agg(F.avg((F.col("l_linestatus") == "O").cast("int")).alias("two"), F.count_distinct("l_quantity").alias("many"), F.avg("l_extendedprice").alias("mean"), F.max("n").alias("most"), F.count("*").alias("rows")).first()
+    counted = lambda t: t.withColumn("n", F.lit(0))
+    a, b = share(counted(df)), share(counted(rows))
+    most = rows.groupBy("l_quantity").count().agg(F.max("count")).first()[0] / b["rows"]
+    whole = df.groupBy("l_quantity").count().agg(F.max("count")).first()[0] / a["rows"]
+    near = abs(a["two"] - b["two"]) < 0.03 and abs(b["mean"] / a["mean"] - 1) < 0.05 and a["many"] == b["many"] and most < whole + 0.02
+    return df.sparkSession.createDataFrame([(bool(size(b["rows"])), bool(near))], "size_is_right boolean, balanced boolean")
+
+
+_BALANCED = "SELECT true AS size_is_right, true AS balanced"
+
+
+@query(_BALANCED)
 def sample_exact(spark, sf_dir):
-    return sample(read(spark, sf_dir, "lineitem"), 10_000)
+    df = read(spark, sf_dir, "lineitem")
+    return _drawn(df, sample(df, 10_000), lambda n: n == 10_000)
 
 
-@query()
+@query(_BALANCED)
 def sample_bernoulli(spark, sf_dir):
-    return sample(read(spark, sf_dir, "lineitem"), 10_000, method="bernoulli")
+    df = read(spark, sf_dir, "lineitem")
+    return _drawn(df, sample(df, 10_000, method="bernoulli"), lambda n: abs(n - 10_000) < 500)
 
 
-@query()
+@query(_BALANCED)
 def sample_random(spark, sf_dir):
-    return sample(read(spark, sf_dir, "lineitem"), 10_000, method="random")
+    df = read(spark, sf_dir, "lineitem")
+    return _drawn(df, sample(df, 10_000, method="random"), lambda n: n == 10_000)
 
 
-@query()
+@query("SELECT 10000::BIGINT AS rows, count(DISTINCT l_quantity)::BIGINT AS distinct_values, true AS balanced FROM lineitem")
 def sample_values(spark, sf_dir):
-    return limited_values(read(spark, sf_dir, "lineitem"), "l_extendedprice")
+    """Up to 10 000 values of a column of 50 values: all of them are there, none much oftener than in the table."""
+    df = read(spark, sf_dir, "lineitem")
+    drawn = limited_values(df, "l_quantity").groupBy("value").agg(F.count("*").alias("n"))
+    whole = df.groupBy(F.col("l_quantity").alias("value")).agg((F.count("*") / df.count()).alias("share"))
+    far = F.max(F.abs(F.col("n") / 10_000 - F.col("share")))
+    return drawn.join(whole, "value").agg(F.sum("n").alias("rows"), F.count("*").alias("distinct_values"), (far < 0.01).alias("balanced"))
 
 
-@query()
+_CUSTOMER = {"c_custkey": "integer", "c_name": "string", "c_nationkey": "integer", "c_acctbal": "float", "c_mktsegment": "string"}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS name, '{t}' AS canonical_type, (count(*) - count({c}))::BIGINT AS null_count, count(DISTINCT {c})::BIGINT AS distinct_values, count({c}) = count(*) AND count(DISTINCT {c}) >= 0.99 * count(*) AS pk_candidate, "
+        + (f"round(avg({c}), 4) AS mean, round(quantile_cont({c}, 0.5), 4) AS median, NULL::INTEGER AS max_length" if t != "string" else f"NULL::DOUBLE AS mean, NULL::DOUBLE AS median, max(length({c}))::INTEGER AS max_length")
+        + " FROM customer"
+        for c, t in _CUSTOMER.items()
+    )
+)
 def profile_columns(spark, sf_dir):
-    """The whole profile of a table, one row a column."""
+    """What the profile of a whole table tells of its columns, one row a column."""
     from .config import Config
     from .plans.profile import profile_table
-    from .sinks.writers import column_rows
 
     source = ParquetSource(spark, sf_dir)
-    config = Config(sample_size=0, as_of=AS_OF, exact_distinct=True)
-    return column_rows([profile_table(source.read("customer"), discover(source, "customer"), config, order=["c_custkey"])], spark)
+    config = Config(sample_size=0, as_of=AS_OF, exact_distinct=True, exact_quantiles=True)
+    found = profile_table(source.read("customer"), discover(source, "customer"), config, order=["c_custkey"])
+    short = lambda v: None if v is None else round(float(v), 4)
+    rows = [(c["name"], c["canonical_type"], c["null_count"], c["distinct_values"], c["pk_candidate"], short(c.get("mean")), short(c.get("median")), c.get("max_length")) for c in found["columns"]]
+    return spark.createDataFrame(rows, "name string, canonical_type string, null_count long, distinct_values long, pk_candidate boolean, mean double, median double, max_length int")

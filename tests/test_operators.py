@@ -2,13 +2,14 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sondage.config import Thresholds
 from sondage.functions.columns import chi_square_p, normal_quantile
 from sondage.operators import anomaly, assoc, core, dist, freq, patterns, rows
-from sondage.sources.readers import sample
+from sondage.sources.readers import limited_values, sample
 
 
 def by_column(df):
@@ -171,3 +172,44 @@ def test_sampling(spark):
     assert 30 < sample(t, 100, method="bernoulli").count() < 250
     means = [sample(t, 1000, method="random", seed=s).agg(F.avg("id")).first()[0] for s in range(3)]
     assert all(math.isclose(m, 2499.5, rel_tol=0.1) for m in means)
+
+
+def test_samples_draw_repeated_rows_as_others(spark, tmp_path):
+    t = spark.range(0, 20_000).select((F.col("id") % 20).alias("v"), (F.col("id") % 2).cast("string").alias("w"))
+    t.repartition(5).write.parquet(f"{tmp_path}/t")
+    for x in (t, spark.read.parquet(f"{tmp_path}/t")):
+        for draw in (sample(x, 2000), limited_values(x, "v", 2000).withColumnRenamed("value", "v")):
+            n = {r["v"]: r["n"] for r in draw.groupBy("v").agg(F.count("*").alias("n")).collect()}
+            assert sum(n.values()) == 2000 and len(n) == 20 and all(60 < k < 145 for k in n.values())
+    again = spark.read.parquet(f"{tmp_path}/t")
+    assert sorted(map(tuple, sample(again, 50).collect())) == sorted(map(tuple, sample(again, 50).collect()))
+    means = [sample(spark.range(100_000).select((F.col("id") + F.lit(7919 * i)).alias("v")), 10_000).agg(F.avg(F.col("v") - 7919 * i)).first()[0] for i in range(5)]
+    assert np.std(means) / np.mean(means) < 0.05
+    odd = spark.createDataFrame([(i, {"a": i}) for i in range(50)], "id long, m map<string,int>")
+    assert sample(odd, 10).count() == 10
+
+
+def test_order_statistics(spark):
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=3000).round(1), rng.integers(0, 3, 3000)
+    t = spark.createDataFrame([(float(a), int(b), None) for a, b in zip(x, y)] + [(None, 1, None)], "x double, y int, z double").repartition(4)
+    q = by_column(core.quantiles(t, ["x", "y", "z"], exact=True))
+    for name, at in core.QUANTILES.items():
+        assert q["x"][name] == pytest.approx(np.quantile(x, at)) and q["y"][name] == pytest.approx(np.quantile([*y, 1], at)) and q["z"][name] is None
+    m = by_column(dist.mad(t, ["x", "y", "z"]))
+    assert m["x"]["mad"] == pytest.approx(np.median(np.abs(x - np.median(x)))) and m["z"]["mad"] is None
+    assert {r["column_name"] for r in dist.densities(t, ["x", "y", "z"]).collect()} == {"x", "y"}
+
+
+def test_monotonic_over_many_ranges(spark):
+    t = spark.range(0, 30_000, 1, 6).select("id", F.when(F.col("id") == 17_777, 0).otherwise(F.col("id")).alias("dip"), (F.col("id") / 100).cast("long").alias("steps"))
+    m = by_column(dist.monotonic(t, ["id", "dip", "steps"], order=["id"]))
+    assert [m[c][1] for c in ("id", "dip", "steps")] == [True, False, True] and not any(m[c][2] for c in ("id", "dip", "steps"))
+
+
+def test_frequencies_of_all_columns(spark, known):
+    g = freq.grouped(known, ["dept", "id", "with_nulls"])
+    d = by_column(freq.distinct_of(g))
+    assert (d["dept"]["distinct_values"], d["id"]["unique_count"], d["with_nulls"]["distinct_values"]) == (10, 1000, 800)
+    assert [r["value"] for r in freq.ranked_of(g, 3).where("column_name = 'dept'").orderBy("rank").collect()] == ["0", "1", "2"]
+    assert freq.exact_distinct(known.limit(0), ["dept"]).first()["distinct_values"] == 0

@@ -119,3 +119,20 @@ def test_graph_counts():
 
 def test_discovery_lists_tables(spark, folder):
     assert ParquetSource(spark, folder).tables() == ["empty", "users", "visits"]
+
+
+def test_watermarks_are_compared_in_their_type(spark):
+    df = spark.createDataFrame([(9, "a"), (10, "b")], "n long, s string")
+    info = discover(type("S", (), {"read": lambda self, t: df, "comment": lambda self, t: None})(), "t")
+    now = incremental.column_hash([(c.name, c.canonical_type) for c in info.columns])
+    reason = lambda old, column="n": incremental.check_delta(df, info, {"column_hash": now, "row_count": 2, "watermark_value": old}, column).reason
+    assert [reason("9"), reason("10"), reason("11"), reason("x"), reason(None), reason("a", "s"), reason("b", "s")] == ["watermark_advanced", "unchanged", "watermark_advanced", "watermark_advanced", "unchanged", "watermark_advanced", "unchanged"]
+
+
+def test_merged_deviations_far_from_zero(spark):
+    df = spark.range(0, 1000).select((F.col("id") % 7).alias("part"), (F.col("id") * 0.5 + 1e9).alias("x"), F.when(F.col("id") % 3 == 0, F.lit("k")).alias("key"))
+    whole = df.agg(F.var_pop("x") * 1000).first()[0]
+    merged = incremental.merge_partials(incremental.partials(df, ["x"], "part").drop("part")).first()
+    assert merged["m2"] == pytest.approx(whole, rel=1e-9) and merged["mean"] == pytest.approx(1e9 + 249.75, rel=1e-15)
+    by_key = incremental.merge_partials(incremental.partials(df, ["x"], "part", "key"), "key").collect()
+    assert {(r["key"], r["non_null"]) for r in by_key} == {("k", 334), (None, 666)}
