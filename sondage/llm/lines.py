@@ -3,9 +3,10 @@
 A line's shingles are its runs of SHINGLE characters (UTF-16 units); all of them are hashed, whatever the line's length. A
 hash deals its shingle to one of BANDS bands and one of ROWS rows there, and the least hash of each row is kept
 (one-permutation MinHash; an empty row takes the value of another one of its band). The rows of a band make one key. Links
-are looked for in two steps, both verified by the Jaccard similarity of all shingles: each line against the first line of a
-bucket, that with which it shares the most keys; then, in the buckets that still hold several components, all pairs of
-different components, in blocks of bounded size. Distributed union-find keeps one line of each component: the one that
+are looked for in two steps, both verified by the Jaccard similarity of all shingles: each line against the leaders of its
+buckets; then what is still apart in a bucket. Lines with which a line shares a shingle that the leader lacks are found by the
+rarest of these; other lines have no more in common than each has with the leader, and are compared, in blocks of bounded
+size, if that can be enough. Neither loses a pair. Distributed union-find keeps one line of each component: the one that
 comes first.
 
 Equal lines are one node from the start, named by a 64-bit hash; lines whose hash another line has too get a second one.
@@ -13,7 +14,7 @@ Equal lines are one node from the start, named by a 64-bit hash; lines whose has
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, hot_keys, join_dealt, join_hot
@@ -69,36 +70,66 @@ def _keys(signatures: DataFrame) -> DataFrame:
 
 
 def _shared(scratch: Scratch, keys: DataFrame) -> DataFrame:
-    """node, key, n (the bucket's size) and head (its least node) for the buckets of several nodes."""
+    """node, key and n (the bucket's size) for the buckets of several nodes."""
     sums = [F.min("node").alias("head"), F.max("node").alias("last"), F.bit_xor("node").alias("x"), F.count("*").alias("n")]
     buckets = scratch.write(keys.groupBy("key").agg(*sums).where("n > 1"))
     # the nodes of a bucket of three are known from these sums
     third = F.col("head").bitwiseXOR(F.col("last")).bitwiseXOR(F.col("x"))
     nodes = F.when(F.col("n") == 2, F.array("head", "last")).otherwise(F.array(F.col("head"), F.col("last"), third))
-    small = buckets.where("n < 4").select(F.explode(nodes).alias("node"), "key", "n", "head")
-    large = buckets.where("n > 3").select("key", "n", "head")
+    small = buckets.where("n < 4").select(F.explode(nodes).alias("node"), "key", "n")
+    large = buckets.where("n > 3").select("key", "n")
     large = keys.join(F.broadcast(large), "key") if large.count() <= BROADCAST_ROWS else join_hot(keys, large, "key", "node")
-    return scratch.write(small.unionByName(large.select("node", "key", "n", "head")))
+    return scratch.write(small.unionByName(large.select("node", "key", "n")))
 
 
-def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def _led(scratch: Scratch, shared: DataFrame) -> DataFrame:
+    """shared with a, the leader of each bucket.
+
+    A bucket is led by the line of the largest buckets: of lines that were made from one by edits, the one whose least
+    hashes most others have, which is nearest to all of them. Ties go by a hash.
+    """
+    weight = shared.groupBy("node").agg(F.sum("n").alias("w"))
+    rows = shared.join(weight, "node")
+    leaders = scratch.write(rows.groupBy("key").agg(F.max_by("node", F.struct("w", F.xxhash64("node"), "node")).alias("a")))
+    return scratch.write(join_hot(shared, leaders, "key", "node"))
+
+
+def _apart(shared: DataFrame, labels: DataFrame, percent: int | None = None) -> DataFrame:
     """Pairs (a < b) of different components that share a bucket. shared: node, key and n, the bucket's size.
 
     A bucket is cut into blocks of about BLOCK lines, and each pair of blocks is a group of its own. Buckets of one
-    component can add nothing.
+    component can add nothing. With ``percent`` a line has also its number of shingles and how many its leader has of
+    them: only pairs are given that can be near by these alone.
     """
-    named = shared.join(labels, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("c"))
+    more = ["size", "common"] if percent else []
+    named = shared.join(labels, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("c"), *more)
     several = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
     rows = join_hot(named, several, "key", "node").withColumn("g", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    one = rows.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("g") - 1)).alias("j"), F.col("node").alias("x"), F.col("c").alias("cx"))
-    two = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("node").alias("y"), F.col("c").alias("cy"))
-    pairs = one.join(two, ["key", "i", "j"]).where("cx <> cy and (i < j or x < y)")
+    side = lambda x: [F.col("node").alias(x), F.col("c").alias(f"c{x}"), *[F.col(m).alias(f"{m}{x}") for m in more]]
+    one = rows.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("g") - 1)).alias("j"), *side("x"))
+    two = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), *side("y"))
+    kept = "cx <> cy and (i < j or x < y)"
+    if percent:
+        kept += f" and {100 + percent} * least(commonx, commony) >= {percent} * (sizex + sizey)"
+    pairs = one.join(two, ["key", "i", "j"]).where(kept)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _of_own(compared: DataFrame) -> DataFrame:
+    """Of compared pairs (a, b, own, spare): node, key and n, the lines that may be near through shingles that a lacks.
+
+    A line near b lacks at most ``spare`` of its shingles, so it shares one of any spare + 1 of b's own: of the rarest ones.
+    """
+    keys = compared.select(F.col("b").alias("node"), "a", "spare", F.explode(F.transform("own", lambda t: F.xxhash64("a", t))).alias("key"))
+    rows = join_hot(keys, keys.groupBy("key").agg(F.count("*").alias("n")), "key", "node")
+    order = F.row_number().over(Window.partitionBy("node", "a").orderBy("n", "key"))
+    return rows.withColumn("place", order).where("place <= spare + 1 and n > 1").select("node", "key", "n")
+
+
 def _verified(scratch: Scratch, pairs: DataFrame, groups: DataFrame, lines: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those (a, b) whose shingle sets have 100 * intersection >= percent * union.
+    """a, b, near: whether their shingle sets have 100 * intersection >= percent * union; own: what b has and a lacks; size,
+    common: numbers of b's shingles, and of those that a has; spare: how many of b's a line near it may lack.
 
     groups: node and tag, the one of its places to read it from; lines: id, row, place, node, tag.
     """
@@ -114,8 +145,10 @@ def _verified(scratch: Scratch, pairs: DataFrame, groups: DataFrame, lines: Data
     both = join_dealt(pairs.join(two, "b"), one, "a", "b", hot)
     # inline() keeps the optimizer from making the sets once for each use
     sets = both.select("a", "b", F.inline(F.array(F.struct(shingle_hashes(F.col("la"), k).alias("sa"), shingle_hashes(F.col("lb"), k).alias("sb")))))
-    sets = sets.select("a", "b", F.inline(F.array(F.struct(F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("same")))))
-    return sets.where(100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b").distinct()
+    sets = sets.select("a", "b", F.inline(F.array(F.struct(F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("own")))))
+    same = F.col("nb") - F.size("own")
+    near = 100 * same >= percent * (F.col("na") + F.col("nb") - same)
+    return sets.select("a", "b", near.alias("near"), "own", F.col("nb").alias("size"), same.alias("common"), F.floor((100 - percent) * F.col("nb") / 100).cast("int").alias("spare"))
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
@@ -145,14 +178,19 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with scratch.settings({"spark.sql.codegen.aggregate.map.twolevel.enabled": "false"}):
         keys = scratch.write(_keys(_signatures(read().select("node", "line"), k)))
     shared = _shared(scratch, keys)
-    # the first line of a bucket with which a line shares the most keys; ties go by a hash
-    first = shared.where("head < node").groupBy("node", "head").agg(F.count("*").alias("n"))
-    order = F.col("n") * F.lit(1 << 58) + F.shiftrightunsigned(F.xxhash64("head"), 6)
-    pairs = scratch.write(first.groupBy("node").agg(F.max_by("head", order).alias("a")).select("a", F.col("node").alias("b")))
-    links = scratch.write(_verified(scratch, pairs, groups, lines, texts, k, percent))
-    # what is still apart in a bucket
-    more = scratch.write(_apart(shared.select("node", "key", "n"), components(scratch, links)).join(pairs, ["a", "b"], "left_anti"))
-    links = links.unionByName(scratch.write(_verified(scratch, more, groups, lines, texts, k, percent)))
+    shared = _led(scratch, shared)
+    pairs = scratch.write(shared.where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    compared = scratch.write(_verified(scratch, pairs, groups, lines, texts, k, percent))
+    links = compared.where("near").select("a", "b")
+    # what is still apart: two lines of a bucket that share no shingle which its leader lacks have no more in common than
+    # each has with the leader, so few can be near; others share one of the rarest such shingles
+    labels = scratch.write(components(scratch, links))
+    close = compared.where(F.size("own") <= F.col("spare")).select("a", F.col("b").alias("node"), "size", "common")
+    more = _apart(shared.join(close, ["a", "node"]), labels, percent)
+    more = more.unionByName(_apart(scratch.write(_of_own(compared)), labels)).distinct()
+    more = scratch.write(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    found = _verified(scratch, more, groups, lines, texts, k, percent).where("near")
+    links = links.unionByName(scratch.write(found.select("a", "b")))
     labels = scratch.write(components(scratch, links))
     # lines of components of several lines, copies included
     named = labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
