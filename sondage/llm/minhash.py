@@ -207,11 +207,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, similarity:
     # a set is a node of its own; it is read from the row with the smallest id
     reps = some.groupBy("f1", "f2").agg(F.min(F.struct("id", "print")).alias("at"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("keys").alias("keys"))
     reps = scratch.write(reps.select(F.monotonically_increasing_id().alias("node"), "at.id", "at.print", "f1", "f2", "n", "sig", "keys"))
-    keys = reps.select(F.col("node").alias("rep"), F.explode("keys").alias("key"))
-    leaders = scratch.write(keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1"))
-    shared = scratch.write(join_hot(keys, leaders, "key", "rep"))
+    keys = reps.select(F.col("node").alias("rep"), "id", F.explode("keys").alias("key"))
+    # the set with the smallest id leads: of copies the earliest, which the others were made from
+    leaders = keys.groupBy("key").agg(F.min(F.struct("id", "rep"))["rep"].alias("leader"), F.count("*").alias("members")).where("members > 1")
+    shared = scratch.write(join_hot(keys.drop("id"), scratch.write(leaders), "key", "rep"))
     # the first of a bucket with which a set shares the most keys
-    first = shared.where("leader < rep").groupBy("rep", "leader").count()
+    first = shared.where("leader <> rep").groupBy("rep", "leader").count()
     first = first.groupBy("rep").agg((-F.max(F.struct("count", (-F.col("leader")).alias("l")))["l"]).alias("leader"))
     pairs = scratch.write(first.select(F.col("leader").alias("a"), F.col("rep").alias("b")))
     links = scratch.write(confirm(scratch, pairs, texts, reps, k, percent, table))
@@ -220,7 +221,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, similarity:
     named = scratch.write(shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "members", "rep", F.coalesce("component", "rep").alias("comp")))
     several = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
     mixed = join_hot(named, several, "key", "rep").join(reps.select(F.col("node").alias("rep"), "n", "sig"), "rep")
-    more = scratch.write(_within_blocks(mixed, r, percent).join(pairs, ["a", "b"], "left_anti"))
+    more = scratch.write(_within_blocks(mixed, r, percent).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     labels = _relabelled(scratch, labels, scratch.write(confirm(scratch, more, texts, reps, k, percent, table)))
     of_set = scratch.write(reps.select("f1", "f2", "node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
     # a component is named by its smallest id
