@@ -7,10 +7,12 @@ one of the others but for e - 1. The allowed chunk errors are enumerated by leav
 slots, so that each document has a fixed number of keys and every pair within r meets in one. r lies over three standard
 deviations above the mean distance of a pair at the similarity threshold.
 
-Equal sets are one representative from the start, so copies make no pairs. Then links are looked for in two steps, both
-confirmed on the full sets: each representative against the smallest one that it shares a key with; then, in the buckets
-that still hold several components, all pairs within r of different components, in blocks of bounded size. Buckets of one
-component can add nothing, however large.
+Equal sets are one representative from the start, so copies make no pairs. Then links are looked for in steps, all
+confirmed on the full sets: each representative against its leader, the first one of the buckets that it shares most of;
+then all pairs within r of different components, in blocks of bounded size, first among those of the same leader, then in
+buckets among those of different ones. What each has that its leader lacks, and lacks that its leader has, gives the
+intersection of two with the same leader, so a large group that is alike but not near is confirmed within its blocks and
+no pair of it leaves them but links. Groups of one component can add nothing, however large.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BLOCK = 1024
 BROADCAST_ROWS = 250_000
 #: Pairs of one leader that are confirmed in a task.
 PAIRS = 256
+#: Bytes of a block's differences from a leader, and hashes that are counted at once.
+BLOCK_BYTES, COLUMNS = 1 << 24, 4096
 _ODD = np.random.default_rng(7).integers(0, 2**63, SLOTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -110,8 +114,9 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes, ["id", "print"]).select("node", "text")
 
 
-def confirm(scratch: Scratch, pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, table: np.ndarray = NOT_SPACE) -> DataFrame:
-    """Those (a, b) of pairs with 100 * intersection >= percent * union of their full sets. reps: node, id, print."""
+def _compared(scratch: Scratch, pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, table: np.ndarray) -> DataFrame:
+    """Of pairs (a, b): a, b, near (100 * intersection >= percent * union of their full sets), size (of a's set), plus and
+    minus (the hashes that only b has and that only a has). reps: node, id, print."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     nodes = scratch.write(reps.select("node", "id", "print").join(nodes, "node"))
     sets = scratch.write(_sets(_texts_of(docs, nodes), k, table))
@@ -123,60 +128,127 @@ def confirm(scratch: Scratch, pairs: DataFrame, docs: DataFrame, reps: DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = []
-            for i in range(batch.num_rows):
-                p, q = (np.frombuffer(s[i].as_buffer(), np.uint64) for s in (x, y))
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                z = np.sort(np.concatenate([p, q]), kind="stable")
-                same = int((z[1:] == z[:-1]).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            near, size, plus, minus = [], [], [], []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                at = np.minimum(np.searchsorted(p, q), len(p) - 1)
+                found = p[at] == q
+                lacks = np.ones(len(p), bool)
+                lacks[at[found]] = False
+                same = int(found.sum())
+                near.append(100 * same >= percent * (len(p) + len(q) - same))
+                size.append(len(p))
+                plus.append(q[~found].tobytes())
+                minus.append(p[lacks].tobytes())
+            columns = [pa.array(near, pa.bool_()), pa.array(size, pa.int64()), pa.array(plus, pa.binary()), pa.array(minus, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["a", "b", "near", "size", "plus", "minus"])
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, near boolean, size long, plus binary, minus binary")
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
+def confirm(scratch: Scratch, pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, table: np.ndarray = NOT_SPACE) -> DataFrame:
+    """Those (a, b) of pairs with 100 * intersection >= percent * union of their full sets. reps: node, id, print."""
+    return _compared(scratch, pairs, docs, reps, k, percent, table).where("near").select("a", "b")
 
-def _within_blocks(rows: DataFrame, r: int, percent: int) -> DataFrame:
-    """Pairs (a < b) of different components within distance r in the same bucket. rows: key, members, rep, comp, n, sig.
 
-    A bucket of m members is cut into g = ceil(m / BLOCK) blocks, and each pair of blocks is a group of its own. A pair
-    comes from the first key that it shares only.
-    """
-    g = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+def _blocked(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """rows with i, j and mine, grouped by key, i and j: each group of a key is cut into blocks, and each pair i <= j of
+    blocks is a group of its own, to which the members of both are copied. mine is the block of the row."""
+    rows = rows.withColumn("g", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "sig")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("g", "other")
+    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def _within(left: np.ndarray, right: np.ndarray, sig: np.ndarray, n: np.ndarray, apart: list[np.ndarray], r: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (p, q) of rows of left and right whose signatures are within r, whose sizes n allow a link and whose values
+    differ in every array of ``apart``; a bounded number at a time."""
+    for at in range(0, len(left), 64):
+        x = left[at : at + 64]
+        ok = 100 * np.minimum.outer(n[x], n[right]) >= percent * np.maximum.outer(n[x], n[right])
+        for values in apart:
+            ok &= values[x][:, None] != values[right][None]
+        p, q = np.nonzero(ok)
+        p, q = x[p], right[q]
+        for c in range(0, len(p), 50_000):
+            u, v = p[c : c + 50_000], q[c : c + 50_000]
+            close = (sig[u] != sig[v]).sum(1) <= r
+            yield u[close], v[close]
+
+
+def _in_common(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of sets[p] and sets[q]; each set is of distinct hashes."""
+    lengths = [len(s) for s in sets]
+    _, code, times = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), lengths)
+    code, row = (np.cumsum(times > 1) - 1)[code[times[code] > 1]], row[times[code] > 1]
+    by_code = np.argsort(code, kind="stable")
+    code, row = code[by_code], row[by_code]
+    x, at_x = np.unique(p, return_inverse=True)
+    y, at_y = np.unique(q, return_inverse=True)
+    total = np.zeros((len(x), len(y)), np.float32)
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        some = slice(*np.searchsorted(code, [first, first + COLUMNS]))
+        holds = np.zeros((len(sets), COLUMNS), np.float32)
+        holds[row[some], code[some] - first] = 1
+        total += holds[x] @ holds[y].T
+    return total[at_x, at_y].astype(np.int64)
+
+
+def _linked_of_leaders(rows: DataFrame, r: int, percent: int) -> DataFrame:
+    """Pairs (a < b) of different components with the same leader that are within distance r and near on their full sets.
+
+    rows: lead, members, bytes (of the differences of all of them), rep, comp, n, sig, size (the leader's), plus, minus.
+    """
+    blocks = F.greatest(F.ceil(F.col("members") / F.lit(BLOCK)), F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
+    rows = _blocked(rows, "lead", blocks).select("lead", "i", "j", "mine", "rep", "comp", "n", "size", "sig", "plus", "minus")
+
+    def links(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j, mine, rep, comp, n, size = (table[x].to_numpy() for x in ("i", "j", "mine", "rep", "comp", "n", "size"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SLOTS)
+        for s, e in zip(starts, starts[1:]):
+            if (comp[s:e] == comp[s]).all():
+                continue
+            left = s + np.flatnonzero(mine[s:e] == i[s])
+            right = left if i[s] == j[s] else s + np.flatnonzero(mine[s:e] == j[s])
+            plus, minus = ([np.frombuffer(v.as_buffer(), np.uint64) for v in table[x][s:e]] for x in ("plus", "minus"))
+            less = np.array([len(m) for m in minus])
+            pairs = [np.stack([p, q]) for p, q in _within(left, right, sig, n, [comp], r, percent)]
+            p, q = np.concatenate([np.zeros((2, 0), np.int64), *pairs], 1)
+            p, q = (x[rep[p] < rep[q]] for x in (p, q)) if i[s] == j[s] else (p, q)
+            if not len(p):
+                continue
+            # of the leader's set both have what neither lacks
+            same = size[p] - less[p - s] - less[q - s] + _in_common(minus, p - s, q - s) + _in_common(plus, p - s, q - s)
+            near = 100 * same >= percent * (n[p] + n[q] - same)
+            p, q = rep[p[near]], rep[q[near]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    return rows.mapInArrow(lambda batches: by_groups(batches, ["lead", "i", "j"], links, 2 * BLOCK), "a long, b long")
+
+
+def _within_blocks(rows: DataFrame, r: int, percent: int) -> DataFrame:
+    """Pairs (a < b) of different components and leaders within distance r in the same bucket. rows: key, members, rep,
+    lead, comp, n, sig. A pair comes from the first key that it shares only."""
+    rows = _blocked(rows, "key", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")).select("key", "i", "j", "mine", "rep", "lead", "comp", "n", "sig")
 
     def pairs(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, i, j, own, rep, comp, n = (table[x].to_numpy() for x in ("key", "i", "j", "own", "rep", "comp", "n"))
+        key, i, j, mine, rep, lead, comp, n = (table[x].to_numpy() for x in ("key", "i", "j", "mine", "rep", "lead", "comp", "n"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, SLOTS)
         keys = chunk_keys(sig, r)
         out = [np.zeros((0, 2), np.int64)]
         for s, e in zip(starts, starts[1:]):
             if e - s < 2 or (comp[s:e] == comp[s]).all():
                 continue
-            left = s + np.flatnonzero(own[s:e] == i[s])
-            right = left if i[s] == j[s] else s + np.flatnonzero(own[s:e] == j[s])
-            found = []
-            for at in range(0, len(left), 64):
-                x = left[at : at + 64]
-                ok = comp[x][:, None] != comp[right][None]
-                ok &= 100 * np.minimum.outer(n[x], n[right]) >= percent * np.maximum.outer(n[x], n[right])
-                p, q = np.nonzero(ok)
-                p, q = x[p], right[q]
-                for c in range(0, len(p), 50_000):
-                    u, v = p[c : c + 50_000], q[c : c + 50_000]
-                    far = (sig[u] != sig[v]).sum(1)
-                    u, v = u[far <= r], v[far <= r]
-                    first = (keys[u] == keys[v]).argmax(1)
-                    mine = keys[u, first] == key[s]
-                    found.append(np.stack([u[mine], v[mine]], 1))
-            p, q = np.concatenate(found).T if found else np.zeros((2, 0), np.int64)
-            p, q = rep[p], rep[q]
-            out.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0))
+            left = s + np.flatnonzero(mine[s:e] == i[s])
+            right = left if i[s] == j[s] else s + np.flatnonzero(mine[s:e] == j[s])
+            found = [np.zeros((0, 2), np.int64)]
+            for u, v in _within(left, right, sig, n, [comp, lead], r, percent):
+                first = (keys[u] == keys[v]).argmax(1)
+                of_key = keys[u, first] == key[s]
+                u, v = rep[u[of_key]], rep[v[of_key]]
+                found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
+            out.append(np.unique(np.concatenate(found), axis=0))
         found = np.concatenate(out)
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
@@ -215,11 +287,21 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, similarity:
     first = shared.where("leader <> rep").groupBy("rep", "leader").count()
     first = first.groupBy("rep").agg((-F.max(F.struct("count", (-F.col("leader")).alias("l")))["l"]).alias("leader"))
     pairs = scratch.write(first.select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-    links = scratch.write(confirm(scratch, pairs, texts, reps, k, percent, table))
-    labels = components(scratch, links)
-    # what is still apart in a bucket
-    named = scratch.write(shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "members", "rep", F.coalesce("component", "rep").alias("comp")))
-    several = named.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
+    compared = scratch.write(_compared(scratch, pairs, texts, reps, k, percent, table))
+    labels = components(scratch, compared.where("near").select("a", "b"))
+    # what is still apart, of the same leader
+    led = compared.select(F.col("b").alias("rep"), F.col("a").alias("lead"), "size", "plus", "minus")
+    led = led.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    sums = [F.count("*").alias("members"), F.sum(F.octet_length("plus") + F.octet_length("minus")).alias("bytes")]
+    mixed = scratch.write(led.groupBy("lead").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), *sums).where("c1 <> c2").drop("c1", "c2"))
+    led = led.join(F.broadcast(mixed), "lead") if mixed.count() <= BROADCAST_ROWS else join_hot(led, mixed, "lead", "rep")
+    led = led.join(reps.select(F.col("node").alias("rep"), "n", "sig"), "rep")
+    labels = _relabelled(scratch, labels, scratch.write(_linked_of_leaders(led, r, percent)))
+    # and of different leaders, in a bucket; a leader's own pairs are those of the first step
+    named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(pairs.select(F.col("b").alias("rep"), F.col("a").alias("lead")), "rep", "left")
+    named = scratch.write(named.select("key", "members", "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("lead", "rep").alias("lead")))
+    ends = [f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in ("comp", "lead")]
+    several = named.groupBy("key").agg(*ends).where("min_comp <> max_comp and min_lead <> max_lead").select("key")
     mixed = join_hot(named, several, "key", "rep").join(reps.select(F.col("node").alias("rep"), "n", "sig"), "rep")
     more = scratch.write(_within_blocks(mixed, r, percent).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     labels = _relabelled(scratch, labels, scratch.write(confirm(scratch, more, texts, reps, k, percent, table)))
