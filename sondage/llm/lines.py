@@ -6,7 +6,8 @@ hash deals its shingle to one of BANDS bands and one of ROWS rows there, and the
 are looked for in two steps, both verified by the Jaccard similarity of all shingles: each line against the leaders of its
 buckets; then what is still apart in a bucket. Lines with which a line shares a shingle that the leader lacks are found by the
 rarest of these; other lines have no more in common than each has with the leader, and are compared, in blocks of bounded
-size, if that can be enough. Neither loses a pair. Distributed union-find keeps one line of each component: the one that
+size, if that can be enough. Neither loses a pair. What each has more and less than their leader gives the intersection of
+two lines, so these pairs are verified where they are joined, and only links are rows. Distributed union-find keeps one line of each component: the one that
 comes first.
 
 Equal lines are one node from the start, named by a 64-bit hash; lines whose hash another line has too get a second one.
@@ -94,42 +95,46 @@ def _led(scratch: Scratch, shared: DataFrame) -> DataFrame:
     return scratch.write(join_hot(shared, leaders, "key", "node"))
 
 
-def _apart(shared: DataFrame, labels: DataFrame, percent: int | None = None) -> DataFrame:
-    """Pairs (a < b) of different components that share a bucket. shared: node, key and n, the bucket's size.
+def _apart(groups: DataFrame, labels: DataFrame, compared: DataFrame, percent: int, led: bool) -> DataFrame:
+    """The near pairs (a < b) of different components that share a key. groups: node, key, n (the key's rows) and a, the
+    leader of all lines of the key; compared: what _verified() gives.
 
-    A bucket is cut into blocks of about BLOCK lines, and each pair of blocks is a group of its own. Buckets of one
-    component can add nothing. With ``percent`` a line has also its number of shingles and how many its leader has of
-    them: only pairs are given that can be near by these alone.
+    A group is cut into blocks of about BLOCK lines, and each pair of blocks is a group of its own. Groups of one component
+    can add nothing. Both lines have of the leader's shingles those that neither lacks. With ``led`` only pairs are given
+    that can be near by the leader's shingles alone.
     """
-    more = ["size", "common"] if percent else []
-    named = shared.join(labels, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("c"), *more)
+    named = groups.join(labels, "node", "left").select("key", "n", "a", "node", F.coalesce("component", "node").alias("c"))
     several = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-    rows = join_hot(named, several, "key", "node").withColumn("g", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    side = lambda x: [F.col("node").alias(x), F.col("c").alias(f"c{x}"), *[F.col(m).alias(f"{m}{x}") for m in more]]
-    one = rows.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("g") - 1)).alias("j"), *side("x"))
-    two = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), *side("y"))
-    kept = "cx <> cy and (i < j or x < y)"
-    if percent:
-        kept += f" and {100 + percent} * least(commonx, commony) >= {percent} * (sizex + sizey)"
+    more = ["size", "common", "of_leader", "own", "lacks"]
+    rows = join_hot(named, several, "key", "node").join(compared.select("a", F.col("b").alias("node"), *more), ["a", "node"])
+    rows = rows.withColumn("g", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    side = lambda x: [F.col("node").alias(x), *[F.col(m).alias(f"{m}_{x}") for m in ("c", *more)]]
+    one = rows.select("key", F.col("mine").alias("i"), F.explode(F.sequence("mine", F.col("g") - 1)).alias("j"), *side("x"))
+    two = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("i"), F.col("mine").alias("j"), *side("y"))
+    needed = f"{percent} * (size_x + size_y)"
+    most = "least(common_x, common_y)" + ("" if led else " + least(size_x - common_x, size_y - common_y)")
+    same = "of_leader_x - size(array_union(lacks_x, lacks_y)) + size(array_intersect(own_x, own_y))"
+    kept = f"c_x <> c_y and (i < j or x < y) and {100 + percent} * ({most}) >= {needed} and {100 + percent} * ({same}) >= {needed}"
     pairs = one.join(two, ["key", "i", "j"]).where(kept)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _of_own(compared: DataFrame) -> DataFrame:
-    """Of compared pairs (a, b, own, spare): node, key and n, the lines that may be near through shingles that a lacks.
+    """Of compared pairs (a, b, own, spare): node, a, key and n, the lines that may be near through shingles that a lacks.
 
     A line near b lacks at most ``spare`` of its shingles, so it shares one of any spare + 1 of b's own: of the rarest ones.
     """
     keys = compared.select(F.col("b").alias("node"), "a", "spare", F.explode(F.transform("own", lambda t: F.xxhash64("a", t))).alias("key"))
     rows = join_hot(keys, keys.groupBy("key").agg(F.count("*").alias("n")), "key", "node")
     order = F.row_number().over(Window.partitionBy("node", "a").orderBy("n", "key"))
-    return rows.withColumn("place", order).where("place <= spare + 1 and n > 1").select("node", "key", "n")
+    return rows.withColumn("place", order).where("place <= spare + 1 and n > 1").select("node", "a", "key", "n")
 
 
 def _verified(scratch: Scratch, pairs: DataFrame, groups: DataFrame, lines: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b, near: whether their shingle sets have 100 * intersection >= percent * union; own: what b has and a lacks; size,
-    common: numbers of b's shingles, and of those that a has; spare: how many of b's a line near it may lack.
+    """a, b, near: whether their shingle sets have 100 * intersection >= percent * union; own: what b has and a lacks; lacks:
+    what a has and b lacks; size, common, of_leader: numbers of b's shingles, of those that a has, and of a's; spare: how many
+    of b's a line near it may lack.
 
     groups: node and tag, the one of its places to read it from; lines: id, row, place, node, tag.
     """
@@ -145,10 +150,10 @@ def _verified(scratch: Scratch, pairs: DataFrame, groups: DataFrame, lines: Data
     both = join_dealt(pairs.join(two, "b"), one, "a", "b", hot)
     # inline() keeps the optimizer from making the sets once for each use
     sets = both.select("a", "b", F.inline(F.array(F.struct(shingle_hashes(F.col("la"), k).alias("sa"), shingle_hashes(F.col("lb"), k).alias("sb")))))
-    sets = sets.select("a", "b", F.inline(F.array(F.struct(F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("own")))))
+    sets = sets.select("a", "b", F.inline(F.array(F.struct(F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("own"), F.array_except("sa", "sb").alias("lacks")))))
     same = F.col("nb") - F.size("own")
     near = 100 * same >= percent * (F.col("na") + F.col("nb") - same)
-    return sets.select("a", "b", near.alias("near"), "own", F.col("nb").alias("size"), same.alias("common"), F.floor((100 - percent) * F.col("nb") / 100).cast("int").alias("spare"))
+    return sets.select("a", "b", near.alias("near"), "own", "lacks", F.col("nb").alias("size"), same.alias("common"), F.col("na").alias("of_leader"), F.floor((100 - percent) * F.col("nb") / 100).cast("int").alias("spare"))
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
@@ -185,12 +190,10 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what is still apart: two lines of a bucket that share no shingle which its leader lacks have no more in common than
     # each has with the leader, so few can be near; others share one of the rarest such shingles
     labels = scratch.write(components(scratch, links))
-    close = compared.where(F.size("own") <= F.col("spare")).select("a", F.col("b").alias("node"), "size", "common")
-    more = _apart(shared.join(close, ["a", "node"]), labels, percent)
-    more = more.unionByName(_apart(scratch.write(_of_own(compared)), labels)).distinct()
-    more = scratch.write(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    found = _verified(scratch, more, groups, lines, texts, k, percent).where("near")
-    links = links.unionByName(scratch.write(found.select("a", "b")))
+    close = compared.where(F.size("own") <= F.col("spare")).select("a", F.col("b").alias("node"))
+    more = _apart(shared.join(close, ["a", "node"]), labels, compared, percent, True)
+    more = more.unionByName(_apart(scratch.write(_of_own(compared)), labels, compared, percent, False)).distinct()
+    links = links.unionByName(scratch.write(more))
     labels = scratch.write(components(scratch, links))
     # lines of components of several lines, copies included
     named = labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
