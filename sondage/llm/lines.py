@@ -26,6 +26,17 @@ SHINGLE, BANDS, ROWS, BLOCK = 10, 8, 3, 1024
 BROADCAST_ROWS = 250_000
 #: Pairs of one line that are verified in a task.
 PAIRS = 256
+#: Lines of one leader that are compared with each other at once; of more, only those that share a key.
+TOGETHER = 256
+
+
+def _once(lines: DataFrame, groups: DataFrame) -> DataFrame:
+    """node and line; if the repeated lines are few enough to be broadcast, each line once, else with its copies."""
+    repeated = groups.where("copies > 1").select("node", F.col("tag").alias("first"))
+    if repeated.count() > BROADCAST_ROWS:
+        return lines.select("node", "line")
+    rows = lines.join(F.broadcast(repeated), "node", "left")
+    return rows.where(F.col("first").isNull() | (F.col("first") == F.xxhash64("id", "row", "place"))).select("node", "line")
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -46,11 +57,15 @@ def _lines(docs: DataFrame, twins: DataFrame | None = None) -> DataFrame:
     return named.select("id", "row", "place", "line", F.when(F.col("twin"), F.col("check")).otherwise(F.col("node")).alias("node"), "check")
 
 
-def shingle_hashes(line: Column, k: int) -> Column:
-    """The distinct hashes of all runs of k characters; of the whole line if it is shorter. The line is in wide form."""
-    runs = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1))
-    runs = F.when(F.length(line) < k, F.array(line)).otherwise(runs)
-    return F.array_distinct(F.transform(runs, lambda s: F.xxhash64(s)))
+def shingle_hashes(line: Column, units: Column, k: int) -> Column:
+    """The distinct hashes of all runs of k characters; of the whole line if it is shorter. units: the line in UTF-16BE.
+
+    Where each character is one unit, runs are cut from the units, which is faster than a pattern and gives the same.
+    """
+    cut = F.transform(F.sequence(F.lit(0), F.length(line) - k), lambda i: F.xxhash64(F.substring(units, i * 2 + 1, F.lit(2 * k))))
+    found = F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1)), lambda s: F.xxhash64(F.encode(s, "UTF-16BE")))
+    plain = F.octet_length(units) == 2 * F.length(line)
+    return F.array_distinct(F.when(F.length(line) < k, F.array(F.xxhash64(units))).when(plain, cut).otherwise(found))
 
 
 def _signatures(lines: DataFrame, k: int) -> DataFrame:
@@ -71,16 +86,17 @@ def _keys(signatures: DataFrame) -> DataFrame:
 
 
 def _shared(scratch: Scratch, keys: DataFrame) -> DataFrame:
-    """node, key and n (the bucket's size) for the buckets of several nodes."""
-    sums = [F.min("node").alias("head"), F.max("node").alias("last"), F.bit_xor("node").alias("x"), F.count("*").alias("n")]
+    """node, key, n (the bucket's size) and what else keys has, for the buckets of several nodes; the rest follows from the key."""
+    rest = [c for c in keys.columns if c not in ("node", "key")]
+    sums = [F.min("node").alias("head"), F.max("node").alias("last"), F.bit_xor("node").alias("x"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in rest]]
     buckets = scratch.write(keys.groupBy("key").agg(*sums).where("n > 1"))
     # the nodes of a bucket of three are known from these sums
     third = F.col("head").bitwiseXOR(F.col("last")).bitwiseXOR(F.col("x"))
     nodes = F.when(F.col("n") == 2, F.array("head", "last")).otherwise(F.array(F.col("head"), F.col("last"), third))
-    small = buckets.where("n < 4").select(F.explode(nodes).alias("node"), "key", "n")
+    small = buckets.where("n < 4").select(F.explode(nodes).alias("node"), "key", "n", *rest)
     large = buckets.where("n > 3").select("key", "n")
     large = keys.join(F.broadcast(large), "key") if large.count() <= BROADCAST_ROWS else join_hot(keys, large, "key", "node")
-    return scratch.write(small.unionByName(large.select("node", "key", "n")))
+    return scratch.write(small.unionByName(large.select("node", "key", "n", *rest)))
 
 
 def _led(scratch: Scratch, shared: DataFrame) -> DataFrame:
@@ -114,21 +130,25 @@ def _apart(groups: DataFrame, labels: DataFrame, compared: DataFrame, percent: i
     two = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("i"), F.col("mine").alias("j"), *side("y"))
     needed = f"{percent} * (size_x + size_y)"
     most = "least(common_x, common_y)" + ("" if led else " + least(size_x - common_x, size_y - common_y)")
-    same = "of_leader_x - size(array_union(lacks_x, lacks_y)) + size(array_intersect(own_x, own_y))"
-    kept = f"c_x <> c_y and (i < j or x < y) and {100 + percent} * ({most}) >= {needed} and {100 + percent} * ({same}) >= {needed}"
+    of_both = "of_leader_x - size(array_union(lacks_x, lacks_y))"
+    bounds = [most, f"{of_both} + least(size(own_x), size(own_y))", f"{of_both} + size(array_intersect(own_x, own_y))"]  # the last is exact
+    kept = " and ".join(["c_x <> c_y", "(i < j or x < y)", *[f"{100 + percent} * ({x}) >= {needed}" for x in bounds]])
     pairs = one.join(two, ["key", "i", "j"]).where(kept)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _of_own(compared: DataFrame) -> DataFrame:
+def _of_own(scratch: Scratch, compared: DataFrame) -> DataFrame:
     """Of compared pairs (a, b, own, spare): node, a, key and n, the lines that may be near through shingles that a lacks.
 
     A line near b lacks at most ``spare`` of its shingles, so it shares one of any spare + 1 of b's own: of the rarest ones.
+    Those that b alone has are the rarest, so they are counted, not joined.
     """
-    keys = compared.select(F.col("b").alias("node"), "a", "spare", F.explode(F.transform("own", lambda t: F.xxhash64("a", t))).alias("key"))
-    rows = join_hot(keys, keys.groupBy("key").agg(F.count("*").alias("n")), "key", "node")
-    order = F.row_number().over(Window.partitionBy("node", "a").orderBy("n", "key"))
-    return rows.withColumn("place", order).where("place <= spare + 1 and n > 1").select("node", "a", "key", "n")
+    keys = compared.select(F.col("b").alias("node"), "a", F.explode("own").alias("t"))
+    keys = keys.select("node", "a", F.xxhash64("a", "t").alias("key"))
+    rows = _shared(scratch, keys).join(compared.select(F.col("b").alias("node"), "a", F.size("own").alias("all"), "spare"), ["node", "a"])
+    line = Window.partitionBy("node", "a")
+    place = F.col("all") - F.count("*").over(line) + F.row_number().over(line.orderBy("n", "key"))
+    return rows.withColumn("place", place).where("place <= spare + 1").select("node", "a", "key", "n")
 
 
 def _verified(scratch: Scratch, pairs: DataFrame, groups: DataFrame, lines: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -148,8 +168,9 @@ def _verified(scratch: Scratch, pairs: DataFrame, groups: DataFrame, lines: Data
     # lines are shipped, not sets, which are eight times as large
     hot = scratch.write(hot_keys(pairs, "a", PAIRS))
     both = join_dealt(pairs.join(two, "b"), one, "a", "b", hot)
-    # inline() keeps the optimizer from making the sets once for each use
-    sets = both.select("a", "b", F.inline(F.array(F.struct(shingle_hashes(F.col("la"), k).alias("sa"), shingle_hashes(F.col("lb"), k).alias("sb")))))
+    # inline() keeps the optimizer from making the units and sets once for each use
+    both = both.select("a", "b", F.inline(F.array(F.struct("la", "lb", F.encode("la", "UTF-16BE").alias("ua"), F.encode("lb", "UTF-16BE").alias("ub")))))
+    sets = both.select("a", "b", F.inline(F.array(F.struct(*[shingle_hashes(F.col(f"l{x}"), F.col(f"u{x}"), k).alias(f"s{x}") for x in "ab"]))))
     sets = sets.select("a", "b", F.inline(F.array(F.struct(F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("own"), F.array_except("sa", "sb").alias("lacks")))))
     same = F.col("nb") - F.size("own")
     near = 100 * same >= percent * (F.col("na") + F.col("nb") - same)
@@ -181,18 +202,26 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         twins = scratch.write(again)
     # many lines have few keys each: the aggregation is faster without its small first map
     with scratch.settings({"spark.sql.codegen.aggregate.map.twolevel.enabled": "false"}):
-        keys = scratch.write(_keys(_signatures(read().select("node", "line"), k)))
-    shared = _shared(scratch, keys)
-    shared = _led(scratch, shared)
+        keys = scratch.write(_keys(_signatures(_once(read(), groups), k)))
+    shared = _led(scratch, _shared(scratch, keys))
+    scratch.drop(keys)
     pairs = scratch.write(shared.where("a <> node").select("a", F.col("node").alias("b")).distinct())
     compared = scratch.write(_verified(scratch, pairs, groups, lines, texts, k, percent))
     links = compared.where("near").select("a", "b")
-    # what is still apart: two lines of a bucket that share no shingle which its leader lacks have no more in common than
-    # each has with the leader, so few can be near; others share one of the rarest such shingles
+    # what is still apart: lines of one leader, all with all if they are few. Of many, two lines of a bucket that share no
+    # shingle which the leader lacks have no more in common than each has with it, so few can be near; others share one of
+    # the rarest such shingles
     labels = scratch.write(components(scratch, links))
-    close = compared.where(F.size("own") <= F.col("spare")).select("a", F.col("b").alias("node"))
-    more = _apart(shared.join(close, ["a", "node"]), labels, compared, percent, True)
-    more = more.unionByName(_apart(scratch.write(_of_own(compared)), labels, compared, percent, False)).distinct()
+    sizes = scratch.write(compared.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
+    together = join_hot(compared.select("a", F.col("b").alias("node")), sizes.where(F.col("n") <= TOGETHER), "a", "node")
+    more = _apart(together.withColumn("key", F.col("a")), labels, compared, percent, False)
+    many = scratch.write(sizes.where(F.col("n") > TOGETHER).select("a"))
+    if many.take(1):
+        compared = compared.join(F.broadcast(many), "a", "left_semi")  # one leader for TOGETHER lines at most
+        close = compared.where(F.size("own") <= F.col("spare")).select("a", F.col("b").alias("node"))
+        more = more.unionByName(_apart(shared.join(close, ["a", "node"]), labels, compared, percent, True))
+        more = more.unionByName(_apart(scratch.write(_of_own(scratch, compared)), labels, compared, percent, False))
+    more = more.distinct()
     links = links.unionByName(scratch.write(more))
     labels = scratch.write(components(scratch, links))
     # lines of components of several lines, copies included

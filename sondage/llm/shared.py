@@ -13,6 +13,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A written table needs its shuffles no more; without this they stay until the driver's collector finds them.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
@@ -58,7 +61,8 @@ class Scratch:
         path = f"{self.root}/{self._n}"
         self._n += 1
         schema = df.schema
-        df.write.option("compression", compression).parquet(path)
+        with self.settings({SHUFFLE_CLEANUP: "true"}):
+            df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         self._path[id(out)] = path
         return out

@@ -322,3 +322,29 @@ def test_long_text_and_rows_that_share_an_id(spark):
     rows = [(1, "\n".join(own)), (2, "\n".join(["first", *own, "", "last"])), (2, "\n".join(own[:5])), (3, "same\nrow"), (3, "same\nrow"), (3, None)]
     got = [(r["doc_id"], r["text"]) for r in lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), similarity=1.0).collect()]
     assert sorted(got, key=str) == sorted([rows[0], (2, "first\n\nlast"), (2, ""), *rows[3:]], key=str)
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    before = files()
+    df = Scratch(spark, "t").write(spark.range(0, 1000, 1, 4).groupBy((F.col("id") % 7).alias("k")).count())
+    assert len(df.collect()) == 7 and files() <= before
+
+
+def test_few_or_many_lines_of_one_leader(spark, monkeypatch):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(12)], []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            words[rng.randrange(len(words))] = word()
+        texts += [" ".join(words), " ".join(words) + " x"[: i % 3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for together in (lines.BLOCK, 2):
+        monkeypatch.setattr(lines, "TOGETHER", together)
+        found.append(sorted((r["id"], r["kept"]["id"]) for r in lines.line_components(df).collect()))
+    sets = {i: {t[j : j + 10] for j in range(len(t) - 9)} for i, t in enumerate(texts)}
+    want = _join(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert found[0] == found[1] == sorted((i, c) for i, c in want.items() if list(want.values()).count(c) > 1)
