@@ -132,6 +132,10 @@ class CoTrained:
         # by round, for each view: its weights, and the logits below and above which its word counts
         self.rules: list[list[tuple[np.ndarray, float, float]]] = []
 
+    def __getstate__(self) -> dict:
+        """What tasks need; the labelled pages, of which the encoded ones are large, stay on the driver."""
+        return self.__dict__ | {"z": [], "y": None, "own": None, "held": None}
+
     def encoded(self, page: Page) -> list[np.ndarray]:
         x, size, kinds = page
         return [self.text.encode(x, []), self.meta.encode(size, kinds)]
@@ -246,6 +250,7 @@ class TablePool:
         parts = self.rows.mapInArrow(add, "sums binary")
         few = max(1, round(self.rows.rdd.getNumPartitions() ** 0.5))
         found = parts.repartition(few).mapInArrow(merge, "sums binary").toArrow()["sums"]
+        shared.destroy()
         shape = (2, LOGITS) if what == "histogram" else (-1,)
         if not len(found):
             return np.zeros((2, LOGITS)) if what == "histogram" else np.zeros(sum(1 + d + d * d for d in (z.shape[1] for z in model.z)))

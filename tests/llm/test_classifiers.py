@@ -1,5 +1,8 @@
 """Toxicity, quality and the pipeline: held-out accuracy, exact neighbours, odd inputs."""
 
+import pickle
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +120,16 @@ def test_co_training_uses_the_other_view():
     assert ((p > 0.5) == y).mean() > max(((t > 0.5) == y).mean(), 0.95) - 0.01 and ((m > 0.5) == y).mean() > 0.95
 
 
+def test_tasks_get_a_model_without_the_labelled_pages():
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 4000)
+    page = rng.normal(size=(4000, len(quality.FEATURES))) + y[:, None], rng.random((4000, 1)), [y, y]
+    model = quality.CoTrained(*page, y)
+    sent = pickle.dumps(model)
+    assert len(sent) < 100_000 and (pickle.loads(sent).sums(page) == model.sums(page)).all()
+    assert len(model.z[0]) == 4000  # the driver keeps them
+
+
 def test_pool_of_a_table_sums_as_a_local_one(spark):
     rng = np.random.default_rng(2)
     n = 500
