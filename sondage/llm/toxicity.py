@@ -4,8 +4,8 @@ The vocabulary is every word that the labelled examples show to be commoner in t
 bound but theirs. Words that tell nothing are left out, as the cosine of whole texts, in which toxic words are one in fifty,
 hardly finds toxic texts at all (figures in the README). Inverse document frequencies are counted over all documents.
 Labelled examples are an inverted index whose postings lie in blocks of BLOCK examples, each with the largest weight of
-every word. A text looks up the blocks in the order of their upper bounds and stops when no block can hold a nearer example
-than the k-th, so the neighbours are the exact ones. The votes are weighted by distance; a logistic curve fitted on the
+every word. A text looks up the blocks in the order of their upper bounds, some at once, and stops when no block can hold a
+nearer example than the k-th, so the neighbours are the exact ones. The votes are weighted by distance; a logistic curve fitted on the
 examples' own leave-one-out votes, which are taken in tasks, makes probabilities of them. Evidence: the nearest examples'
 ids and the words that were looked up.
 """
@@ -25,6 +25,8 @@ from .shared import Scratch
 FIT_ROWS, K, BLOCK = 12_000, 15, 64
 #: A word of the vocabulary has so high a likelihood ratio (a chance of about 1 in 70) and occurs in so many toxic examples.
 LEAST_RATIO, LEAST_TEXTS = 6.0, 2
+#: Blocks that are looked up first; if more than twice as many are left by their bounds, all of them are, word by word.
+FIRST_BLOCKS = 8
 #: Answers that a worker keeps.
 MOST_KEPT = 50_000
 
@@ -59,13 +61,20 @@ class Model:
         some = [i for i, (t, _) in enumerate(vectors) if len(t)]  # an example without a word has cosine 0 with all
         self.ids, self.labels = ids[some], labels[some].astype(np.float64)
         blocks = -(-len(some) // BLOCK)
+        # postings by block, then word, then example; those of a block and a word lie between two places
+        number = np.repeat(np.arange(len(some)), [len(vectors[i][0]) for i in some])
+        both = [self.weigh(*vectors[i]) for i in some]
+        term, weight = (np.concatenate([np.zeros(0, t), *(v[j] for v in both)]) for j, t in ((0, np.int64), (1, np.float64)))
+        order = np.lexsort((number, term))
+        self.lists = number[order], weight[order]  # the same by word, for texts that no bound shortens
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(words)))]).astype(np.int64)
+        order = np.lexsort((number, term, number // BLOCK))
+        number, term, weight = number[order], term[order], weight[order]
         self.top = np.zeros((len(words), blocks))
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for n, i in enumerate(some):
-            for t, w in zip(*(v.tolist() for v in self.weigh(*vectors[i]))):
-                lists.setdefault((n // BLOCK, t), []).append((n % BLOCK, w))
-                self.top[t, n // BLOCK] = max(self.top[t, n // BLOCK], w)
-        self.postings = {key: (np.array([a for a, _ in v]), np.array([b for _, b in v])) for key, v in lists.items()}
+        np.maximum.at(self.top, (term, number // BLOCK), weight)
+        count = np.bincount(number // BLOCK * len(words) + term, minlength=blocks * len(words))
+        self.places = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        self.postings = (number % BLOCK).astype(np.int32), weight
         self.vectors = [vectors[i] for i in some]
         self.rest, self.rest_toxic = len(vectors) - len(some), float(labels.sum() - self.labels.sum())
         self.curve = np.array([0.0, 1.0])
@@ -86,25 +95,50 @@ class Model:
             return self.kept[key]
         bound = np.ceil((w @ self.top[terms]) * 1e9 - 1e-3) / 1e9
         got_n, got_c, k = np.zeros(0, np.int64), np.zeros(0), self.k + 1
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(got_c) == k and bound[b] < got_c[-1]:
+        order = np.argsort(-bound, kind="stable")
+        order = order[: np.count_nonzero(bound > 0)]
+        at, size = 0, FIRST_BLOCKS
+        while at < len(order):
+            blocks = order[at:]
+            if len(got_c) == k:
+                blocks = blocks[bound[blocks] >= got_c[-1]]  # of a tie the smaller number counts
+            if not len(blocks):
                 break
-            if len(got_c) == k and bound[b] == got_c[-1] and b * BLOCK > got_n[-1]:
-                continue  # at best a tie, with larger numbers
-            cosine = np.zeros(BLOCK)
-            for t, x in zip(terms.tolist(), w.tolist()):
-                if (found := self.postings.get((b, t))) is not None:
-                    cosine[found[0]] += x * found[1]
-            cosine = np.round(cosine, 9)
-            at = np.flatnonzero(cosine > 0)
-            n, c = np.concatenate([got_n, at + b * BLOCK]), np.concatenate([got_c, cosine[at]])
+            if at and len(blocks) > size:
+                size = len(blocks)
+                cosine = np.round(self._all_cosines(terms, w)[blocks], 9)
+            else:
+                blocks = blocks[:size]
+                cosine = np.round(self._cosines(blocks, terms, w), 9)
+            least = np.partition(cosine, -k, axis=None)[-k] if cosine.size > k else 0.0  # less is not among the k best
+            row, place = np.nonzero((cosine > 0) & (cosine >= least))
+            n, c = np.concatenate([got_n, blocks[row] * BLOCK + place]), np.concatenate([got_c, cosine[row, place]])
             best = np.lexsort((n, -c))[:k]
             got_n, got_c = n[best], c[best]
+            at, size = at + size, 2 * size
         if len(self.kept) >= MOST_KEPT:
             self.kept.clear()
         self.kept[key] = got_n, got_c
         return got_n, got_c
 
+    def _cosines(self, blocks: np.ndarray, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """By block, the cosines of its examples: the sums of their postings of the terms."""
+        first = (blocks[:, None] * len(self.words) + terms).ravel()
+        start, many = self.places[first], self.places[first + 1] - self.places[first]
+        ends = np.cumsum(many)
+        at = np.arange(ends[-1]) + np.repeat(start - ends + many, many)
+        example, weight = self.postings
+        cell = example[at] + np.repeat(np.repeat(np.arange(len(blocks)) * BLOCK, len(terms)), many)
+        weight = weight[at] * np.repeat(np.tile(w, len(blocks)), many)
+        return np.bincount(cell, weight, len(blocks) * BLOCK).reshape(-1, BLOCK)
+
+    def _all_cosines(self, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """By block, the cosines of the examples of all blocks."""
+        out, (example, weight) = np.zeros(self.top.shape[1] * BLOCK), self.lists
+        for x, a, b in zip(w.tolist(), self.ends[terms].tolist(), self.ends[terms + 1].tolist()):
+            out[example[a:b]] += x * weight[a:b]
+        return out.reshape(-1, BLOCK)
+
     def own_vote(self, i: int) -> float:
         """The vote on the i-th example by the others."""
         n, c = self.nearest(*self.vectors[i])

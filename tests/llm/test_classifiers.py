@@ -69,6 +69,17 @@ def test_block_max_is_exact():
         assert np.allclose(got_c, cosine[want], atol=2e-9) and set(got_n[got_c > got_c[-1] + 1e-8]) <= set(want)
 
 
+def test_many_words_are_looked_up_quickly():
+    rng = np.random.default_rng(4)
+    terms = [np.sort(rng.choice(1000, 60, replace=False)) for _ in range(6400)]
+    vectors = [(t, rng.integers(1, 4, 60).astype(float)) for t in terms]
+    model = toxicity.Model(np.arange(1000, dtype=np.uint64), rng.uniform(1, 5, 1000), vectors, np.arange(6400), (rng.random(6400) < 0.3).astype(float), 0.3)
+    began = time.process_time()
+    for i in range(200):
+        model.nearest(*vectors[i])
+    assert time.process_time() - began < 200 * 0.003
+
+
 def test_own_votes_leave_the_example_out(spark):
     rng = np.random.default_rng(1)
     vectors = [(np.sort(rng.choice(12, rng.integers(0, 4), replace=False)),) for _ in range(90)]
