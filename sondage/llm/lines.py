@@ -1,21 +1,20 @@
 """Fuzzy line dedup with DataFrame functions only.
 
-A line's shingles are its runs of SHINGLE characters (UTF-16 units); all of them are hashed, whatever the line's length. A
+A line's shingles are its runs of SHINGLE characters; all of them (as UTF-16 units) are hashed, whatever the line's length. A
 hash deals its shingle to one of BANDS bands and one of ROWS rows there, and the least hash of each row is kept
 (one-permutation MinHash; an empty row takes the value of another one of its band). The rows of a band make one key. Links
 are looked for in two steps, both verified by the Jaccard similarity of all shingles: each line against the leaders of its
-buckets; then what is still apart in a bucket. Lines with which a line shares a shingle that the leader lacks are found by the
-rarest of these; other lines have no more in common than each has with the leader, and are compared, in blocks of bounded
-size, if that can be enough. Neither loses a pair. What each has more and less than their leader gives the intersection of
-two lines, so these pairs are verified where they are joined, and only links are rows. Distributed union-find keeps one line of each component: the one that
-comes first.
+buckets; then all lines of one leader that are still apart, in blocks of bounded size. What each has more and less than the
+leader gives the intersection of two lines, so these pairs are verified where they are joined, and only links are rows; bounds
+from numbers and bit masks, which lose no pair, rule out most of them first. Distributed union-find keeps one line of each
+component: the one that comes first.
 
 Equal lines are one node from the start, named by a 64-bit hash; lines whose hash another line has too get a second one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, hot_keys, join_dealt, join_hot
@@ -26,8 +25,11 @@ SHINGLE, BANDS, ROWS, BLOCK = 10, 8, 3, 1024
 BROADCAST_ROWS = 250_000
 #: Pairs of one line that are verified in a task.
 PAIRS = 256
-#: Lines of one leader that are compared with each other at once; of more, only those that share a key.
-TOGETHER = 256
+#: Lines of one leader in a block.
+TOGETHER = BLOCK
+#: Words of 64 bits for each set of shingles that one of two lines has alone; a power of two.
+WORDS = 4
+MASKS = [f"{kind}{i}" for kind in ("own", "lacks") for i in range(WORDS)]
 
 
 def _once(lines: DataFrame, groups: DataFrame) -> DataFrame:
@@ -57,17 +59,6 @@ def _lines(docs: DataFrame, twins: DataFrame | None = None) -> DataFrame:
     return named.select("id", "row", "place", "line", F.when(F.col("twin"), F.col("check")).otherwise(F.col("node")).alias("node"), "check")
 
 
-def shingle_hashes(line: Column, units: Column, k: int) -> Column:
-    """The distinct hashes of all runs of k characters; of the whole line if it is shorter. units: the line in UTF-16BE.
-
-    Where each character is one unit, runs are cut from the units, which is faster than a pattern and gives the same.
-    """
-    cut = F.transform(F.sequence(F.lit(0), F.length(line) - k), lambda i: F.xxhash64(F.substring(units, i * 2 + 1, F.lit(2 * k))))
-    found = F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1)), lambda s: F.xxhash64(F.encode(s, "UTF-16BE")))
-    plain = F.octet_length(units) == 2 * F.length(line)
-    return F.array_distinct(F.when(F.length(line) < k, F.array(F.xxhash64(units))).when(plain, cut).otherwise(found))
-
-
 def _signatures(lines: DataFrame, k: int) -> DataFrame:
     """Of (node, line): node, band and the least hashes m0.. of its rows, for each band that has a shingle."""
     # inline() keeps the optimizer from encoding the line once for each use
@@ -111,70 +102,72 @@ def _led(scratch: Scratch, shared: DataFrame) -> DataFrame:
     return scratch.write(join_hot(shared, leaders, "key", "node"))
 
 
-def _apart(groups: DataFrame, labels: DataFrame, compared: DataFrame, percent: int, led: bool) -> DataFrame:
-    """The near pairs (a < b) of different components that share a key. groups: node, key, n (the key's rows) and a, the
-    leader of all lines of the key; compared: what _verified() gives.
+def _apart(compared: DataFrame, labels: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The near pairs (a < b) of different components among the lines of one leader. compared: what _verified() gives.
 
-    A group is cut into blocks of about BLOCK lines, and each pair of blocks is a group of its own. Groups of one component
-    can add nothing. Both lines have of the leader's shingles those that neither lacks. With ``led`` only pairs are given
-    that can be near by the leader's shingles alone.
+    A leader's lines are cut into blocks of about TOGETHER lines, and each pair of blocks is a group of its own. Leaders whose
+    lines are of one component can add nothing. Both lines have of the leader's shingles those that neither lacks, and of
+    others those that both own. The bounds before the last one lose no pair: a bit that one mask has and the other lacks is
+    of a shingle that only one of both sets has.
     """
-    named = groups.join(labels, "node", "left").select("key", "n", "a", "node", F.coalesce("component", "node").alias("c"))
-    several = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-    more = ["size", "common", "of_leader", "own", "lacks"]
-    rows = join_hot(named, several, "key", "node").join(compared.select("a", F.col("b").alias("node"), *more), ["a", "node"])
-    rows = rows.withColumn("g", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    more = ["size", "common", "of_leader", "own", "lacks", *MASKS]
+    rows = compared.select("a", F.col("b").alias("node"), *more).join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    several = rows.groupBy("a").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where("c1 <> c2")
+    rows = join_hot(rows, scratch.write(several.select("a", "n")), "a", "node")
+    rows = rows.withColumn("g", F.ceil(F.col("n") / F.lit(TOGETHER)).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     side = lambda x: [F.col("node").alias(x), *[F.col(m).alias(f"{m}_{x}") for m in ("c", *more)]]
-    one = rows.select("key", F.col("mine").alias("i"), F.explode(F.sequence("mine", F.col("g") - 1)).alias("j"), *side("x"))
-    two = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("i"), F.col("mine").alias("j"), *side("y"))
+    one = rows.select("a", F.col("mine").alias("i"), F.explode(F.sequence("mine", F.col("g") - 1)).alias("j"), *side("x"))
+    two = rows.select("a", F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("i"), F.col("mine").alias("j"), *side("y"))
     needed = f"{percent} * (size_x + size_y)"
-    most = "least(common_x, common_y)" + ("" if led else " + least(size_x - common_x, size_y - common_y)")
-    of_both = "of_leader_x - size(array_union(lacks_x, lacks_y))"
-    bounds = [most, f"{of_both} + least(size(own_x), size(own_y))", f"{of_both} + size(array_intersect(own_x, own_y))"]  # the last is exact
+    unlike = {kind: " + ".join(f"bit_count({m}_x ^ {m}_y)" for m in MASKS if m.startswith(kind)) for kind in ("own", "lacks")}
+    # of two sets the union has half of their sizes and what only one has, the intersection half of the sizes less that
+    of_both = f"of_leader_x - (size(lacks_x) + size(lacks_y) + {unlike['lacks']}) / 2"
+    of_none = f"(size(own_x) + size(own_y) - ({unlike['own']})) / 2"
+    exact = "of_leader_x - size(array_union(lacks_x, lacks_y)) + size(array_intersect(own_x, own_y))"
+    bounds = ["least(common_x, common_y) + least(size_x - common_x, size_y - common_y)", f"{of_both} + {of_none}", exact]
     kept = " and ".join(["c_x <> c_y", "(i < j or x < y)", *[f"{100 + percent} * ({x}) >= {needed}" for x in bounds]])
-    pairs = one.join(two, ["key", "i", "j"]).where(kept)
+    pairs = one.join(two, ["a", "i", "j"]).where(kept)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _of_own(scratch: Scratch, compared: DataFrame) -> DataFrame:
-    """Of compared pairs (a, b, own, spare): node, a, key and n, the lines that may be near through shingles that a lacks.
+def _spelled(docs: DataFrame, twins: DataFrame | None, ends: DataFrame) -> DataFrame:
+    """node and line, once each. ends: node and tag, the one of its places to read it from."""
+    rows = _lines(docs, twins).select("node", "line", F.xxhash64("id", "row", "place").alias("tag"))
+    return rows.join(_few(ends), ["node", "tag"]).select("node", "line").distinct()
 
-    A line near b lacks at most ``spare`` of its shingles, so it shares one of any spare + 1 of b's own: of the rarest ones.
-    Those that b alone has are the rarest, so they are counted, not joined.
-    """
-    keys = compared.select(F.col("b").alias("node"), "a", F.explode("own").alias("t"))
-    keys = keys.select("node", "a", F.xxhash64("a", "t").alias("key"))
-    rows = _shared(scratch, keys).join(compared.select(F.col("b").alias("node"), "a", F.size("own").alias("all"), "spare"), ["node", "a"])
-    line = Window.partitionBy("node", "a")
-    place = F.col("all") - F.count("*").over(line) + F.row_number().over(line.orderBy("n", "key"))
-    return rows.withColumn("place", place).where("place <= spare + 1").select("node", "a", "key", "n")
 
+def _shingles(line: Column, k: int) -> Column:
+    """All runs of k characters (code points, of which each match takes one); the whole line if it is shorter."""
+    return F.when(F.length(line) < k, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))."), F.lit(1)))
 
-def _verified(scratch: Scratch, pairs: DataFrame, groups: DataFrame, lines: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b, near: whether their shingle sets have 100 * intersection >= percent * union; own: what b has and a lacks; lacks:
-    what a has and b lacks; size, common, of_leader: numbers of b's shingles, of those that a has, and of a's; spare: how many
-    of b's a line near it may lack.
 
-    groups: node and tag, the one of its places to read it from; lines: id, row, place, node, tag.
+def _mask(hashes: Column, word: int) -> Column:
+    """64 bits, those of the hashes that fall to a word of them."""
+    bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(63).cast("int"))
+    mine = lambda v: F.shiftright(v, 6).bitwiseAND(WORDS - 1) == word
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda m, v: F.when(mine(v), m.bitwiseOR(bit(v))).otherwise(m))
+
+
+def _verified(scratch: Scratch, pairs: DataFrame, spelled: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b, near: whether their shingle sets have 100 * intersection >= percent * union; own: hashes of what b has and a
+    lacks; lacks: of what a has and b lacks; size, common, of_leader: numbers of b's shingles, of those that a has, and of a's;
+    MASKS: bits of own and lacks, each shingle's one. spelled: node and line.
     """
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = scratch.write(ends.join(groups.select("node", "tag"), "node"))
-    places = scratch.write(lines.join(_few(ends), ["node", "tag"]).select("node", "id", "row", "place").distinct())
-    rows = scratch.write(places.select("id", "row").distinct())
-    found = docs.join(_few(rows), ["id", "row"], "left_semi").select("id", "row", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    spelled = scratch.write(found.join(_few(places), ["id", "row", "place"]).select("node", "line").distinct())
     one, two = (spelled.select(F.col("node").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
     # lines are shipped, not sets, which are eight times as large
     hot = scratch.write(hot_keys(pairs, "a", PAIRS))
     both = join_dealt(pairs.join(two, "b"), one, "a", "b", hot)
-    # inline() keeps the optimizer from making the units and sets once for each use
-    both = both.select("a", "b", F.inline(F.array(F.struct("la", "lb", F.encode("la", "UTF-16BE").alias("ua"), F.encode("lb", "UTF-16BE").alias("ub")))))
-    sets = both.select("a", "b", F.inline(F.array(F.struct(*[shingle_hashes(F.col(f"l{x}"), F.col(f"u{x}"), k).alias(f"s{x}") for x in "ab"]))))
-    sets = sets.select("a", "b", F.inline(F.array(F.struct(F.size("sa").alias("na"), F.size("sb").alias("nb"), F.array_except("sb", "sa").alias("own"), F.array_except("sa", "sb").alias("lacks")))))
-    same = F.col("nb") - F.size("own")
-    near = 100 * same >= percent * (F.col("na") + F.col("nb") - same)
-    return sets.select("a", "b", near.alias("near"), "own", "lacks", F.col("nb").alias("size"), same.alias("common"), F.col("na").alias("of_leader"), F.floor((100 - percent) * F.col("nb") / 100).cast("int").alias("spare"))
+    # inline() keeps the optimizer from making the sets once for each use; runs are told apart as they are and only the rest is
+    # hashed, as functions of each element are slow
+    sets = both.select("a", "b", F.inline(F.array(F.struct(*[_shingles(F.col(f"l{x}"), k).alias(f"s{x}") for x in "ab"]))))
+    sets = sets.select("a", "b", F.inline(F.array(F.struct(F.size(F.array_distinct("sa")).alias("of_leader"), F.array_except("sb", "sa").alias("own"), F.array_except("sa", "sb").alias("lacks")))))
+    hashed = [F.transform(kind, lambda v: F.xxhash64(v)).alias(kind) for kind in ("own", "lacks")]
+    sets = sets.select("a", "b", "of_leader", (F.col("of_leader") - F.size("lacks")).alias("common"), F.inline(F.array(F.struct(*hashed))))
+    sets = sets.withColumn("size", F.col("common") + F.size("own"))
+    near = 100 * F.col("common") >= percent * (F.col("size") + F.size("lacks"))
+    masks = [_mask(F.col(m[:-1]), int(m[-1])).alias(m) for m in MASKS]
+    return scratch.write(sets.select("a", "b", near.alias("near"), "own", "lacks", "size", "common", "of_leader", *masks))
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
@@ -206,24 +199,16 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = _led(scratch, _shared(scratch, keys))
     scratch.drop(keys)
     pairs = scratch.write(shared.where("a <> node").select("a", F.col("node").alias("b")).distinct())
-    compared = scratch.write(_verified(scratch, pairs, groups, lines, texts, k, percent))
-    links = compared.where("near").select("a", "b")
-    # what is still apart: lines of one leader, all with all if they are few. Of many, two lines of a bucket that share no
-    # shingle which the leader lacks have no more in common than each has with it, so few can be near; others share one of
-    # the rarest such shingles
-    labels = scratch.write(components(scratch, links))
-    sizes = scratch.write(compared.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
-    together = join_hot(compared.select("a", F.col("b").alias("node")), sizes.where(F.col("n") <= TOGETHER), "a", "node")
-    more = _apart(together.withColumn("key", F.col("a")), labels, compared, percent, False)
-    many = scratch.write(sizes.where(F.col("n") > TOGETHER).select("a"))
-    if many.take(1):
-        compared = compared.join(F.broadcast(many), "a", "left_semi")  # one leader for TOGETHER lines at most
-        close = compared.where(F.size("own") <= F.col("spare")).select("a", F.col("b").alias("node"))
-        more = more.unionByName(_apart(shared.join(close, ["a", "node"]), labels, compared, percent, True))
-        more = more.unionByName(_apart(scratch.write(_of_own(scratch, compared)), labels, compared, percent, False))
-    more = more.distinct()
-    links = links.unionByName(scratch.write(more))
-    labels = scratch.write(components(scratch, links))
+    scratch.drop(shared)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    spelled = scratch.write(_spelled(texts, twins, scratch.write(ends.join(groups.select("node", "tag"), "node"))))
+    compared = _verified(scratch, pairs, spelled, k, percent)
+    scratch.drop(spelled)
+    links = scratch.write(compared.where("near").select("a", "b"))
+    # what is still apart: lines of one leader, all with all
+    more = scratch.write(_apart(compared, scratch.write(components(scratch, links)), scratch, percent).distinct())
+    scratch.drop(compared)
+    labels = scratch.write(components(scratch, links.unionByName(more)))
     # lines of components of several lines, copies included
     named = labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
     named = named.unionByName(groups.where("copies > 1").select("node", F.col("node").alias("component")).join(named, "node", "left_anti"))

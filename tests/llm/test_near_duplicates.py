@@ -348,3 +348,29 @@ def test_few_or_many_lines_of_one_leader(spark, monkeypatch):
     sets = {i: {t[j : j + 10] for j in range(len(t) - 9)} for i, t in enumerate(texts)}
     want = _join(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
     assert found[0] == found[1] == sorted((i, c) for i, c in want.items() if list(want.values()).count(c) > 1)
+
+
+def test_bounds_of_lines_of_one_leader_lose_no_pair(spark):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefgh\U0001f600é") for _ in range(6))
+    base, own = [word() for _ in range(30)], []
+    for _ in range(90):
+        words = list(base)
+        for _ in range(rng.randrange(2, 7)):
+            words[rng.randrange(len(words))] = word()
+        own += [" ".join(words), " ".join(words[: rng.randrange(20, 31)]) + " same end of a line"]
+    lead, own = " ".join(base), dict(enumerate(own, 1))
+    spelled = spark.createDataFrame([(0, lead), *own.items()], "node long, line string")
+    scratch = Scratch(spark, "bounds")
+    compared = lines._verified(scratch, spark.createDataFrame([(0, i) for i in own], "a long, b long"), spelled, 10, 80)
+    got = {r["b"]: r for r in compared.collect()}
+    sets = {i: {x[j : j + 10] for j in range(len(x) - 9)} for i, x in [(0, lead), *own.items()]}
+    for i in own:
+        r, a, b = got[i], sets[0], sets[i]
+        assert (r["of_leader"], r["size"], r["common"], len(r["own"]), len(r["lacks"])) == (len(a), len(b), len(a & b), len(b - a), len(a - b))
+        assert r["near"] == (10 * len(a & b) >= 8 * len(a | b))
+        assert sum(bin(r[f"own{w}"] & (1 << 64) - 1).count("1") for w in range(lines.WORDS)) == len({v & 255 for v in r["own"]})
+    none = spark.createDataFrame([], "node long, component long")
+    pairs = {tuple(r) for r in lines._apart(compared, none, scratch, 80).collect()}
+    assert pairs == {(x, y) for x in own for y in own if x < y and 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y])}
+    assert len(pairs) > 20
