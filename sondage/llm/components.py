@@ -37,24 +37,28 @@ def join_dealt(many: DataFrame, one: DataFrame, key: str, spread: str, hot: Data
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, few: bool) -> DataFrame:
+    return edges.join(F.broadcast(least), "a") if few else join_hot(edges, least, "a", "b")
+
+
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return join_hot(both.where("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    return _with_least(both.where("b > a"), least, few).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    rest = join_hot(edges, least, "a", "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    rest = _with_least(edges, least, few).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60, broadcast_rows: int = 0) -> DataFrame:
     """Labels of the nodes of ``edges`` (a, b: long): rows (node, component), component the smallest node reachable.
 
     Alternates large-star and small-star until no edge changes; a component that is a path of n nodes takes O(log n)
     rounds. Nodes without an edge get no row, nor does the smallest node of a component. Self-loops, repeated and
-    reversed edges are allowed; rows with a null end are ignored; without edges the result is empty.
+    reversed edges are allowed; rows with a null end are ignored; without edges the result is empty. Up to ``broadcast_rows`` edges, the nodes' least neighbours are broadcast.
     """
     now = edges.where("a is not null and b is not null and a <> b")
     now = now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -63,8 +67,8 @@ def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> Dat
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
-        seen = mark
-        new = scratch.write(_small_star(_large_star(now)))
+        seen, few = mark, 2 * mark[0] <= broadcast_rows
+        new = scratch.write(_small_star(_large_star(now, few), few))
         scratch.drop(now)
         now = new
     else:

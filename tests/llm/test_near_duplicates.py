@@ -374,3 +374,33 @@ def test_bounds_of_lines_of_one_leader_lose_no_pair(spark):
     pairs = {tuple(r) for r in lines._apart(compared, none, scratch, 80).collect()}
     assert pairs == {(x, y) for x in own for y in own if x < y and 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y])}
     assert len(pairs) > 20
+
+
+def test_a_lone_pair_of_a_leader_keeps_no_differences(spark):
+    text = "a line of some words that are told apart, number "
+    own = {i: text + x for i, x in enumerate(("one", "two", "three", "four and more than that", "four and more than this"))}
+    pairs = [(0, 1), (0, 2), (3, 4)]
+    spelled = spark.createDataFrame(list(own.items()), "node long, line string")
+    compared = lines._verified(Scratch(spark, "lone"), spark.createDataFrame(pairs, "a long, b long"), spelled, 10, 80)
+    got = {(r["a"], r["b"]): r for r in compared.collect()}
+    sets = {i: {x[j : j + 10] for j in range(len(x) - 9)} for i, x in own.items()}
+    for a, b in pairs:
+        r, x, y = got[a, b], sets[a], sets[b]
+        assert (r["of_leader"], r["size"], r["common"], r["near"]) == (len(x), len(y), len(x & y), 10 * len(x & y) >= 8 * len(x | y))
+        if a == 3:
+            assert all(r[m] is None for m in ("own", "lacks", *lines.MASKS))
+        else:
+            assert (len(r["own"]), len(r["lacks"])) == (len(y - x), len(x - y))
+
+
+def test_components_with_and_without_broadcasts(spark):
+    rng = random.Random(51)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
+    root = _join(range(500), edges)
+    least = {}
+    for i in range(500):
+        least[root[i]] = min(least.get(root[i], i), i)
+    want = {(i, least[root[i]]) for i in range(500) if least[root[i]] != i}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for most in (0, 100, 100_000):
+        assert {tuple(r) for r in components(Scratch(spark, "c"), df, broadcast_rows=most).collect()} == want
